@@ -11,6 +11,7 @@ from .common import shared_dir, table
 from .langid import identify
 from .media import decode, encode
 from .mixing import mix
+from .ngram_join import jaccard_groups
 from .packing import pack
 from .secrets import BASE, scan
 from .warc import read_archives, write_archives
@@ -34,6 +35,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
@@ -95,6 +100,23 @@ FROM ordered
 """
 
 
+OP5_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS_SQL}') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN c ca ON ca.doc_id = p.a JOIN c cb ON cb.doc_id = p.b WHERE 100 * m >= 75 * (ca.n + cb.n - m)
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = w.doc_id
+"""
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
@@ -107,8 +129,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_archive, op3_secret_scan, op4_mix_sources, op7_language_id, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op7_language_id, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL}
+    return {"op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
