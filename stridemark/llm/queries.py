@@ -14,9 +14,14 @@ from .mixing import mix
 from .ngram_join import jaccard_groups
 from .packing import pack
 from .secrets import BASE, scan
+from .substring_dedup import dedup
 from .warc import read_archives, write_archives
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), folder)
@@ -100,6 +105,17 @@ FROM ordered
 """
 
 
+OP1_SQL = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS ws FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+), owner AS (SELECT g, min(doc_id) AS o FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT w.doc_id, w.i FROM win w JOIN owner USING (g) WHERE o < w.doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS spots FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN spots IS NULL THEN ws ELSE [ws[j] FOR j IN range(1, len(ws) + 1) IF NOT list_contains(spots, j)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
 OP5_SQL = rf"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS_SQL}') AS ws
@@ -129,8 +145,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op7_language_id, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op7_language_id, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
