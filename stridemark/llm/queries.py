@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .langid import identify
+from .lm_scoring import score
 from .media import decode, encode
 from .mixing import mix
 from .ngram_join import jaccard_groups
@@ -48,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -116,6 +121,20 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS
   sha256(array_to_string(CASE WHEN spots IS NULL THEN ws ELSE [ws[j] FOR j IN range(1, len(ws) + 1) IF NOT list_contains(spots, j)] END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
+OP8_SQL = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS ws FROM documents),
+t AS MATERIALIZED (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+c1 AS (SELECT w, count(*) AS n1 FROM t GROUP BY w),
+cv AS (SELECT v, count(*) AS nv FROM t WHERE v IS NOT NULL GROUP BY v),
+c2 AS (SELECT v, w, count(*) AS n2 FROM t WHERE v IS NOT NULL GROUP BY v, w),
+s AS (
+  SELECT t.doc_id, (t.v IS NOT NULL AND n2 < 2)::INT AS back,
+    CASE WHEN t.v IS NULL THEN ln(n1 / (SELECT count(*) FROM t)) WHEN n2 >= 2 THEN ln(n2 / nv) ELSE ln(0.4::DOUBLE) + ln(n1 / (SELECT count(*) FROM t)) END AS p
+  FROM t JOIN c1 ON c1.w = t.w LEFT JOIN cv ON cv.v = t.v LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(b, 0)::BIGINT AS n_backoff, round(p / len(ws), 6) AS score
+FROM w LEFT JOIN (SELECT doc_id, sum(back) AS b, sum(p) AS p FROM s GROUP BY doc_id) USING (doc_id)
+"""
 OP5_SQL = rf"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS_SQL}') AS ws
@@ -145,8 +164,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op7_language_id, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_lm_scoring": OP8_SQL}

@@ -1,4 +1,4 @@
-"""Immutable sorted runs of (hash, row, place) in files that are read by hash range.
+"""Immutable sorted runs of hashes with other columns, in files that are read by hash range.
 
 A run is one file: an index of byte offsets by bucket (a range of hashes), then a compressed block a bucket. Within a
 block hashes are sorted and kept as differences; every column's bytes are kept by significance, so that bytes that
@@ -30,22 +30,31 @@ def _column(data: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarray, i
     return np.ascontiguousarray(part).view(kind).reshape(n), at + n * size
 
 
-def pack(h: np.ndarray, row: np.ndarray, place: np.ndarray) -> bytes:
-    if not len(h):
+def pack(*columns: np.ndarray) -> bytes:
+    """A block of columns of equal length. Unsigned 64-bit columns, of which the first is sorted, become differences."""
+    n = len(columns[0])
+    if not n:
         return b""
-    plain = struct.pack("<I", len(h)) + _planes(np.diff(h, prepend=np.uint64(0))) + _planes(row.astype("<i8")) + _planes(place.astype("<u4"))
+    plain = struct.pack("<IB", n, len(columns))
+    for x in columns:
+        plain += x.dtype.str.encode().ljust(4)
+    for x in columns:
+        plain += _planes(np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x)
     return zstandard.ZstdCompressor(level=1).compress(plain)
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(block: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """The columns; kinds are their types, for a block without rows."""
     if not block:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return tuple(np.zeros(0, k) for k in kinds)
     data = zstandard.ZstdDecompressor().decompress(block)
-    (n,) = struct.unpack_from("<I", data)
-    step, at = _column(data, 4, n, "<u8")
-    row, at = _column(data, at, n, "<i8")
-    place, _ = _column(data, at, n, "<u4")
-    return np.cumsum(step, dtype=np.uint64), row, place
+    n, count = struct.unpack_from("<IB", data)
+    found = tuple(data[5 + 4 * i : 9 + 4 * i].decode().strip() for i in range(count))
+    at, out = 5 + 4 * count, []
+    for kind in found:
+        x, at = _column(data, at, n, kind)
+        out.append(np.cumsum(x, dtype=np.uint64) if kind == "<u8" else x)
+    return tuple(out)
 
 
 class Folder:
@@ -75,7 +84,7 @@ class Folder:
         found = self.fs.get_file_info(self.kind.FileSelector(self.path, allow_not_found=True))
         return sorted(f.base_name for f in found if f.base_name.endswith(".run") and (bucket is None or f.base_name[0] != "b" or f.base_name == f"b{bucket:06d}.run"))
 
-    def read(self, name: str, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, name: str, bucket: int, kinds: tuple[str, ...] = ("<u8", "<i8", "<u4")) -> tuple[np.ndarray, ...]:
         with self.fs.open_input_file(f"{self.path}/{name}") as f:
             if f.read(8) != MAGIC:
                 raise ValueError(f"{name} is not a run")
@@ -83,7 +92,12 @@ class Folder:
             f.seek(12 + 8 * bucket)
             a, b = struct.unpack("<QQ", f.read(16))
             f.seek(12 + 8 * (n + 1) + a)
-            return unpack(f.read(b - a))
+            return unpack(f.read(b - a), kinds)
+
+    def all_of(self, bucket: int, kinds: tuple[str, ...] = ("<u8", "<i8", "<u4")) -> tuple[np.ndarray, ...]:
+        """The bucket's rows of every run, run after run."""
+        parts = [self.read(name, bucket, kinds) for name in self.names(bucket)]
+        return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else unpack(b"", kinds)
 
     def delete(self) -> None:
         self.fs.delete_dir(self.path)
