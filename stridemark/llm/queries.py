@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import shared_dir, table
 from .langid import identify
 from .lm_scoring import score
@@ -45,6 +46,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
@@ -164,7 +169,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
