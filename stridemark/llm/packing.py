@@ -15,6 +15,7 @@ itself. Empty table: no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -33,29 +34,61 @@ def _default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed values of the tokenizer's file: how it normalises, and what it takes for a piece of a text.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (chr(256 + n) for n in range(256))
+    return [chr(b) if b in plain else next(others) for b in range(256)]
+
+
 class WordTokens:
     """Ids of whole texts, word by word.
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words in turn;
-    words repeat, and a bounded table keeps their ids.
+    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words in turn.
+    Words repeat: a bounded table keeps their ids, in two generations, so that words still in use outlive the others.
+
+    A new word goes through the tokenizer, or, if it has only characters below ``SIMPLE`` (which NFC leaves alone) and
+    the tokenizer is of the kind known here, through its steps one by one: lower case, pieces, byte characters and the
+    model's merges. That gives the same ids without the library's bookkeeping of offsets.
     """
 
+    SIMPLE = "\u0250"
+
     def __init__(self, tokenizer: str, most: int = 300_000) -> None:
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_str(tokenizer), most, {}
+        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_str(tokenizer), most, {}, {}
+        plan = json.loads(tokenizer)
+        normal, split = plan.get("normalizer") or {}, (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = [x["type"] for x in normal.get("normalizers", [])] == NORMALIZERS and split[0].get("pattern") == {"Regex": PIECE} and [x["type"] for x in split] == ["Split", "ByteLevel"]
+        self.piece = regex.compile(PIECE).findall if known else None
+        self.model, self.characters = self.tokenizer.model.tokenize, _byte_characters()
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        if not self.piece or "<|" in text or max(text) >= self.SIMPLE:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids: list[int] = []
+        for p in self.piece(text.lower()):
+            ids += [t.id for t in self.model(p if p.isascii() and p.isprintable() else "".join([self.characters[b] for b in p.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for w in set().union(*split).difference(known) if split else ():
+            known[w] = older[w] if w in older else self._new(w)
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -150,7 +183,7 @@ def place(parts: DataFrame, capacity: int = 2048) -> DataFrame:
         return pd.DataFrame({"sequence_id": r[at, 3] + nth // r[at, 2], "offset": r[at, 4] + nth % r[at, 2] * size})
 
     order = Window.partitionBy("length", "__slice").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = sliced.withColumn("__rank", F.row_number().over(order) - 1).join(starts.drop("__n"), ["length", "__slice"])
+    ranked = sliced.withColumn("__rank", F.row_number().over(order) - 1).join(starts.drop("__n").hint("merge"), ["length", "__slice"])
     rows = ranked.withColumn("__seat", seat(F.col("length"), F.col("__from") + F.col("__rank")))
     return rows.select(*[F.col(f"`{c}`") for c in parts.columns], F.col("__seat.sequence_id"), F.col("__seat.offset"))
 
