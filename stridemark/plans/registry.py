@@ -1,11 +1,41 @@
-"""All queries over the supplied tables, by name, each with its SQL."""
+"""All queries over the supplied tables, by name, each with its SQL for DuckDB if SQL can express it."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+MODULES = ("matching", "parsing", "evidence", "reports", "tables")
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+
+    def add(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"stridemark.plans.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
