@@ -30,7 +30,7 @@ def support_pairs(frames: DataFrame, folder: str, position: str, value: str, rea
 def sessions(rows: DataFrame, key: str, at: str, gap_ms: int = 5000) -> DataFrame:
     """Rows with ``run``: a new one begins where more than a gap has passed since the row before."""
     w = Window.partitionBy(key).orderBy(at)
-    ms = F.unix_millis(at)
+    ms = F.unix_millis(F.col(at).cast("timestamp"))
     new = F.coalesce((ms - F.lag(ms).over(w) > gap_ms).cast("int"), F.lit(0))
     return rows.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
@@ -45,7 +45,7 @@ def cover(gallery: DataFrame, key: str, at: str, bibs: str, photo: str, place: s
     """key and photo: of the photos with the fewest bibs the last of the longest run, or the first without times."""
     fewest = gallery.withColumn("__f", F.min(F.coalesce(bibs, F.lit(1 << 30))).over(Window.partitionBy(key))).filter(F.coalesce(bibs, F.lit(1 << 30)) == F.col("__f"))
     w = Window.partitionBy(key).orderBy(at, place)
-    ms = F.unix_millis(at)
+    ms = F.unix_millis(F.col(at).cast("timestamp"))
     timed = fewest.filter(F.col(at).isNotNull()).withColumn("__new", F.coalesce((ms - F.lag(ms).over(w) > gap_ms).cast("int"), F.lit(0)))
     timed = timed.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = timed.groupBy(key, "__run").agg(F.count("*").alias("n"), F.max(F.struct(at, place, photo)).alias("last"))

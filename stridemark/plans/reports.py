@@ -102,10 +102,10 @@ def percentile_summary(spark, d):
 @query("""
 WITH c AS (SELECT ['a', 'b', 'c'][1 + l_linenumber % 3] AS model, l_partkey AS i, l_suppkey AS o, l_linenumber AS w, l_orderkey % 100 AS r, l_returnflag = 'R' AS b FROM lineitem),
 g AS (SELECT *, i + w * 1.25::DOUBLE + r * 0.05::DOUBLE AS given, CASE WHEN b THEN 0.5 ELSE 1.0 END::DOUBLE AS f FROM c)
-SELECT model, count(*) AS calls, sum(floor(given))::BIGINT AS input, sum(o)::BIGINT AS output, round(sum(f * (given * CASE model WHEN 'a' THEN 2.0 WHEN 'b' THEN 4.0 ELSE 0.1 END::DOUBLE + o * CASE model WHEN 'a' THEN 10.0 WHEN 'b' THEN 20.0 ELSE 0.5 END::DOUBLE) / 1e6), 6) AS usd FROM g GROUP BY model
+SELECT model, count(*) AS calls, sum(floor(given))::BIGINT AS input, sum(o)::BIGINT AS output, round(sum(f * (given * CASE model WHEN 'a' THEN 2.0 WHEN 'b' THEN 4.0 ELSE 0.1 END::DOUBLE + o * CASE model WHEN 'a' THEN 10.0 WHEN 'b' THEN 20.0 ELSE 0.5 END::DOUBLE) / 1e6), 3) AS usd FROM g GROUP BY model
 """)
 def spend_by_model(spark, d):
     model = F.element_at(F.array(*map(F.lit, "abc")), F.col("l_linenumber") % 3 + 1)
     calls = table(spark, d, "lineitem").select(model.alias("model"), F.col("l_partkey").alias("input"), F.col("l_suppkey").alias("output"), F.col("l_linenumber").alias("cache_write"), (F.col("l_orderkey") % 100).alias("cache_read"), (F.col("l_returnflag") == "R").alias("batch"))
     prices = spark.createDataFrame([("a", 2.0, 10.0), ("b", 4.0, 20.0), ("c", 0.1, 0.5)], "model string, price_in double, price_out double")
-    return _rounded(m.spend(calls, prices), "usd")
+    return m.spend(calls, prices).withColumn("usd", F.round("usd", 3))
