@@ -1 +1,158 @@
-"""Queries."""
+"""Queries on evidence of several readers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stridemark.operators import bursts as b
+from stridemark.operators import evidence as ev
+
+from .adapters import HEAD, detections, photos, runners, table
+from .registry import query
+
+
+def _hits(spark, d):
+    """One hit for each number of a photo: its best line."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("photo"), F.col("l_partkey").alias("p")).agg(F.max("l_discount").alias("disc"), F.min("l_linenumber").alias("pos"))
+    box = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in (("x0", 0), ("y0", 0), ("x1", 10), ("y1", 10))])
+    return rows.select("photo", "pos", F.col("p").cast("string").alias("text"), (F.col("disc") * 10).alias("conf"), box.alias("box"))
+
+
+def _second(spark, d):
+    """What the second reader saw: some numbers of a photo; every ninth photo failed, every fifth was not asked."""
+    rows = table(spark, d, "lineitem").filter("l_linenumber % 2 = 0 AND l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("photo")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("numbers"))
+    clarity = F.map_from_arrays("numbers", F.transform("numbers", lambda n: F.when(n.cast("bigint") % 3 == 0, "partial").otherwise("clear")))
+    return rows.select("photo", "numbers", clarity.alias("clarity"), F.when(F.col("photo") % 9 == 0, "down").alias("error"))
+
+
+SECOND = """
+WITH hits AS (SELECT l_orderkey AS photo, l_partkey AS p, max(l_discount) * 10 AS conf, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL),
+told AS (SELECT DISTINCT l_orderkey AS photo, l_partkey AS p FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey % 5 <> 0),
+asked AS (SELECT DISTINCT photo, photo % 9 = 0 AS bad FROM told),
+best AS (SELECT photo, p, conf FROM (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY conf DESC, pos, p::VARCHAR) AS n FROM hits) WHERE n = 1)
+"""
+
+
+@query(SECOND + """
+, agreed AS (SELECT photo, count(*) AS n, bool_and(t.p % 3 <> 0) AS clear FROM told t JOIN hits USING (photo, p) GROUP BY photo)
+SELECT b.photo, CASE WHEN conf >= 0.8 THEN 'confident' WHEN a.photo IS NULL THEN 'model_only' WHEN bad THEN 'error' WHEN g.n > 0 THEN 'agree' ELSE 'disagree' END AS kind,
+  CASE WHEN conf >= 0.8 THEN false WHEN a.photo IS NULL THEN true WHEN bad THEN true WHEN g.n > 0 THEN NOT clear ELSE true END AS needs_human
+FROM best b LEFT JOIN asked a USING (photo) LEFT JOIN agreed g USING (photo)
+""")
+def verdicts(spark, d):
+    reads = _hits(spark, d).groupBy("photo").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "conf"))), lambda x: F.struct(x["text"].alias("text"), x["conf"].alias("conf"))).alias("reads"))
+    second = _second(spark, d).select("photo", F.struct("numbers", "clarity", "error").alias("second"))
+    return reads.join(second, "photo", "left").select("photo", ev.judge(F.col("reads"), F.col("second")).alias("v")).select("photo", "v.kind", "v.needs_human")
+
+
+@query(SECOND + """
+, h AS (SELECT h.*, length(p::VARCHAR) BETWEEN 3 AND 4 AS r, a.photo IS NOT NULL AND NOT bad AS ok, t.p IS NOT NULL AS told FROM hits h LEFT JOIN asked a USING (photo) LEFT JOIN told t USING (photo, p) WHERE p > 0),
+v AS (SELECT *, r AND CASE WHEN ok THEN told OR conf >= 0.9 ELSE conf >= 0.5 END AS take FROM h WHERE conf >= 0.1),
+w AS (SELECT photo, p, CASE WHEN take THEN 1 ELSE 0 END AS given, (r AND NOT take AND conf >= CASE WHEN ok THEN 0.6 ELSE 0.3 END)::INT AS doubt FROM v),
+o AS (SELECT t.photo, t.p, (t.p % 3 <> 0)::INT AS given, 0 AS doubt FROM told t JOIN asked a USING (photo) WHERE NOT bad AND length(t.p::VARCHAR) BETWEEN 3 AND 4 AND NOT EXISTS (SELECT 1 FROM hits x WHERE x.photo = t.photo AND x.p = t.p))
+SELECT photo, sum(given)::BIGINT AS numbers, sum(doubt)::BIGINT AS needs_human, count(*) AS persons FROM (SELECT * FROM w UNION ALL SELECT * FROM o) GROUP BY photo
+""")
+def evidence_merge(spark, d):
+    rows = ev.suggestions(_hits(spark, d), _second(spark, d))
+    return rows.select("photo", F.size("numbers").cast("bigint").alias("numbers"), F.col("needs_human").cast("bigint").alias("needs_human"), F.size("persons").cast("bigint").alias("persons"))
+
+
+@query(SECOND + """
+, h AS (SELECT h.*, length(p::VARCHAR) BETWEEN 3 AND 4 AS r, a.photo IS NOT NULL AND NOT bad AS ok, t.p IS NOT NULL AS told FROM hits h LEFT JOIN asked a USING (photo) LEFT JOIN told t USING (photo, p) WHERE p > 0 AND conf >= 0.1),
+w AS (SELECT photo, count(*) AS n FROM h WHERE r AND NOT CASE WHEN ok THEN told OR conf >= 0.9 ELSE conf >= 0.5 END AND conf >= CASE WHEN ok THEN 0.6 ELSE 0.3 END GROUP BY photo)
+SELECT photo, n AS in_doubt FROM w
+""")
+def doubtful_photos(spark, d):
+    rows = ev.doubts(ev.suggestions(_hits(spark, d), _second(spark, d)))
+    return rows.filter(F.size("in_doubt") > 0).select("photo", F.size("in_doubt").cast("bigint").alias("in_doubt"))
+
+
+def _bundle(spark, d):
+    p = photos(spark, d)
+    n = F.col("photo_id")
+    return p.select("file_name", F.when(n % 3 == 0, "").otherwise(F.concat_ws(", ", n % 900, n % 77, n % 900)).alias("bibs"), F.array((n % 900).cast("string"), (n % 50).cast("string"), (n % 9).cast("string")).alias("model_numbers"), (n % 2 == 0).alias("reviewed"))
+
+
+@query(HEAD + """
+, c AS (SELECT DISTINCT file_name, photo_id, unnest([photo_id % 900, photo_id % 77])::VARCHAR AS bib FROM photos WHERE photo_id % 3 <> 0),
+m AS (SELECT DISTINCT file_name, photo_id, unnest([photo_id % 900, photo_id % 50, photo_id % 9])::VARCHAR AS bib FROM photos)
+SELECT file_name, bib AS bib_text, 1.0::DOUBLE AS confidence, 0 AS rank, 'review' AS source FROM c
+UNION ALL SELECT file_name, bib, 0.35, 1, CASE WHEN photo_id % 2 = 0 AND photo_id % 3 = 0 THEN 'rejected' ELSE 'ocr' END FROM m WHERE length(bib) >= 2 AND NOT EXISTS (SELECT 1 FROM c WHERE c.file_name = m.file_name AND c.bib = m.bib)
+""")
+def import_reads(spark, d):
+    return ev.imported_reads(_bundle(spark, d))
+
+
+@query(HEAD + """
+SELECT photo_id AS photo, CASE WHEN photo_id % 4 = 0 THEN '' ELSE 's' || photo_id END AS numbers, photo_id % 4 = 0 AS reviewed FROM photos WHERE photo_id % 4 = 0 OR photo_id % 3 = 0
+""")
+def human_over_model(spark, d):
+    p = photos(spark, d).select(F.col("photo_id").alias("photo"))
+    reviews = p.filter("photo % 4 = 0").select("photo", ev.nothing().alias("numbers"))
+    rows = ev.published(p, reviews, p.filter("photo % 3 = 0").select("photo", F.array(F.concat(F.lit("s"), "photo")).alias("numbers")))
+    return rows.withColumn("numbers", F.array_join("numbers", ", "))
+
+
+def _cascade(spark, d):
+    n = F.col("o_orderkey")
+    read = lambda *pairs: F.array(*[F.struct(t.cast("string").alias("text"), F.lit(c).alias("conf")) for t, c in pairs])
+    first = F.when(n % 2 == 0, read((n % 100, 0.9), (n % 7, 0.2))).otherwise(read((n % 100, 0.3), (n % 7, 0.2)))
+    second = F.when(n % 3 == 0, F.lit(None).cast(ev.READS)).when(n % 3 == 1, F.array().cast(ev.READS)).otherwise(read((n % 7, 0.95), (n % 5 + 200, 0.1)))
+    return table(spark, d, "orders").select(n.alias("id"), first.alias("first"), second.alias("second"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 2 THEN (o_orderkey % 7) || ',' || (o_orderkey % 5 + 200) || CASE WHEN o_orderkey % 100 <> o_orderkey % 7 THEN ',' || (o_orderkey % 100) ELSE '' END ELSE (o_orderkey % 100) || ',' || (o_orderkey % 7) END AS reads FROM orders")
+def cascade_merge(spark, d):
+    return _cascade(spark, d).select("id", F.array_join(F.transform(ev.cascade(F.col("first"), F.col("second"), 0.5), lambda r: r["text"]), ",").alias("reads"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (k % 2 = 1) AS deferred, count(*) FILTER (k % 2 = 1 AND k % 3 = 0) AS failed, count(*) FILTER (k % 2 = 1 AND k % 3 = 2 AND k % 7 <> k % 100) AS improved FROM (SELECT o_orderkey AS k FROM orders)")
+def cascade_counters(spark, d):
+    return ev.cascade_counts(_cascade(spark, d), "first", "second", 0.5)
+
+
+@query(HEAD + "SELECT photo_id, bib_text AS number, confidence AS conf FROM (SELECT photo_id, ltrim(bib_text, '0') AS bib_text, confidence, row_number() OVER (PARTITION BY photo_id, ltrim(bib_text, '0') ORDER BY confidence DESC, rank) AS n FROM detections WHERE ltrim(bib_text, '0') <> '') WHERE n = 1")
+def best_hit_per_number(spark, d):
+    hits = detections(spark, d).select("photo_id", F.col("rank").alias("pos"), F.col("bib_text").alias("text"), F.col("confidence").alias("conf"))
+    return ev.best_hits(hits, "photo_id").select("photo_id", "number", "conf")
+
+
+@query("SELECT l_orderkey AS photo, count(DISTINCT l_partkey)::INT AS numbers, count(DISTINCT l_partkey) FILTER (l_tax < 0.04)::INT AS clear FROM lineitem GROUP BY l_orderkey")
+def tile_fold(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").cast("string").alias("number"), (F.col("l_tax") < 0.04).alias("clear"))
+    return ev.fold_tiles(rows, "photo").select("photo", F.size("numbers").alias("numbers"), F.size(F.map_filter("clarity", lambda k, v: v == "clear")).alias("clear"))
+
+
+def _reads(spark, d):
+    """Looks at bibs: a line's number, with every seventh's last digit hidden and legibility and cut by line."""
+    n = F.col("l_partkey").cast("string")
+    number = F.when(F.col("l_suppkey") % 7 == 0, F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("?"))).otherwise(n)
+    x, y = (F.col("l_linenumber") * 300).cast("double"), (F.col("l_suppkey") % 3 * 40 + 600).cast("double")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("photo"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("pos"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 80).alias("y1"), F.when(F.col("l_returnflag") == "N", "tile1").otherwise("survey").alias("source"),
+        number.alias("number"), F.when(F.col("l_tax") < 0.05, "clear").otherwise("partial").alias("legibility"), F.when(F.col("l_discount") < 0.05, "none").otherwise("left").alias("cut"), F.lit(True).alias("is_bib"),
+    )
+
+
+@query()
+def cluster_boxes(spark, d):
+    return b.clusters(_reads(spark, d)).select("photo", "x0", "y0", "x1", "y1", F.size("reads").alias("looks"))
+
+
+def _decided(spark, d):
+    found = b.clusters(_reads(spark, d))
+    one = lambda kind, which: F.when(F.size("reads") > 1, F.element_at("reads", which)).otherwise(F.lit(None).cast(b.READ)).withField("source", F.lit(kind))
+    rows = found.withColumn("bib", F.struct("x0", "y0")).withColumn("d", b.decide(F.col("reads"), one("zoom", 2), F.lit(None).cast(b.READ)))
+    return rows.select("photo", "bib", "d").persist()  # several branches of the resolution read it
+
+
+@query()
+def bib_decisions(spark, d):
+    return _decided(spark, d).groupBy("d.status", "d.how", "d.why").agg(F.count("*").alias("n"))
+
+
+@query()
+def burst_resolution(spark, d):
+    frames = photos(spark, d).select(F.col("photo_id").alias("photo"), F.col("photographer").alias("folder"), F.floor(F.col("photo_id") / 5).alias("position"))
+    start = runners(spark, d).select(F.col("bib").alias("number"))
+    return b.results(b.resolve(_decided(spark, d), frames, start)).select("photo", F.array_join("numbers", ",").alias("numbers"), "needs_human")
