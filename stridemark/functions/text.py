@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Look-alikes and the digits they are read as.
 LOOK_ALIKES = "OoQDIl|i!ZzEASsGbT?Bgq"
@@ -173,7 +174,7 @@ def header_key(header: str) -> str:
     return "".join(c for c in flat.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Title case, ASCII letters and digits. In Python: Spark has no compatibility decomposition."""
     for part in names:
