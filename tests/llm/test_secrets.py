@@ -1,0 +1,72 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from stridemark.llm.automaton import Dfa, Scanner
+from stridemark.llm.secrets import BASE, RULES, find_spans, redact, scan
+
+#: The contract's patterns, with what a match needs.
+PATTERNS = {
+    "assign": re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+LEAST = {"access": 16, "hex": 32}
+SCANNER = Scanner(RULES)
+PARTS = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "abc", "AKIA", "AKIAAKIA", "A1B2C3D4E5F6", "0123456789abcdef", "deadbeef" * 4, "é", "ñ€", "\U0001f600", "x", "tok", "sec", "\n", "-", "/", ".", "_", "Z9"]
+
+
+def brute_force(text):
+    found = []
+    for order, kind in enumerate(BASE):
+        for m in PATTERNS[kind].finditer(text):
+            if (len(m[2]) >= 8) if kind == "assign" else len(m[0]) >= LEAST[kind]:
+                found.append((m.start(), order, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_base_spans(text):
+    assert [s for s in find_spans(SCANNER, text) if s[0] in BASE] == brute_force(text)
+
+
+def test_added_rules():
+    text = "ghp_" + "Za" * 18 + " -----BEGIN RSA PRIVATE KEY----- eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + ".c1" + "d" * 9
+    assert [s[0] for s in find_spans(SCANNER, text)] == ["github", "pem", "jwt"]
+
+
+def test_minimal():
+    assert len(Dfa([("(a|b)*abb", False)], anchored=True)) == 5  # four states and the dead one
+    d = Dfa([("x[a-c]{2,3}y?", True)], anchored=True)
+    rx = re.compile("(?i)x[a-c]{2,3}y?")
+    for s in ("xab", "XABY", "xa", "xabcy", "xabcc", "y", ""):
+        state = 256 * d.start
+        for c in s.encode():
+            state = d.table[state + c]
+        assert (state >= 256 * d.accepting) == bool(rx.fullmatch(s))
+
+
+def test_rows(spark):
+    texts = ["é password = abcdefgh12, token:short", None, "", "x" * 100_000 + " AKIA" + "Z" * 16, "é password = abcdefgh12, token:short"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in scan(docs).collect()}
+    assert got == {i: brute_force(t or "") for i, t in enumerate(texts)} and got[0] == got[4] == [("assign", 2, 23)]
+    clean = {r["doc_id"]: r["text"] for r in redact(docs.drop("spans")).collect()}
+    assert clean[0] == "é [secret], token:short" and clean[1] is None and clean[2] == "" and clean[3].endswith(" [secret]")
+    assert scan(docs.filter(F.lit(False))).count() == 0
+
+
+def test_query(spark, tmp_path):
+    from stridemark.llm.queries import op3_secret_scan
+
+    import hashlib
+
+    text = "token='abcdefgh1' " + "0123456789abcdef" * 2 + " AKIA" + "Q" * 12
+    spark.createDataFrame([(1, text, "en", "s", 1), (2, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in op3_secret_scan(spark, str(tmp_path)).collect()}
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_force(text))
+    assert rows[1]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and (rows[1]["n_assign"], rows[1]["n_access"], rows[1]["n_hex"]) == (1, 1, 1)
+    assert rows[1]["spans"] == joined and rows[2]["spans"] == "" and rows[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
