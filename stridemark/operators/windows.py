@@ -38,7 +38,7 @@ def sessions(rows: DataFrame, key: str, at: str, gap_ms: int = 5000) -> DataFram
 def longest_run(rows: DataFrame, key: str, at: str, gap_ms: int = 5000) -> DataFrame:
     """key, n and last: the length of the longest run and its last time; the later of equal ones."""
     runs = sessions(rows, key, at, gap_ms).groupBy(key, "run").agg(F.count("*").alias("n"), F.max(at).alias("last"))
-    return runs.groupBy(key).agg(F.max(F.struct("n", "run", "last")).alias("b")).select(key, "b.n", "b.last")
+    return runs.groupBy(key).agg(F.max(F.struct("n", "run", "last")).alias("__b")).select(key, "__b.n", "__b.last")
 
 
 def cover(gallery: DataFrame, key: str, at: str, bibs: str, photo: str, place: str, gap_ms: int = 5000) -> DataFrame:
@@ -49,8 +49,8 @@ def cover(gallery: DataFrame, key: str, at: str, bibs: str, photo: str, place: s
     timed = fewest.filter(F.col(at).isNotNull()).withColumn("__new", F.coalesce((ms - F.lag(ms).over(w) > gap_ms).cast("int"), F.lit(0)))
     timed = timed.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = timed.groupBy(key, "__run").agg(F.count("*").alias("n"), F.max(F.struct(at, place, photo)).alias("last"))
-    best = runs.groupBy(key).agg(F.max(F.struct("n", "__run", "last")).alias("b")).select(key, F.col(f"b.last.{photo}").alias("__timed"))
-    first = fewest.groupBy(key).agg(F.min(F.struct(place, photo)).alias("b")).select(key, F.col(f"b.{photo}").alias("__first"))
+    best = runs.groupBy(key).agg(F.max(F.struct("n", "__run", "last")).alias("__b")).select(key, F.col(f"__b.last.{photo}").alias("__timed"))
+    first = fewest.groupBy(key).agg(F.min(F.struct(place, photo)).alias("__b")).select(key, F.col(f"__b.{photo}").alias("__first"))
     return first.join(best, key, "left").select(key, F.coalesce("__timed", "__first").alias(photo))
 
 

@@ -43,7 +43,7 @@ def test_lists_and_listings(spark, tmp_path):
     assert files.start_list(spark, None) is None
     for p in ("x/a.JPG", "x/b.txt", "x/_skip/c.jpg", "y/d.png"):
         (tmp_path / "photos" / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / "photos" / p).write_bytes(b"2024:05:06 07:08:09\x00" if p.endswith("png") else b"")
+        (tmp_path / "photos" / p).write_bytes(b"2024:05:06 07:08:09\x00" if p.endswith("png") else b"x")
     listed = files.photos(spark, str(tmp_path / "photos"), content=True)
     assert sorted(r["name"] for r in listed.collect()) == ["a.JPG", "d.png"] and files.batches(listed).count() == 2
     times = {r["name"]: r["t"] for r in listed.select("name", files.captured_at(listed["content"], "Europe/Zagreb").alias("t")).collect()}
