@@ -46,9 +46,10 @@ def candidates(runners: DataFrame, photos: DataFrame, detections: DataFrame, lea
     sure = F.coalesce("confidence", F.lit(0.5))
     exact = reads.join(bibs, (reads.event_id == bibs.event_id) & (reads.bib_text == bibs.bib)).select(bibs.event_id, "bib", "photo_id", F.col("bib_text").alias("read_as"), F.lit(True).alias("exact"), sure.cast("double").alias("score"))
     nobody = reads.filter(~is_confirmed() & (F.col("confidence") >= least)).join(bibs, (reads.event_id == bibs.event_id) & (reads.bib_text == bibs.bib), "left_anti")
-    pairs = near_texts(bibs.filter(F.length("bib") >= 3), nobody, "bib", "bib_text")
+    # Likeness belongs to pairs of texts, of which there are far fewer than reads.
+    pairs = near_texts(bibs.filter(F.length("bib") >= 3), nobody, "bib", "bib_text").withColumn("like", F.greatest(similarity(F.col("bib_text"), F.col("bib")), F.lit(0.2)))
     known = bibs.join(pairs, "bib")
-    fuzzy = nobody.join(known, ["event_id", "bib_text"]).select("event_id", "bib", "photo_id", F.col("bib_text").alias("read_as"), F.lit(False).alias("exact"), (sure * F.greatest(similarity(F.col("bib_text"), F.col("bib")), F.lit(0.2))).cast("double").alias("score"))
+    fuzzy = nobody.join(known, ["event_id", "bib_text"]).select("event_id", "bib", "photo_id", F.col("bib_text").alias("read_as"), F.lit(False).alias("exact"), (sure * F.col("like")).cast("double").alias("score"))
     return exact.unionByName(fuzzy)
 
 
