@@ -34,7 +34,7 @@ from .common import bounded_batches, buckets, shared_dir, written
 from .runs import Folder, bucket_of, pack
 from .shingles import Words, mixed
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 BACKOFF = 0.4
 #: Hashes of words keep so many upper bits.
 MASK = np.uint64((1 << 64) - (1 << 8))
