@@ -256,7 +256,8 @@ def dedup(docs: DataFrame, batches: int = 2, seeds: int = 4, hash_bits: tuple[in
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = _rows(docs)
-    cuts = sorted({int(x) << LOW for x in rows.select(F.shiftright("row", LOW).alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)})
+    parts = [i / batches for i in range(1, batches)]
+    cuts = sorted({int(x) << LOW for x in rows.select(F.shiftright("row", LOW).alias("x")).approxQuantile("x", parts, 0.01)}) if parts else []
     edges = [None, *cuts, None]
     for seed in range(seeds):
         index = WindowIndex(spark, seed=seed, hash_bits=hash_bits[min(seed, len(hash_bits) - 1)], **options)
