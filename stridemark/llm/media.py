@@ -2,7 +2,8 @@
 
 A payload is the text in UTF-8, filled up with spaces to a positive multiple of the frame length, stored as 8-bit mono
 samples. The sound is cut into frames of ``FRAME`` samples at every ``HOP``; of each frame's Hann-windowed spectrum the
-strongest local peaks are kept, and every frame's strongest peak is paired with the peaks of the next ``REACH`` frames.
+strongest local peaks are kept, and every frame's strongest peak is paired with its second and with the peaks of the next
+``REACH`` frames.
 A fingerprint is an array of longs: time of the first peak << 24 | its bin << 16 | other bin << 8 | frames between.
 
 Defined cases. Null text: as empty, one frame of spaces. Equal texts: equal values, whatever rows stand around them,
@@ -60,8 +61,8 @@ def fingerprint(payload: bytes) -> np.ndarray:
             bins[a : a + len(inner), j], power[a : a + len(inner), j] = best + 1, inner[rows, best]
             inner[rows, best] = 0
     out = []
-    for step in range(1, REACH + 1):
-        for j in range(2):
+    for step in range(REACH + 1):
+        for j in range(0 if step else 1, 2):
             first, other = np.arange(n - step), np.arange(step, n)
             ok = (power[first, 0] > 0) & (power[other, j] > 0)
             out.append((first[ok] << 24) | (bins[first[ok], 0] << 16) | (bins[other[ok], j] << 8) | step)
