@@ -227,8 +227,10 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from stridemark.llm.ngram_join import brute_force
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
+    planted = "the quick reader and the other one met here with AKIA" + "Q7" * 8 + " in a text that nobody else has"
+    spark.createDataFrame([(10**6, planted, "en", "src0", len(planted))], DOCS).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     frames = {"in": docs}
     now = docs
     for name, stage in corpus_pipeline.STAGES:
@@ -242,7 +244,7 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in frames["ngram_jaccard"].collect()}
     assert kept == {i for i, (_, c) in brute_force(texts).items() if c == i}
     clean = {r["doc_id"]: r["text"] for r in frames["secret_scan"].collect()}
-    assert set(clean) == kept and any("[secret]" in t for t in clean.values()) and not any("AKIA" in t for t in clean.values())
+    assert set(clean) == kept and "[secret]" in clean[10**6] and not any("AKIA" in t for t in clean.values())
     taken = Counter(r["doc_id"] for r in frames["mix_sources"].collect())
     size = {i: len(t.encode().split()) for i, t in clean.items()}
     assert abs(sum(n * size[i] for i, n in taken.items()) - sum(size.values())) < 0.1 * sum(size.values())
