@@ -33,7 +33,7 @@ from .runs import Folder, bucket_of, pack
 from .shingles import Words
 
 K = 13
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 FILTER_BITS = 1 << 26
 LOW = 16
 
@@ -78,7 +78,8 @@ def _passing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         x = slot.to_numpy(np.int64)
         return pd.Series((shared.value[x >> 3] >> (x & 7) & 1).astype(bool))
 
-    return docs.filter(has(_slots(F.col("row"))))
+    # Not deterministic for Spark, which would otherwise apply it to the other side of a join on row as well.
+    return docs.filter(has.asNondeterministic()(_slots(F.col("row"))))
 
 
 class HashesCollide(Exception):
