@@ -36,6 +36,8 @@ from .shingles import Words, mixed
 
 CHUNK = 2_000_000
 BACKOFF = 0.4
+#: A document has partial sums in as many ranges as its pairs fall into; with this many, that is close to its pairs.
+LEAST_RANGES = 64
 #: Hashes of words keep so many upper bits.
 MASK = np.uint64((1 << 64) - (1 << 8))
 PAIRS, WORDS, BACK = ("<u8", "<u8", "<i8", "<u4"), ("<u8", "<i8", "<u4"), ("<u8", "<i8", "<u4")
@@ -72,7 +74,7 @@ def score(docs: DataFrame, least: int = 2, ranges: int | None = None) -> DataFra
     """doc_id, n_words, n_backoff and score of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranges = ranges or buckets(spark)
+    ranges = ranges or max(LEAST_RANGES, buckets(spark))
     folder = shared_dir(spark, "lm")
     # Rows get numbers once; the narrow key travels, and doc_id comes back at the end.
     rows = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "numbered") if not _unique(docs) else docs.select(F.col("doc_id").alias("row"), "doc_id", "text")
