@@ -13,8 +13,8 @@ group can't change the result any more.
 
 Candidates are verified in two steps: bitmaps, into which every shingle is hashed, bound the overlap from above (a
 set bit that the other bitmap lacks is at least one shingle that the other set lacks); what is left is settled by
-the exact intersection of the sorted arrays. Arrays are made only for classes that have a candidate; documents that
-can't belong to one are skipped by a bitmap of fixed size.
+the exact intersection of the sorted arrays. Bitmaps are made only for classes that have a candidate, arrays only for
+those that still have one after them; documents that can't belong to such a class are skipped by a filter of fixed size.
 
 Defined cases. Null or empty text, or no word: set size 0, linked with nothing. Fewer words than a shingle has: the
 whole sequence is the only shingle. Null doc_id: counted, but linked with nothing; its component is null. Repeated
@@ -157,11 +157,13 @@ def _stars(postings: DataFrame, n: int) -> DataFrame:
             below = np.maximum(group - 1, 0)
             has_below = (group > 0) & ~first_s[starts][group] & (bands[starts][below] == bands - 1)
             pivot, lower = cls[starts][group], cls[starts][below]
+            alone = (pivot == cls) | ~_may_link(at[starts][group], at)
+            has_below &= _may_link(at[starts][below], at)
             wait = np.zeros(len(s), bool)
             if b is not None:
                 wait[-1] = True  # the next batch says whether it stands alone
             give = new & ~again & ~lone & ~wait
-            yield pa.RecordBatch.from_arrays([pa.array(s[give]), pa.array(cls[give]), pa.array(at[give]), pa.array(pivot[give], mask=(pivot == cls)[give]), pa.array(lower[give], mask=~has_below[give])], ["s", "cls", "at", "pivot", "lower"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[give]), pa.array(cls[give]), pa.array(at[give]), pa.array(pivot[give], mask=alone[give]), pa.array(lower[give], mask=~has_below[give])], ["s", "cls", "at", "pivot", "lower"])
             if b is not None:
                 same = s[starts] == s[-1]
                 keep = [x for x in starts[same][-2:] if x != len(s) - 1]
@@ -176,8 +178,16 @@ def _and_none(batches):
     yield None
 
 
-def _compatible(nx, ny):
-    return 4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)
+def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and places (size << 24 | place) of a shared shingle leave room for a link.
+
+    What two sets share after their first common shingle is no more than either has behind it; every pair is also
+    looked at by that first one.
+    """
+    nx, ny = x >> 24, y >> 24
+    px, py = x & 0xFFFFFF, y & 0xFFFFFF
+    bound = 1 + np.minimum(nx - px - 1, ny - py - 1)
+    return (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)) & (OF * bound >= MORE * (nx + ny))
 
 
 def _cross_pairs(members: DataFrame, n: int, block: int = 512) -> DataFrame:
@@ -219,8 +229,8 @@ def _cross_pairs(members: DataFrame, n: int, block: int = 512) -> DataFrame:
     return dealt.mapInArrow(of, "a bigint, b bigint").distinct()
 
 
-def _arrays(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, n, bitmap and sorted shingles of the classes, each from its smallest doc_id."""
+def _of_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, arrays: bool) -> DataFrame:
+    """cls, n and either bitmap or sorted shingles of the classes, each made from its smallest doc_id."""
     spark = docs.sparkSession
     firsts = written(classes.join(sets, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "firsts")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -237,33 +247,33 @@ def _arrays(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
             sets = [s for s in Words(b.column("text"), lower=True).sets(K) if len(s)]
             for a in range(0, len(sets), 200):
                 part = sets[a : a + 200]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in part], pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array([bitmap(s).tobytes() for s in part], pa.binary()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64()))], ["cls", "n", "bits", "shingles"])
+                value = pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64())) if arrays else pa.array([bitmap(s).tobytes() for s in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in part], pa.int64()), pa.array([len(s) for s in part], pa.int64()), value], ["cls", "n", "value"])
 
-    rows = docs.filter("doc_id IS NOT NULL").select("text", slot.alias("x")).mapInArrow(of, "cls bigint, n bigint, bits binary, shingles array<bigint>")
-    return written(rows.join(firsts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "arrays")
+    rows = docs.filter("doc_id IS NOT NULL").select("text", slot.alias("x")).mapInArrow(of, "cls bigint, n bigint, value " + ("array<bigint>" if arrays else "binary"))
+    return written(rows.join(firsts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "classes")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar enough."""
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    arrays = _arrays(docs, sets, classes)
-    both = lambda *names: [arrays.select(F.col("cls").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "ab"]
-
+    """Those of the pairs (a, b) that are similar enough: by bitmaps first, then what is left by arrays."""
     @F.pandas_udf("boolean")
     def near(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
         return pd.Series([OF * overlap_bound(np.frombuffer(p, np.uint8), m, np.frombuffer(q, np.uint8), n) >= MORE * (m + n) for p, m, q, n in zip(x, nx, y, ny, strict=True)], dtype=bool)
 
     @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([OF * len(np.intersect1d(p, q, assume_unique=True)) >= MORE * (len(p) + len(q)) for p, q in zip(x, y, strict=True)], dtype=bool)
+    def linked(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series([OF * len(np.intersect1d(p, q, assume_unique=True)) >= MORE * (m + n) for p, m, q, n in zip(x, nx, y, ny, strict=True)], dtype=bool)
 
-    a, b = both("n", "bits")
-    close = written(pairs.join(a, "a").join(b, "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").filter(near("bits_a", "n_a", "bits_b", "n_b")).select("a", "b"), "close")
-    a, b = both("shingles")
-    return written(close.join(a, "a").join(b, "b").filter(linked("shingles_a", "shingles_b")).select("a", "b"), "links")
+    for test, arrays, name in ((near, False, "close"), (linked, True, "links")):
+        classes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls")
+        values = _of_classes(docs, sets, classes, arrays)
+        x, y = (values.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("value").alias(f"value_{k}")) for k in "ab")
+        joined = pairs.join(x, "a").join(y, "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+        pairs = written(joined.filter(test("value_a", "n_a", "value_b", "n_b")).select("a", "b"), name)
+    return pairs
 
 
-def jaccard_groups(docs: DataFrame, sample: int = 4096, sample_least: int = 3, sample_most: int = 1 << 17) -> DataFrame:
+def jaccard_groups(docs: DataFrame, sample: int = 1 << 15, sample_least: int = 3, sample_most: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
