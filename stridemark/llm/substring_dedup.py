@@ -94,6 +94,12 @@ class WindowIndex:
         self.ranges, self.compact_above, self.seed = ranges or buckets(spark), compact_above, seed
         self.mask = np.uint64((1 << 64) - (1 << (64 - hash_bits)))
         self.generations: list[str] = []
+        self.made = 0
+
+    def _name(self, kind: str) -> str:
+        """A folder for a new generation; no name comes twice."""
+        self.made += 1
+        return f"{self.folder}/{kind}{self.made:05d}-{self.seed}"
 
     def add(self, batch: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         """Index the rows (row, text) and return row, n_words, n_removed, kept_sha256 of them.
@@ -101,7 +107,7 @@ class WindowIndex:
         row is doc_id << 16 and a number that tells different texts of one doc_id apart. corpus has the rows of this
         and of earlier batches, for verification; the batch alone is enough for the first.
         """
-        name = f"{self.folder}/g{len(self.generations):05d}"
+        name = self._name("g")
         whole = self._write_runs(batch, name)
         matches = written(self._matches([*self.generations, name], name), "matches")
         changed = self._removed(batch, batch if corpus is None else corpus, matches)
@@ -217,7 +223,7 @@ class WindowIndex:
     def compact(self) -> None:
         """Merge all runs into one generation; of every hash the smallest row and its first place stay."""
         old, ranges = list(self.generations), self.ranges
-        name = f"{self.folder}/c{len(old):05d}-{self.seed}"
+        name = self._name("c")
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -74,6 +74,20 @@ def test_later_batches_meet_compacted_runs(spark):
     assert sorted(out, key=str) == brute_force(docs)
 
 
+def test_many_compactions_keep_the_history(spark):
+    docs = sorted({d[0]: d for d in corpus(8) if d[0] is not None}.values())
+    index = substring_dedup.WindowIndex(spark, compact_above=1)
+    out, seen, names = [], None, set()
+    for a in range(0, len(docs), 8):  # seven batches
+        batch = spark.createDataFrame([(i << 16, t) for i, t in docs[a : a + 8]], "row bigint, text string")
+        seen = batch if seen is None else seen.unionByName(batch)
+        out += [(r["row"] >> 16, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.add(batch, seen).collect()]
+        (name,) = index.generations
+        assert name not in names and Folder(name).names()
+        names.add(name)
+    assert len(names) >= 5 and sorted(out, key=str) == brute_force(docs)
+
+
 def test_runs(tmp_path):
     h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * 2)
     row, place = np.arange(500) - 250, np.arange(500, dtype=np.uint32)
