@@ -9,7 +9,11 @@ the same or in neighbouring bands).
 First every tile links its members to one of them, its pivot, and to the pivot of the band below: a group of near
 copies, however large, yields a star and never all its pairs. What the stars join is one group. Then pairs of tile
 members of different groups follow, unless sizes or the shingle's places in the two sets rule them out; pairs within a
-group can't change the result any more.
+group can't change the groups any more.
+
+``jaccard_groups`` stops there. ``jaccard_links`` is the join itself: every pair of classes that is linked, within
+groups as well, and which rows are in which class; ``jaccard_join`` counts the links of each row from those. They
+verify all candidates, so that a group of near copies that differ costs its pairs.
 
 Candidates are verified in two steps: bitmaps, into which every shingle is hashed, bound the overlap from above (a
 set bit that the other bitmap lacks is at least one shingle that the other set lacks); what is left is settled by
@@ -19,7 +23,7 @@ those that still have one after them; documents that can't belong to such a clas
 Defined cases. Null or empty text, or no word: set size 0, linked with nothing. Fewer words than a shingle has: the
 whole sequence is the only shingle. Null doc_id: counted, but linked with nothing; its component is null. Repeated
 rows: rows of one doc_id may differ in text; they are in one class or not as any others, and the smallest doc_id of a
-group stands for it. Empty table: no rows. Only doc_id and text are read.
+group stands for it. Links are counted by rows. Empty table: no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, buckets, written
@@ -215,16 +219,26 @@ def _cross_pairs(members: DataFrame, n: int, block: int = 512) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((5, 0), np.int64)
+
+        def batch(found: list[np.ndarray]) -> pa.RecordBatch:
+            got = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+
         for b in _and_none(batches):
             rows = held if b is None else np.concatenate((held, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns])), axis=1)
             ends = np.concatenate(([0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]]))
             if b is not None:
                 ends = ends[:-1]  # the last shingle may go on
-            found = [p for i, j in zip(ends[:-1], ends[1:], strict=True) if j - i > 1 for p in pairs(rows[:, i:j])]
+            found, size = [], 0
+            for p in (p for i, j in zip(ends[:-1], ends[1:], strict=True) if j - i > 1 for p in pairs(rows[:, i:j])):
+                found.append(p)
+                size += p.shape[1]
+                if size > 1 << 20:  # a large tile's pairs don't all stay in memory
+                    yield batch(found)
+                    found, size = [], 0
             held = rows[:, ends[-1] :]
             if found:
-                got = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+                yield batch(found)
 
     return dealt.mapInArrow(of, "a bigint, b bigint").distinct()
 
@@ -273,32 +287,71 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs
 
 
-def jaccard_groups(docs: DataFrame, sample: int = 1 << 15, sample_least: int = 3, sample_most: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _tiled(docs: DataFrame, sample: int, sample_least: int, sample_most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id and text, the rows' sets, and the members of tiles with their pivots."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    n = buckets(spark)
     sets = written(_sets(docs), "sets")
-    known = sets.filter("doc_id IS NOT NULL AND n > 0")
-    frequent = _sample_frequent(docs, sample, sample_least, sample_most, known.count())
-    tiles = written(_stars(_postings(docs.filter("doc_id IS NOT NULL"), frequent), n), "tiles")
+    frequent = _sample_frequent(docs, sample, sample_least, sample_most, _known(sets).count())
+    return docs, sets, written(_stars(_postings(docs.filter("doc_id IS NOT NULL"), frequent), buckets(spark)), "tiles")
+
+
+def _known(sets: DataFrame) -> DataFrame:
+    return sets.filter("doc_id IS NOT NULL AND n > 0")
+
+
+def _members(tiles: DataFrame, group: Column) -> DataFrame:
+    return tiles.select("s", F.shiftright("at", 24).alias("size"), F.col("at").bitwiseAND((1 << 24) - 1).alias("place"), "cls", group.alias("root"))
+
+
+def _component_of_class(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """cls and component_id, the smallest doc_id of the classes that roots (node, root) join."""
+    firsts = _known(sets).groupBy("cls").agg(F.min("doc_id").alias("first"))
+    named = firsts.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return written(named.join(heads, "root").select("cls", "component_id"), "classes")
+
+
+def _component() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+
+
+def jaccard_groups(docs: DataFrame, sample: int = 1 << 15, sample_least: int = 3, sample_most: int = 1 << 20) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    docs, sets, tiles = _tiled(docs, sample, sample_least, sample_most)
+    known = _known(sets)
     ordered = [F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")]
     stars = written(tiles.select("cls", F.explode(F.array("pivot", "lower")).alias("p")).filter("p IS NOT NULL AND p <> cls").select(*ordered).distinct(), "stars")
     links = _verified(stars, docs, known)
     roots = components(links)
-    labelled = tiles.join(roots, F.col("cls") == F.col("node"), "left")
-    members = labelled.select("s", F.shiftright("at", 24).alias("size"), F.col("at").bitwiseAND((1 << 24) - 1).alias("place"), "cls", F.coalesce("root", "cls").alias("root"))
-    rest = written(_cross_pairs(members, n).join(stars, ["a", "b"], "left_anti"), "rest")
+    members = _members(tiles.join(roots, F.col("cls") == F.col("node"), "left"), F.coalesce("root", "cls"))
+    rest = written(_cross_pairs(members, buckets(docs.sparkSession)).join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(links.union(_verified(rest, docs, known)))
-    firsts = known.groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = written(named.join(heads, "root").select("cls", "component_id"), "classes")
-    rows = sets.join(of_class, "cls", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return sets.join(_component_of_class(sets, roots), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), _component())
+
+
+def jaccard_links(docs: DataFrame, sample: int = 1 << 15, sample_least: int = 3, sample_most: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, n and class (cls), and all pairs a < b of different classes that are linked.
+
+    Rows of one class are linked with each other. Rows without a doc_id or a word have no class.
+    """
+    docs, sets, tiles = _tiled(docs, sample, sample_least, sample_most)
+    # Every class is a group of its own, so that no candidate is left out.
+    pairs = written(_cross_pairs(_members(tiles, F.col("cls")), buckets(docs.sparkSession)), "pairs")
+    return sets.withColumn("cls", F.when(F.col("doc_id").isNotNull(), F.col("cls"))), _verified(pairs, docs, _known(sets))
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and n_links, the number of other rows linked with it, of every row."""
+    rows, links = jaccard_links(docs, **options)
+    sizes = written(_known(rows).groupBy("cls").agg(F.count("*").alias("size")), "sizes")
+    both = links.union(links.select("b", "a"))
+    far = both.join(sizes, F.col("b") == F.col("cls")).groupBy("a").agg(F.sum("size").alias("far"))
+    counts = sizes.join(far, F.col("cls") == F.col("a"), "left").select("cls", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    classes = _component_of_class(rows, components(links)).join(counts, "cls")
+    return rows.join(classes, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), _component(), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:

@@ -13,7 +13,7 @@ from .langid import identify
 from .lm_scoring import score
 from .media import decode, encode
 from .mixing import mix
-from .ngram_join import jaccard_groups
+from .ngram_join import jaccard_groups, jaccard_join
 from .packing import pack
 from .secrets import BASE, scan
 from .substring_dedup import dedup
@@ -46,6 +46,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -169,7 +173,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op5_ngram_jaccard_links, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

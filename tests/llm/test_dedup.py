@@ -137,6 +137,39 @@ def test_jaccard_groups(spark):
             assert got == want
 
 
+def linked_pairs(texts):
+    words = {k: (t or "").lower().split() for k, t in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for k, w in words.items()}
+    return {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+def test_jaccard_links_within_groups(spark):
+    for seed in (1, 2):
+        texts = near_corpus(seed)
+        df = spark.createDataFrame(list(texts.items()), SCHEMA)
+        want = linked_pairs(texts)
+        rows, links = ngram_join.jaccard_links(df)
+        of = {}
+        for r in rows.filter("cls IS NOT NULL").collect():
+            of.setdefault(r["cls"], []).append(r["doc_id"])
+        pairs = [(r["a"], r["b"]) for r in links.collect()]
+        assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+        got = {tuple(sorted((x, y))) for a, b in pairs for x in of[a] for y in of[b]} | {(x, y) for c in of.values() for x in c for y in c if x < y}
+        assert got == want
+        groups = ngram_join.brute_force(texts)
+        rows = ngram_join.jaccard_join(df, sample_least=1).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups
+        assert {r["doc_id"]: r["n_links"] for r in rows} == {k: sum(k in p for p in want) for k in texts}
+        assert {r["class_id"] for r in rows} - {None} == set(of)
+
+
+def test_jaccard_links_of_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], SCHEMA)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["class_id"] is None, r["n_links"]) for r in ngram_join.jaccard_join(df).collect()), key=str)
+    assert got == sorted([(5, 2, 3, False, 2), (5, 2, 3, False, 2), (None, 2, None, True, 0), (3, 2, 3, False, 2), (9, 0, 9, True, 0)], key=str)
+    assert ngram_join.jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_jaccard_nulls_and_repeats(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], SCHEMA)
     got = sorted(map(tuple, ngram_join.jaccard_groups(df).collect()), key=str)
