@@ -161,6 +161,12 @@ def photographer_files(spark, d):
     return spark.sql("SELECT photographer, count(*) AS photos, string_agg(file_name, ', ') WITHIN GROUP (ORDER BY file_name) AS files FROM stridemark_photos WHERE photo_id % 97 = 0 GROUP BY photographer")
 
 
+@query(HEAD + "SELECT photographer, count(*) AS photos, string_agg(file_name, ', ' ORDER BY file_name) AS files FROM photos GROUP BY photographer")
+def photographer_files_all(spark, d):
+    photos(spark, d).createOrReplaceTempView("stridemark_photos")
+    return spark.sql("SELECT photographer, count(*) AS photos, string_agg(file_name, ', ') WITHIN GROUP (ORDER BY file_name) AS files FROM stridemark_photos GROUP BY photographer")
+
+
 @query("SELECT a.t AS a, b.t AS b FROM (SELECT c_custkey::VARCHAR AS t FROM customer) a JOIN (SELECT p_partkey::VARCHAR AS t FROM part) b ON a.t <> b.t AND abs(length(a.t) - length(b.t)) <= 1 AND levenshtein(a.t, b.t) <= 1")
 def fuzzy_lev1_pairs(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("a"))

@@ -24,6 +24,24 @@ def test_same_as_sql(spark, name):
     assert values(got.select(*columns).collect()) == values(want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+def sql_rows(sql, tables=TABLES):
+    db = duckdb.connect()
+    for t in tables:
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    return db.sql(sql).fetchall()
+
+
+def same(got, name):
+    columns = sorted(got.columns)
+    return values(got.select(*columns).collect()) == values(sql_rows(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})"))
+
+
+def test_all_photographer_files(spark):
+    got = registry.queries()["photographer_files_all"](spark, SMALL)
+    assert same(got, "photographer_files_all")
+    assert sum(r["photos"] for r in got.collect()) == sum(r["files"].count(".jpg") for r in got.collect()) == sql_rows("SELECT count(*) FROM orders")[0][0]
+
+
 def test_every_query_has_a_plan(spark):
     for name, q in registry.queries().items():
         assert q(spark, SMALL).columns, name
