@@ -208,3 +208,17 @@ def pattern_completions(spark, d):
 def start_list_neighbours(spark, d):
     a = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("a"))
     return m.one_digit_apart(a, table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("b")), "a", "b")
+
+
+@query("SELECT DISTINCT p AS pattern, n AS number FROM (SELECT DISTINCT substr(c_custkey::VARCHAR, 1, length(c_custkey::VARCHAR) - 1) || '?' AS p FROM customer) JOIN (SELECT p_partkey::VARCHAR AS n FROM part) ON length(p) = length(n) AND substr(p, 1, length(p) - 1) = substr(n, 1, length(n) - 1)")
+def pattern_completions_all(spark, d):
+    bib = F.col("c_custkey").cast("string")
+    patterns = table(spark, d, "customer").select(F.concat(F.substring(bib, F.lit(1), F.length(bib) - 1), F.lit("?")).alias("pattern"))
+    known = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("number"))
+    return m.complete_patterns(patterns, known, "pattern", "number").filter(pattern_matches(F.col("pattern"), F.col("number")))
+
+
+@query("SELECT a.t AS a, b.t AS b FROM (SELECT c_custkey::VARCHAR AS t FROM customer) a JOIN (SELECT p_partkey::VARCHAR AS t FROM part) b ON length(a.t) = length(b.t) AND hamming(a.t, b.t) = 1")
+def start_list_neighbours_all(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("a"))
+    return m.one_digit_apart(a, table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("b")), "a", "b")

@@ -42,6 +42,20 @@ def test_all_photographer_files(spark):
     assert sum(r["photos"] for r in got.collect()) == sum(r["files"].count(".jpg") for r in got.collect()) == sql_rows("SELECT count(*) FROM orders")[0][0]
 
 
+def test_all_start_list_neighbours(spark):
+    got, part = (registry.queries()[n](spark, SMALL) for n in ("start_list_neighbours_all", "start_list_neighbours"))
+    assert same(got, "start_list_neighbours_all")
+    assert set(map(tuple, part.collect())) < set(map(tuple, got.collect()))
+
+
+def test_all_pattern_completions(spark, tmp_path):
+    assert same(registry.queries()["pattern_completions_all"](spark, SMALL), "pattern_completions_all")
+    spark.createDataFrame([(k,) for k in (3, 12, 20, 21, 140)], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k,) for k in (1, 10, 25, 29, 30, 149)], "p_partkey bigint").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.queries()["pattern_completions_all"](spark, str(tmp_path)).collect()  # no decade but the first has a ..3
+    assert {tuple(r) for r in got} == {("?", "1"), ("1?", "10"), ("2?", "25"), ("2?", "29"), ("14?", "149")} and len(got) == 5
+
+
 def test_every_query_has_a_plan(spark):
     for name, q in registry.queries().items():
         assert q(spark, SMALL).columns, name
