@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridemark.functions.text import natural_key
+
 
 def burst_support(frames: DataFrame, folder: str, position: str, values: str, reach: int = 6) -> DataFrame:
     """Rows with ``near``: how many frames within reach have each value, as (value, n), the frame itself left out.
@@ -59,6 +61,16 @@ def numbered(rows: DataFrame, key: str, order: list, start: Column) -> DataFrame
     return rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)) + F.coalesce(start, F.lit(0)))
 
 
+def natural_places(rows: DataFrame, name: Column, key: str) -> DataFrame:
+    """The rows with ``place`` in the natural order of all, then by key. The window without a partition has a row a name."""
+    named = rows.withColumn("__k", natural_key(name))
+    sizes = named.groupBy("__k").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("__k").alias("__j"), F.coalesce(before, F.lit(0)).alias("__before"))
+    ranked = named.withColumn("__i", F.row_number().over(Window.partitionBy("__k").orderBy(key)))
+    return ranked.join(starts, F.col("__k").eqNullSafe(F.col("__j"))).withColumn("place", F.col("__before") + F.col("__i")).drop("__k", "__j", "__i", "__before")
+
+
 def shot_order(photos: DataFrame, folder: str, shot: str, name_key: Column) -> DataFrame:
     """Rows with ``place`` in the folder: by time if every photo has one, else by name."""
     all_timed = F.min(F.col(shot).isNotNull()).over(Window.partitionBy(folder))

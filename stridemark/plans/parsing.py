@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stridemark.functions import geometry as g
 from stridemark.functions import text as t
 from stridemark.functions import times
+from stridemark.operators import windows as w
 
 from .adapters import HEAD, detections, photos, runners, table
 from .registry import query
@@ -114,6 +115,11 @@ def natural_order(spark, d):
     return table(spark, d, "part").orderBy(t.natural_key(F.col("p_brand")), "p_partkey").limit(50).select("p_partkey", F.lower("p_brand").alias("brand"))
 
 
+@query("SELECT p_partkey, lower(p_brand) AS brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^[^0-9]*'), regexp_extract(p_brand, '[0-9]+')::INT, p_partkey) AS place FROM part")
+def natural_order_all(spark, d):
+    return w.natural_places(table(spark, d, "part"), F.col("p_brand"), "p_partkey").select("p_partkey", F.lower("p_brand").alias("brand"), "place")
+
+
 def _boxes(spark, d):
     n = F.col("l_linenumber")
     x, y = (F.col("l_partkey") % 50 * 10).cast("double"), (F.col("l_suppkey") % 20 * 10).cast("double")

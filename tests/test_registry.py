@@ -56,6 +56,16 @@ def test_all_pattern_completions(spark, tmp_path):
     assert {tuple(r) for r in got} == {("?", "1"), ("1?", "10"), ("2?", "25"), ("2?", "29"), ("14?", "149")} and len(got) == 5
 
 
+def test_natural_order_of_all(spark, tmp_path):
+    got = registry.queries()["natural_order_all"](spark, SMALL)
+    assert same(got, "natural_order_all")
+    assert sorted(r["place"] for r in got.collect()) == list(range(1, sql_rows("SELECT count(*) FROM part")[0][0] + 1))
+    brands = ["b10", "B9", "b9", "a2x10", "a2x9", "a", None]
+    spark.createDataFrame(list(enumerate(brands)), "p_partkey bigint, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.queries()["natural_order_all"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["brand"] for r in got] == [None, "a", "a2x9", "a2x10", "b9", "b9", "b10"] and [r["p_partkey"] for r in got][4:6] == [1, 2]
+
+
 def test_every_query_has_a_plan(spark):
     for name, q in registry.queries().items():
         assert q(spark, SMALL).columns, name
