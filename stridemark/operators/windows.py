@@ -61,6 +61,13 @@ def numbered(rows: DataFrame, key: str, order: list, start: Column) -> DataFrame
     return rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)) + F.coalesce(start, F.lit(0)))
 
 
+def numbered_after(old: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
+    """The old rows as they are, and the new ones numbered after the largest number that their key has in old."""
+    top = old.groupBy(F.col(key).alias("__key")).agg(F.max("number").alias("__top"))
+    known = new.join(top, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return old.unionByName(numbered(known, key, order, F.col("__top")).drop("__key", "__top"))
+
+
 def natural_places(rows: DataFrame, name: Column, key: str) -> DataFrame:
     """The rows with ``place`` in the natural order of all, then by key. The window without a partition has a row a name."""
     named = rows.withColumn("__k", natural_key(name))

@@ -139,6 +139,17 @@ def number_after_max(spark, d):
     return w.numbered(photos(spark, d).filter("photo_id % 2 = 1"), "photographer", ["captured_at", "photo_id"], F.lit(1000)).select("photo_id", "number")
 
 
+@query(HEAD + """
+, old AS (SELECT photographer, max(photo_id) AS top FROM photos WHERE photo_id % 2 = 0 GROUP BY photographer)
+SELECT photo_id, photo_id AS number FROM photos WHERE photo_id % 2 = 0
+UNION ALL SELECT photo_id, coalesce(top, 0) + row_number() OVER (PARTITION BY photographer ORDER BY captured_at, photo_id) FROM photos LEFT JOIN old USING (photographer) WHERE photo_id % 2 = 1
+""")
+def number_after_max_all(spark, d):
+    """Even photos are there already, with their photo_id as number; odd ones are numbered after their photographer's largest."""
+    old = photos(spark, d).filter("photo_id % 2 = 0").withColumn("number", F.col("photo_id"))
+    return w.numbered_after(old, photos(spark, d).filter("photo_id % 2 = 1"), "photographer", ["captured_at", "photo_id"]).select("photo_id", "number")
+
+
 @query(HEAD + "SELECT photo_id, row_number() OVER (PARTITION BY photographer ORDER BY CASE WHEN photographer < '3' THEN captured_at END, file_name) AS place FROM photos")
 def shot_order(spark, d):
     rows = photos(spark, d).withColumn("shot", F.when((F.col("photographer") < "3") | (F.col("photo_id") % 100 != 0), F.col("captured_at")))

@@ -69,3 +69,9 @@ def test_natural_order_of_all(spark, tmp_path):
 def test_every_query_has_a_plan(spark):
     for name, q in registry.queries().items():
         assert q(spark, SMALL).columns, name
+
+
+def test_all_photos_are_numbered(spark):
+    got = registry.queries()["number_after_max_all"](spark, SMALL)
+    assert same(got, "number_after_max_all")
+    assert got.count() == sql_rows("SELECT count(*) FROM orders")[0][0]

@@ -68,6 +68,12 @@ def test_windows(spark):
     assert rows(windows.stratified(spark.createDataFrame([(f, str(i)) for f in "ab" for i in range(9)], "f string, n string"), "f", "n", 4).groupBy("f").count()) == [("a", 2), ("b", 2)]
 
 
+def test_numbers_go_on_after_the_largest(spark):
+    old = spark.createDataFrame([("a", 7, 40), ("a", 3, 41), ("b", 2, 42)], "k string, number long, i int")
+    new = spark.createDataFrame([("a", 2), ("a", 1), ("c", 3), ("b", 4)], "k string, i int")
+    assert rows(windows.numbered_after(old, new, "k", ["i"]), "k", "i", "number") == [("a", 1, 8), ("a", 2, 9), ("a", 40, 7), ("a", 41, 3), ("b", 4, 3), ("b", 42, 2), ("c", 3, 1)]
+
+
 def test_plugins_keep_errors_as_data(spark):
     class Broken:
         def read_batch(self, crops):
