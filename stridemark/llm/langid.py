@@ -4,7 +4,12 @@ A text is lower-cased; each run of other characters than letters counts as one s
 into ``dims`` places, counted over the whole text, damped by log(1 + n), weighed by inverse document frequency and
 normalised. Each language's sample is clustered into ``centroids`` unit vectors by spherical k-means. A text gets the
 language of the nearest centroid; its score is that cosine. A text is rejected if it has no letter, or if its cosine
-distance is over ``1 - least``.
+is under the centroid's floor for texts of its length, or under ``least``.
+
+The floors come from the learned rows: every one, whole and cut after 1, 2, 4, ... letters, gives a cosine to the
+nearest centroid of its language, and of a centroid's cosines at a length the ``quantile``, times ``margin`` as the
+rows have been learned from, is the floor. Length is the number of different n-grams, so that a word said a thousand
+times is a short text. A length with fewer than ``enough`` cosines has the floor of the next shorter one.
 
 The model is fitted on a bounded sample: about ``per_language`` rows of each of the ``languages`` most frequent values,
 ``sample`` rows in all, chosen by a hash of doc_id so that any size of input yields as many. Prediction reads every
@@ -29,6 +34,8 @@ from .common import bounded_batches
 
 UND = "und"
 NEW = ("lang_pred", "score", "rejected")
+#: Levels of length; the last is that of all longer texts.
+LEVELS = 13
 
 
 @dataclass
@@ -39,6 +46,8 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     least: float
+    #: Least cosine by level of length and centroid; none has ``least`` alone.
+    floors: np.ndarray | None = None
 
 
 class Vectors:
@@ -51,10 +60,20 @@ class Vectors:
 
     def counts(self, text: str | None) -> np.ndarray | None:
         """None if there is no letter."""
+        return self.counts_and_level(text)[0]
+
+    def cuts(self, text: str) -> list[str]:
+        """The text's beginnings with 1, 2, 4, ... letters, and the text."""
+        low = text.lower()
+        at = np.flatnonzero(self.letter[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        return [low[: at[(1 << k) - 1] + 1] for k in range(min(LEVELS, len(at).bit_length()))] + [text] * (len(at) > 0)
+
+    def counts_and_level(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """The counts, None if there is no letter, and the level of length: the binary logarithm of the different n-grams."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = self.letter[codes]
         if not letters.any():
-            return None
+            return None, 0
         keep = letters.copy()
         keep[1:] |= letters[:-1]  # of other characters, the first after a letter
         c = np.where(letters, codes, 32)[keep].astype(np.uint32)
@@ -64,7 +83,7 @@ class Vectors:
         for n in (1, 2):
             h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(2246822519) + c[n:] * np.uint32(3266489917)
             out += np.bincount(h >> self.shift, minlength=self.dims)
-        return out
+        return out, min(LEVELS, int(np.count_nonzero(out)).bit_length()) - 1
 
 
 def crc_part(doc_id: Column, parts: int = 5) -> Column:
@@ -88,7 +107,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language: int = 400, sample: int = 2400, languages: int = 256, least: float = 0.1) -> Model:
+def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language: int = 400, sample: int = 2400, languages: int = 256, least: float = 0.1, quantile: float = 0.01, margin: float = 0.6, enough: int = 20) -> Model:
     """Learn from the rows with text and lang given, which must not be those held out."""
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
@@ -109,7 +128,8 @@ def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language:
             yield pd.Series([None if v is None else np.minimum(v, 65535).astype(np.uint16).tobytes() for v in found], dtype=object)
 
     bounded_batches(labelled.sparkSession)
-    got = rows.withColumn("__u", u).filter(F.col("__u") < part).select("lang", "__u", counted("text").alias("v")).filter("v IS NOT NULL").orderBy("lang", "__u").collect()
+    chosen = rows.withColumn("__u", u).filter(F.col("__u") < part)
+    got = chosen.select("lang", "__u", counted("text").alias("v")).filter("v IS NOT NULL").orderBy("lang", "__u").collect()
     if not got:
         return empty
     x = np.log1p(np.stack([np.frombuffer(r["v"], np.uint16) for r in got]).astype(np.float32))
@@ -119,7 +139,43 @@ def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language:
     langs = np.array([r["lang"] for r in got], dtype=object)
     names = sorted(set(langs))
     parts = [_cluster(x[langs == name], centroids) for name in names]
-    return Model(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.concatenate(parts).T.astype(np.float32), idf, least)
+    owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
+    model = Model(names, owner, np.concatenate(parts).T.astype(np.float32), idf, least)
+    model.floors = _floors(chosen, model, quantile, margin, enough)
+    return model
+
+
+def _floors(chosen: DataFrame, model: Model, quantile: float, margin: float, enough: int) -> np.ndarray:
+    """The floors by level and centroid, from the learned rows."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<struct<level:int,centroid:int,cosine:double>>")
+    def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m = shared.value
+        vectors = Vectors(len(m.idf))
+        for texts, langs in batches:
+            out = []
+            for text, lang in zip(texts, langs, strict=True):
+                cuts = vectors.cuts(text)
+                if not cuts or lang not in m.languages:
+                    out.append([])
+                    continue
+                own = np.flatnonzero(m.owner == m.languages.index(lang))
+                levels, x = zip(*[(n, v) for v, n in map(vectors.counts_and_level, cuts)], strict=True)
+                x = np.log1p(np.stack(x).astype(np.float32)) * m.idf
+                cosine = (x @ m.centroids[:, own]) / np.linalg.norm(x, axis=1, keepdims=True)
+                out.append([{"level": n, "centroid": int(own[j]), "cosine": float(c[j])} for n, c in zip(levels, cosine, strict=True) for j in [c.argmax()]])
+            yield pd.Series(out, dtype=object)
+
+    # About sample rows, LEVELS + 1 numbers each.
+    got = chosen.select(F.explode(measured("text", "lang")).alias("c")).select("c.*").toPandas()
+    floors = np.full((LEVELS, len(model.owner)), model.least)
+    for level in range(LEVELS):
+        floors[level] = floors[max(0, level - 1)]
+        for centroid, found in got[got["level"] == level].groupby("centroid")["cosine"]:
+            if len(found) >= enough:
+                floors[level, centroid] = max(model.least, margin * found.quantile(quantile))
+    return floors
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
@@ -133,18 +189,20 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         vectors = Vectors(len(m.idf))
         for texts in batches:
-            names, scores = np.full(len(texts), UND, dtype=object), np.zeros(len(texts))
+            names, scores, floors = np.full(len(texts), UND, dtype=object), np.zeros(len(texts)), np.full(len(texts), m.least)
             for a in range(0, len(texts), 256) if m.languages else ():
-                found = [(i, v) for i, t in enumerate(texts.iloc[a : a + 256], a) if (v := vectors.counts(t)) is not None]
+                found = [(i, *v) for i, t in enumerate(texts.iloc[a : a + 256], a) if (v := vectors.counts_and_level(t))[0] is not None]
                 if not found:
                     continue
-                at = np.array([i for i, _ in found])
-                x = np.log1p(np.stack([v for _, v in found]).astype(np.float32)) * m.idf
+                at = np.array([i for i, _, _ in found])
+                x = np.log1p(np.stack([v for _, v, _ in found]).astype(np.float32)) * m.idf
                 cosine = (x @ m.centroids) / np.linalg.norm(x, axis=1, keepdims=True)
                 best = cosine.argmax(axis=1)
                 scores[at] = np.clip(cosine[np.arange(len(at)), best], 0, 1)
+                if m.floors is not None:
+                    floors[at] = m.floors[[n for _, _, n in found], best]
                 names[at] = [m.languages[m.owner[b]] for b in best]
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": (names == UND) | (scores < m.least)})
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": (names == UND) | (scores < floors)})
 
     rows = docs.drop(*NEW).withColumn("__p", predict(F.col("text")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW], *[F.col(f"__p.{c}").alias(c) for c in NEW])

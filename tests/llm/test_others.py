@@ -118,6 +118,23 @@ def test_languages(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_unknown_languages_are_rejected(spark):
+    import base64
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.filter(langid.crc_part(F.col("doc_id")) != 0))
+    short = docs.filter((langid.crc_part(F.col("doc_id")) == 0) & F.col("text").rlike("[A-Za-z]")).select("doc_id", F.substring("text", 1, 60).alias("text"))
+    assert langid.classify(short, model).select(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.02
+    rnd = random.Random(3)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    odd = [finnish, letters(300), " ".join(letters(6) for _ in range(100)), base64.b64encode(rnd.randbytes(300)).decode(), rnd.randbytes(300).hex()]
+    clean = ["the house", "the cat and the dog were in the house", "la casa es de la mujer", "der Mann und die Frau sind in der Stadt", "the " * 1000]
+    rows = spark.createDataFrame(list(enumerate(odd + clean)), "doc_id bigint, text string")
+    assert [r["rejected"] for r in langid.classify(rows, model).orderBy("doc_id").collect()] == [True] * len(odd) + [False] * len(clean)
+
+
 def test_lm_repeats_and_nulls(spark):
     rows = [(1, "a b a b c"), (1, "a b a b c"), (2, None), (None, "a b"), (3, " "), (4, "z")]
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
