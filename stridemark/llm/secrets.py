@@ -27,7 +27,8 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]+", False),
     ("hex", r"[0-9a-f]{32,}", False),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", False),
-    ("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", False),
+    # To the END line; where there is none, the first line alone.
+    ("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----(((Proc-Type|DEK-Info):[A-Za-z0-9,\x20\-]+|[A-Za-z0-9+/=\\\x09\x0A\x0D\x20])*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----)?", False),
     ("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", False),
 ]
 #: How many characters a match needs, and the value that ends it. Judged after the match: counted repetitions of
