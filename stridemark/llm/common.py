@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +14,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names, which every executor sees.
 
-    Only where that is unset, as in tests in local mode, a temporary folder takes its place.
+    Where that is unset, a session in local mode, whose one machine sees its own folders, gets one below its warehouse;
+    on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="stridemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,10 +32,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bound what Spark hands to a Python worker at once: long texts make the default of 10,000 rows too much."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Bound what Spark hands to a Python worker at once: long texts make the default of 10,000 rows too much.
+
+    The operators return plans that run later, so that the session keeps the bounds; smaller ones that it has stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def n_words(text: Column) -> Column:
@@ -43,7 +58,7 @@ def n_words(text: Column) -> Column:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Number of hash ranges of an exchange: the session's number of shuffle partitions."""
+    """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 

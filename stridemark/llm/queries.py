@@ -13,7 +13,7 @@ from .langid import identify
 from .lm_scoring import score
 from .media import decode, encode
 from .mixing import mix
-from .ngram_join import jaccard_groups, jaccard_join
+from .ngram_join import jaccard_join
 from .packing import pack
 from .secrets import BASE, scan
 from .substring_dedup import dedup
@@ -43,10 +43,6 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents"))
-
-
-def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
@@ -151,15 +147,18 @@ WITH RECURSIVE w AS MATERIALIZED (
 ), s AS MATERIALIZED (
   SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS g
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
-), c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+), c AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+k AS (SELECT k, min(doc_id) AS class_id FROM c GROUP BY k),
 l AS MATERIALIZED (
   SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
   JOIN c ca ON ca.doc_id = p.a JOIN c cb ON cb.doc_id = p.b WHERE 100 * m >= 75 * (ca.n + cb.n - m)
 ), r AS (
   SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 )
-SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
-FROM w LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = w.doc_id
+SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id,
+  coalesce(k.class_id, w.doc_id) AS class_id, coalesce(f.n, 0)::BIGINT AS n_links
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.k = c.k LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = w.doc_id
+  LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) f ON f.a = w.doc_id
 """
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -173,7 +172,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op5_ngram_jaccard_links, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,9 +1,8 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from stridemark.llm import ngram_join, substring_dedup
+from stridemark.llm import ngram_join, runs, substring_dedup
 from stridemark.llm.components import components
 from stridemark.llm.runs import Folder, bucket_of, pack, unpack
 from stridemark.llm.shingles import Words
@@ -88,15 +87,38 @@ def test_many_compactions_keep_the_history(spark):
     assert len(names) >= 5 and sorted(out, key=str) == brute_force(docs)
 
 
-def test_runs(tmp_path):
-    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64) * 2)
-    row, place = np.arange(500) - 250, np.arange(500, dtype=np.uint32)
-    back = unpack(pack(h, row, place), ("<u8", "<i8", "<u4"))
-    assert all((a == b).all() for a, b in zip(back, (h, row, place)))
-    cuts = np.searchsorted(bucket_of(h, 4), np.arange(5))
+def test_runs(tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "FRAME", 7)
+    rnd = np.random.default_rng(1)
+    folder, rows = Folder(str(tmp_path)), []
+    for part in range(5):
+        h = np.sort(rnd.integers(0, 40, 300).astype(np.uint64) << np.uint64(58))
+        row = np.arange(300) * 5 + part
+        order = np.lexsort((row, h))
+        h, row, place = h[order], row[order] - 700, np.arange(300, dtype=np.uint32)
+        rows += zip(h.tolist(), row.tolist(), place.tolist())
+        back = unpack(pack(h, row, place))
+        assert all((a == b).all() for a, b in zip(back, (h, row, place)))
+        cuts = np.searchsorted(bucket_of(h, 4), np.arange(5))
+        folder.write(f"p{part}.run", [pack(h[a:b], row[a:b], place[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], part)
+        folder.write(f"p{part}.run", [pack(h[a:b], row[a:b], place[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], part + 10)  # a task done twice
+    assert len(folder.names()) == 5
+    got = [x for b in range(4) for block in runs.merged([folder.frames(n, b) for n in folder.names()]) for x in zip(*(c.tolist() for c in block))]
+    assert got == sorted(rows)
+
+
+def test_runs_settle(spark, tmp_path):
     folder = Folder(str(tmp_path))
-    folder.write("p1.run", [pack(h[a:b], row[a:b], place[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], 1)
-    assert np.concatenate([folder.read("p1.run", b)[0] for b in range(4)]).tolist() == h.tolist()
+    rnd = np.random.default_rng(2)
+    want = []
+    for part in range(11):
+        h = np.sort(rnd.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2))
+        cuts = np.searchsorted(bucket_of(h, 3), np.arange(4))
+        folder.write(f"p{part}.run", [pack(h[a:b], np.full(b - a, part)) for a, b in zip(cuts[:-1], cuts[1:])], part)
+        want += h.tolist()
+    names = runs.settled(spark, str(tmp_path), 3, fan=3)
+    assert len(names) <= 3 and folder.names() == names
+    assert [x for b in range(3) for block in runs.merged([folder.frames(n, b) for n in names]) for x in block[0].tolist()] == sorted(want)
 
 
 def test_words_are_bytes_split():
@@ -132,7 +154,7 @@ def test_jaccard_groups(spark):
         texts = near_corpus(seed)
         df = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id bigint, text string, n bigint")
         want = ngram_join.brute_force(texts)
-        for options in ({}, {"sample_least": 1}):  # the order of shingles may not matter
+        for options in ({}, {"ranges": 3}, {"most": 300}, {"most": 60}):  # units taken apart into tiles, and tiles into blocks
             got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(df, **options).collect()}
             assert got == want
 
@@ -148,39 +170,69 @@ def test_jaccard_links_within_groups(spark):
         texts = near_corpus(seed)
         df = spark.createDataFrame(list(texts.items()), SCHEMA)
         want = linked_pairs(texts)
-        rows, links = ngram_join.jaccard_links(df)
-        of = {}
-        for r in rows.filter("cls IS NOT NULL").collect():
-            of.setdefault(r["cls"], []).append(r["doc_id"])
-        pairs = [(r["a"], r["b"]) for r in links.collect()]
-        assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
-        got = {tuple(sorted((x, y))) for a, b in pairs for x in of[a] for y in of[b]} | {(x, y) for c in of.values() for x in c for y in c if x < y}
-        assert got == want
         groups = ngram_join.brute_force(texts)
-        rows = ngram_join.jaccard_join(df, sample_least=1).collect()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups
-        assert {r["doc_id"]: r["n_links"] for r in rows} == {k: sum(k in p for p in want) for k in texts}
-        assert {r["class_id"] for r in rows} - {None} == set(of)
-
-
-def test_jaccard_links_of_nulls_and_repeats(spark):
-    df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], SCHEMA)
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["class_id"] is None, r["n_links"]) for r in ngram_join.jaccard_join(df).collect()), key=str)
-    assert got == sorted([(5, 2, 3, False, 2), (5, 2, 3, False, 2), (None, 2, None, True, 0), (3, 2, 3, False, 2), (9, 0, 9, True, 0)], key=str)
-    assert ngram_join.jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
+        for options in ({}, {"most": 400}, {"most": 60}):
+            rows, links = ngram_join.jaccard_links(df, **options)
+            of = {}
+            for r in rows.filter("c1 IS NOT NULL").collect():
+                of.setdefault((r["c1"], r["c2"]), []).append(r["doc_id"])
+            pairs = [((r["a1"], r["a2"]), (r["b1"], r["b2"])) for r in links.collect()]
+            assert len({frozenset(p) for p in pairs}) == len(pairs)
+            got = {tuple(sorted((x, y))) for a, b in pairs for x in of[a] for y in of[b]} | {(x, y) for c in of.values() for x in c for y in c if x < y}
+            assert got == want
+            rows = ngram_join.jaccard_join(df, **options).collect()
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups
+            assert {r["doc_id"]: r["n_links"] for r in rows} == {k: sum(k in p for p in want) for k in texts}
+            alike = {d: min(c) for c in of.values() for d in c}
+            assert {r["doc_id"]: r["class_id"] for r in rows} == {k: alike.get(k, k) for k in texts}
+
+
+def test_jaccard_chains_and_hot_groups(spark):
+    """A chain whose ends are unlike, and many unlike copies of one text, with and without their base."""
+    rnd = random.Random(9)
+    word = lambda: rnd.choice("abcdefgh") + str(rnd.randint(0, 10**6))
+    chain = [[word() for _ in range(120)]]
+    for _ in range(12):
+        chain.append([*chain[-1][6:], *[word() for _ in range(6)]])
+    base, copies = [word() for _ in range(100)], []
+    for _ in range(80):
+        copy = list(base)
+        for at in rnd.sample(range(100), 2):
+            copy[at] = word()
+        copies.append(copy)
+    texts = dict(enumerate(" ".join(t) for t in chain + copies))
+    want, pairs = ngram_join.brute_force(texts), linked_pairs(texts)
+    assert len({c for i, (_, c) in want.items() if i < 13}) == 1 and (0, 12) not in pairs
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA + ", n_links string")
+    for options in ({}, {"most": 2000}):
+        rows = ngram_join.jaccard_join(df, **options).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+        assert {r["doc_id"]: r["n_links"] for r in rows} == {k: sum(k in p for p in pairs) for k in texts}
+
+
+def test_hot_shingles_stay_bounded(spark, monkeypatch):
+    texts = near_corpus(3)
+    df = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(3)
+    monkeypatch.setattr(ngram_join, "MOST", 3)  # from so many rows on a shingle's rows go out block by block
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(df, ranges=2).collect()}
+    assert got == ngram_join.brute_force(texts)
 
 
 def test_jaccard_nulls_and_repeats(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], SCHEMA)
-    got = sorted(map(tuple, ngram_join.jaccard_groups(df).collect()), key=str)
-    assert got == sorted([(5, 2, 3), (5, 2, 3), (None, 2, None), (3, 2, 3), (9, 0, 9)], key=str)
+    got = sorted((tuple(r) for r in ngram_join.jaccard_join(df).select("doc_id", "n_shingles", "component_id", "class_id", "n_links").collect()), key=str)
+    assert got == sorted([(5, 2, 3, 3, 2), (5, 2, 3, 3, 2), (None, 2, None, None, 0), (3, 2, 3, 3, 2), (9, 0, 9, 9, 0)], key=str)
+    assert ngram_join.jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_bitmaps_bound_overlaps():
     rnd = np.random.default_rng(3)
     for _ in range(200):
-        x, y = (np.unique(rnd.integers(0, 4000, rnd.integers(1, 600)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        assert ngram_join.overlap_bound(ngram_join.bitmap(x), len(x), ngram_join.bitmap(y), len(y)) >= len(np.intersect1d(x, y))
+        sets = [np.unique(rnd.integers(0, 4000, rnd.integers(1, 600)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(3)]
+        sizes = np.array([len(x) for x in sets])
+        maps = ngram_join.bitmaps(np.concatenate(sets), np.repeat(np.arange(3), sizes), 3, 256)
+        bound = ngram_join.overlap_bound(maps[0], sizes[0], maps, sizes)
+        assert all(m >= len(np.intersect1d(sets[0], x)) for m, x in zip(bound, sets)) and bound[0] == sizes[0]
 
 
 def test_prefixes_meet():
@@ -203,15 +255,3 @@ def test_components(spark):
             root[y] = x
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in root}
-
-
-def test_unlike_pairs_survive_batch_borders(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        rows = [(s, c, (10 << 24) + 1) for s in range(30) for c in range(s % 5)] + [(3, 1, (10 << 24) + 1)]
-        df = spark.createDataFrame(rows, "s bigint, cls bigint, at bigint")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-        got = sorted((r["s"], r["cls"], r["pivot"]) for r in ngram_join._stars(df, 3).select("s", "cls", F.coalesce("pivot", F.lit(-1)).alias("pivot")).collect())
-        assert got == sorted((s, c, 0 if c else -1) for s in range(30) if s % 5 > 1 for c in range(s % 5))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
