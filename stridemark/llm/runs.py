@@ -178,12 +178,15 @@ class Folder:
 
 
 class Writer:
-    """Sorts a task's rows in chunks by their first two columns and writes each chunk as a run of the folder."""
+    """Sorts a task's rows in chunks by their first two columns and writes each chunk as a run of the folder.
 
-    def __init__(self, folder: str, ranges: int, chunk: int = 1_000_000) -> None:
+    Jobs that write to one folder need prefixes of their own, and each task (of a range) one writer.
+    """
+
+    def __init__(self, folder: str, ranges: int, prefix: str = "p", chunk: int = 1_000_000) -> None:
         context = TaskContext.get()
         self.folder, self.ranges, self.chunk = Folder(folder), ranges, chunk
-        self.part, self.attempt = context.partitionId(), context.taskAttemptId()
+        self.part, self.attempt, self.prefix = context.partitionId(), context.taskAttemptId(), prefix
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = self.number = 0
 
@@ -201,7 +204,7 @@ class Writer:
             order = np.lexsort((columns[1], columns[0]))
             columns = tuple(c[order] for c in columns)
             cuts = np.searchsorted(bucket_of(columns[0], self.ranges), np.arange(self.ranges + 1))
-            self.folder.write(f"p{self.part:06d}-{self.number:05d}.run", (pack(*[c[a:b] for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), self.attempt)
+            self.folder.write(f"{self.prefix}{self.part:06d}-{self.number:05d}.run", (pack(*[c[a:b] for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), self.attempt)
             self.held, self.size, self.number = [], 0, self.number + 1
 
 

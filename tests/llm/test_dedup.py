@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from stridemark.llm import ngram_join, runs, substring_dedup
 from stridemark.llm.components import components
@@ -43,7 +44,7 @@ SCHEMA = "doc_id bigint, text string"
 def test_substring_dedup(spark):
     docs = corpus()
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA + ", row string, n_words int")
-    got = sorted(map(tuple, substring_dedup.dedup(df, compact_above=2).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    got = sorted(map(tuple, substring_dedup.dedup(df, batches=4, ranges=5).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
     assert got == brute_force(docs)
 
 
@@ -60,31 +61,24 @@ def test_empty_dedup(spark):
     assert ngram_join.jaccard_groups(empty).count() == 0
 
 
-def test_later_batches_meet_compacted_runs(spark):
-    docs = [d for d in corpus(7) if d[0] is not None]
-    docs = sorted({d[0]: d for d in docs}.values())
-    index = substring_dedup.WindowIndex(spark, compact_above=1)
-    out, seen = [], None
-    for a in range(0, len(docs), 20):
-        batch = spark.createDataFrame([(i << 16, t) for i, t in docs[a : a + 20]], "row bigint, text string")
-        seen = batch if seen is None else seen.unionByName(batch)
-        out += [(r["row"] >> 16, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.add(batch, seen).collect()]
-        assert len(index.generations) == 1
-    assert sorted(out, key=str) == brute_force(docs)
-
-
-def test_many_compactions_keep_the_history(spark):
+def test_many_compactions_keep_the_history(spark, monkeypatch):
+    monkeypatch.setattr(runs, "FRAME", 50)
     docs = sorted({d[0]: d for d in corpus(8) if d[0] is not None}.values())
-    index = substring_dedup.WindowIndex(spark, compact_above=1)
+    index = substring_dedup.WindowIndex(spark, ranges=3, compact_at=1)
     out, seen, names = [], None, set()
     for a in range(0, len(docs), 8):  # seven batches
         batch = spark.createDataFrame([(i << 16, t) for i, t in docs[a : a + 8]], "row bigint, text string")
         seen = batch if seen is None else seen.unionByName(batch)
         out += [(r["row"] >> 16, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.add(batch, seen).collect()]
-        (name,) = index.generations
-        assert name not in names and Folder(name).names()
-        names.add(name)
-    assert len(names) >= 5 and sorted(out, key=str) == brute_force(docs)
+        folders = {g.folder for g in index.generations}
+        assert len(folders) == 1 + (a > 0) and not folders & {n for n in names if n not in folders} and all(Folder(f).names() for f in folders)
+        names |= folders
+    assert len(names) >= 10 and sorted(out, key=str) == brute_force(docs)
+
+
+def test_doc_ids_beyond_the_index_are_refused(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(spark.createDataFrame([(1 << 50, "a"), (1, "a")], SCHEMA))
 
 
 def test_runs(tmp_path, monkeypatch):

@@ -135,27 +135,41 @@ def test_unknown_languages_are_rejected(spark):
     assert [r["rejected"] for r in langid.classify(rows, model).orderBy("doc_id").collect()] == [True] * len(odd) + [False] * len(clean)
 
 
-def test_lm_repeats_and_nulls(spark):
-    rows = [(1, "a b a b c"), (1, "a b a b c"), (2, None), (None, "a b"), (3, " "), (4, "z")]
-    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+def lm_brute_force(rows, least=2):
     toks = [(t or "").split() for _, t in rows]
     uni = Counter(w for ws in toks for w in ws)
     two = Counter(p for ws in toks for p in zip(ws, ws[1:]))
     ctx = Counter(v for ws in toks for v in ws[:-1])
-    n = sum(uni.values())
-    want = []
+    n, out = sum(uni.values()), []
     for (i, _), ws in zip(rows, toks):
         s, backs = 0.0, 0
         for v, w in zip([None, *ws], ws):
             if v is None:
                 s += np.log(uni[w] / n)
-            elif two[v, w] >= 2:
+            elif two[v, w] >= least:
                 s += np.log(two[v, w] / ctx[v])
             else:
                 s, backs = s + np.log(0.4) + np.log(uni[w] / n), backs + 1
-        want.append((i, len(ws), backs, round(s / len(ws), 9) if ws else None))
-    key = lambda r: tuple(str(x) for x in r)
-    assert sorted(((r["doc_id"], r["n_words"], r["n_backoff"], r["score"] if r["score"] is None else round(r["score"], 9)) for r in got), key=key) == sorted(want, key=key)
+        out.append((i, len(ws), backs, round(s / len(ws), 8) if ws else None))
+    return sorted(out, key=str)
+
+
+def lm_rows(df):
+    return sorted(((r["doc_id"], r["n_words"], r["n_backoff"], r["score"] if r["score"] is None else round(r["score"], 8)) for r in df.collect()), key=str)
+
+
+def test_lm_hot_words_and_pairs(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice(["of the", "of", "the", "a"] + [f"w{k}" for k in range(60)]) for _ in range(n))
+    rows = [(i, text(rnd.randint(0, 80))) for i in range(60)] + [(100, "of the " * 400), (101, text(5000))]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, row string, part int")
+    for options in ({}, {"ranges": 3, "hot": 4}, {"ranges": 50}, {"least": 5}):
+        assert lm_rows(lm_scoring.score(df, **options)) == lm_brute_force(rows, options.get("least", 2))
+
+
+def test_lm_repeats_and_nulls(spark):
+    rows = [(1, "a b a b c"), (1, "a b a b c"), (2, None), (None, "a b"), (3, " "), (4, "z")]
+    assert lm_rows(lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"))) == lm_brute_force(rows)
     assert lm_scoring.score(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
