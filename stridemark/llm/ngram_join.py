@@ -4,8 +4,8 @@ Documents with the same set are one class. Classes get candidates by prefixes: i
 that are similar enough share one of the first ``n - ceil(share * n) + 1``. The order is by document frequency over the
 whole corpus, rarest first, so that a set with enough shingles of its own has no candidate at all:
 
-1. One pass over the texts gives every row's set size and class and writes the sets' shingles in sorted runs by hash
-   (see ``runs``). Copies within a task are written once.
+1. One pass over the different texts (by their SHA-256) gives each one's set size and class and writes the sets'
+   shingles in sorted runs by hash (see ``runs``). Texts of one class in a task are written once.
 2. One task a range of hashes merges the runs and gives back, for every shingle that two rows or more have, the row and
    the shingle's frequency. A row's shingles that don't come back are its own; they fill its prefix first.
 3. Classes whose prefix reaches a shared shingle are candidates; they keep their shared shingles, which is all that an
@@ -38,11 +38,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, buckets, drop, shared_dir, written
@@ -86,12 +85,20 @@ def overlap_bound(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray) -> np.n
     return np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
 
 
-def _index(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
-    """rid, doc_id, n and class (c1, c2) of every row; the shingles of rows with a doc_id go into runs.
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id and digest of every row; of every text its smallest doc_id and its rows; and each text once, or nearly."""
+    keyed = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
+    rows = written(keyed.select("doc_id", "digest"), "rows")
+    texts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows"), F.count("*").alias("all")), "texts")
+    again = texts.filter("all > 1").select("digest", "first")
+    return rows, texts, keyed.join(again, "digest", "left").filter("first IS NULL OR doc_id = first").select("doc_id", "digest", "text")
 
-    rid numbers the rows, by partition and place, as a repeated task does again.
+
+def _index(texts: DataFrame, folder: str, ranges: int) -> DataFrame:
+    """rid, digest, n and class (c1, c2) of every text, and whether it has a doc_id; the shingles of those go into runs.
+
+    rid numbers the texts, by partition and place.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, base, count, seen = Writer(folder, ranges), TaskContext.get().partitionId() << 33, 0, set()
@@ -110,15 +117,14 @@ def _index(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
             if fresh:
                 sizes = [len(sets[i]) for i in fresh]
                 out.add(np.concatenate([sets[i] for i in fresh]), np.repeat(rid[fresh], sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(rid), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]], ["rid", "doc_id", "n", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), b.column("digest"), pa.array(known), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]], ["rid", "digest", "known", "n", "c1", "c2"])
         out.flush()
 
-    return docs.mapInArrow(of, f"rid bigint, doc_id {kind}, n bigint, c1 bigint, c2 bigint")
+    return texts.mapInArrow(of, "rid bigint, digest binary, known boolean, n bigint, c1 bigint, c2 bigint")
 
 
-def _shared(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
+def _shared(spark: SparkSession, folder: str, ranges: int) -> DataFrame:
     """rid, df and s for every shingle that two rows or more have; df is MOST at most."""
-    spark = docs.sparkSession
     names = settled(spark, folder, ranges)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +155,7 @@ def _shared(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
 
 def _candidates(sets: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
     """rid, n, the sorted shared shingles and the shared ones in the prefix, of rows whose prefix reaches one."""
-    known = sets.filter("doc_id IS NOT NULL AND n > 0")
-    rows = shared.unionByName(known.select("rid", F.lit(-1).alias("df"), F.col("n").alias("s"))).repartition(parts, "rid").sortWithinPartitions("rid", "df", "s")
+    rows = shared.unionByName(_known(sets).select("rid", F.lit(-1).alias("df"), F.col("n").alias("s"))).repartition(parts, "rid").sortWithinPartitions("rid", "df", "s")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -369,26 +374,39 @@ def _split(lists: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _prepared(docs: DataFrame, most: int, ranges: int | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The rows' sets, the members (rid, class, n, weight, m, shared) of tiles, and their units."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
-    if ranges is None:
-        ranges = ranges_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    folder, parts = shared_dir(spark, "shingles"), buckets(spark)
-    sets = written(_index(docs, folder, ranges), "sets")
-    found = written(_candidates(sets, _shared(docs, folder, ranges), parts), "candidates")
-    Folder(folder).delete()
-    known = sets.filter("doc_id IS NOT NULL AND n > 0")
-    sizes = known.groupBy("c1", "c2").agg(F.count("*").alias("weight"))
-    firsts = found.select("rid").join(known.select("rid", "c1", "c2"), "rid").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
-    heads = written(firsts.join(sizes, ["c1", "c2"]), "heads")
-    members = written(found.join(heads, "rid").select("rid", "c1", "c2", "n", "weight", F.size("shared").cast("bigint").alias("m"), "shared"), "members")
-    tiles = _tiles(heads.select("rid"), found.select("rid", "prefix"))
-    units = written(_units(tiles, members, most), "units")
-    drop(found, heads)
-    return sets, members, units, parts
+def _known(sets: DataFrame) -> DataFrame:
+    return sets.filter("known AND n > 0")
+
+
+class _Prepared:
+    """What comes before the comparison.
+
+    rows: doc_id and digest of every row. sets: what _index gives. classes: c1, c2, weight (rows) and class_id.
+    members: rid, class, n, weight, m and shared shingles of those that are in tiles. units: what _units gives.
+    """
+
+    def __init__(self, docs: DataFrame, most: int, ranges: int | None) -> None:
+        spark = docs.sparkSession
+        bounded_batches(spark)
+        docs = docs.select("doc_id", "text")
+        if ranges is None:
+            ranges = ranges_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        folder, self.parts = shared_dir(spark, "shingles"), buckets(spark)
+        self.rows, texts, once = _texts(docs)
+        self.sets = written(_index(once, folder, ranges), "sets")
+        known = _known(self.sets)
+        per_text = known.dropDuplicates(["digest"]).select("digest", "c1", "c2").join(texts, "digest")
+        self.classes = written(per_text.groupBy("c1", "c2").agg(F.sum("rows").alias("weight"), F.min("first").alias("class_id")), "classes")
+        found = written(_candidates(self.sets, _shared(spark, folder, ranges), self.parts), "candidates")
+        Folder(folder).delete()
+        firsts = found.select("rid").join(known.select("rid", "c1", "c2"), "rid").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
+        heads = written(firsts.join(self.classes, ["c1", "c2"]).drop("class_id"), "heads")
+        self.members = written(found.join(heads, "rid").select("rid", "c1", "c2", "n", "weight", F.size("shared").cast("bigint").alias("m"), "shared"), "members")
+        self.units = written(_units(_tiles(heads.select("rid"), found.select("rid", "prefix")), self.members, most), "units")
+        drop(found, heads, texts)
+
+    def compared(self, every: bool, as_pairs: bool = False) -> DataFrame:
+        return _compared(self.units, self.members, self.parts, every, as_pairs)
 
 
 def _roots(joined: DataFrame) -> DataFrame:
@@ -404,21 +422,17 @@ def _roots(joined: DataFrame) -> DataFrame:
     return one.join(far, F.col("root") == F.col("node"), "left").select("rid", F.coalesce("far_root", "root").alias("root"))
 
 
-def _answer(sets: DataFrame, members: DataFrame, joined: DataFrame) -> DataFrame:
+def _answer(p: _Prepared, joined: DataFrame) -> DataFrame:
     """doc_id, n, class_id, component_id and n_links of every row."""
-    known = sets.filter("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), (F.count("*") - 1).alias("copies"))
     far = joined.groupBy("rid").agg(F.sum("far").alias("far"))
-    named = members.select("rid", "c1", "c2").join(_roots(joined), "rid").join(far, "rid").join(classes, ["c1", "c2"])
-    named = written(named.select("c1", "c2", "root", "far", "class_id"), "named")
+    named = written(p.members.select("rid", "c1", "c2").join(_roots(joined), "rid").join(far, "rid").join(p.classes, ["c1", "c2"]).select("c1", "c2", "root", "far", "class_id"), "named")
     heads = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     more = named.join(heads, "root").select("c1", "c2", "far", "component_id")
-    per = classes.join(more, ["c1", "c2"], "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.col("copies") + F.coalesce("far", F.lit(0))).alias("n_links"))
-    per = written(per, "classes")
-    has = F.when(F.col("doc_id").isNotNull(), F.col("c1"))
-    rows = sets.withColumn("c1", has).join(per, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    per = p.classes.join(more, ["c1", "c2"], "left").select("c1", "c2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    per_text = written(p.sets.dropDuplicates(["digest"]).select("digest", "n", "c1", "c2").join(per, ["c1", "c2"], "left").drop("c1", "c2"), "per-text")
     alone = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), alone("component_id"), alone("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")
+    return p.rows.join(per_text, "digest").select("doc_id", F.col("n").alias("n_shingles"), alone("component_id"), alone("class_id"), links)
 
 
 def jaccard_join(docs: DataFrame, most: int = UNIT, ranges: int | None = None) -> DataFrame:
@@ -427,14 +441,14 @@ def jaccard_join(docs: DataFrame, most: int = UNIT, ranges: int | None = None) -
     component_id is the smallest doc_id that links reach, class_id that of the rows with the same set (each other's
     copies), and n_links the number of other rows that the row is linked with.
     """
-    sets, members, units, parts = _prepared(docs, most, ranges)
-    return _answer(sets, members, written(_compared(units, members, parts, True), "joined"))
+    p = _Prepared(docs, most, ranges)
+    return _answer(p, written(p.compared(True), "joined"))
 
 
 def jaccard_groups(docs: DataFrame, most: int = UNIT, ranges: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id of every row."""
-    sets, members, units, parts = _prepared(docs, most, ranges)
-    return _answer(sets, members, written(_compared(units, members, parts, False), "joined")).drop("n_links")
+    p = _Prepared(docs, most, ranges)
+    return _answer(p, written(p.compared(False), "joined")).drop("n_links")
 
 
 def jaccard_links(docs: DataFrame, most: int = UNIT, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -442,11 +456,11 @@ def jaccard_links(docs: DataFrame, most: int = UNIT, ranges: int | None = None)
 
     Rows of one class are linked with each other. Rows without a doc_id or a word have no class.
     """
-    sets, members, units, parts = _prepared(docs, most, ranges)
-    pairs = _compared(units, members, parts, True, as_pairs=True)
-    x, y = (members.select(F.col("rid").alias(k), F.col("c1").alias(f"{k}1"), F.col("c2").alias(f"{k}2")) for k in "ab")
+    p = _Prepared(docs, most, ranges)
+    x, y = (p.members.select(F.col("rid").alias(k), F.col("c1").alias(f"{k}1"), F.col("c2").alias(f"{k}2")) for k in "ab")
     kept = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
-    return sets.select("doc_id", "n", kept("c1"), kept("c2")), pairs.join(x, "a").join(y, "b").select("a1", "a2", "b1", "b2")
+    rows = p.rows.join(p.sets.dropDuplicates(["digest"]), "digest").select("doc_id", "n", kept("c1"), kept("c2"))
+    return rows, p.compared(True, as_pairs=True).join(x, "a").join(y, "b").select("a1", "a2", "b1", "b2")
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
