@@ -41,7 +41,7 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     """Bound what Spark hands to a Python worker at once: long texts make the default of 10,000 rows too much.
 
     The operators return plans that run later, so that the session keeps the bounds; smaller ones that it has stay.

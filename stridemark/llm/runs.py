@@ -183,7 +183,7 @@ class Writer:
     Jobs that write to one folder need prefixes of their own, and each task (of a range) one writer.
     """
 
-    def __init__(self, folder: str, ranges: int, prefix: str = "p", chunk: int = 1_000_000) -> None:
+    def __init__(self, folder: str, ranges: int, prefix: str = "p", chunk: int = 500_000) -> None:
         context = TaskContext.get()
         self.folder, self.ranges, self.chunk = Folder(folder), ranges, chunk
         self.part, self.attempt, self.prefix = context.partitionId(), context.taskAttemptId(), prefix
