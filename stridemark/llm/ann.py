@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cosine, on a robust-pruned directed graph for each shard of the vectors.
 
-Vectors are dealt to shards of about ``shard_size`` by hash; one task builds a shard's graph and answers all queries
-on it. Points enter the graph in batches that double: a greedy beam search from the middlemost point proposes
+Vectors are dealt to shards by hash; one task builds a shard's graph and answers all queries on it, block by block, as
+they come after the shard's points. Shards grow with the table, from ``shard_size`` points to ``most``, so that queries
+times shards grow less than with the square of the table until shards are as large as a task can hold. Points enter the graph in batches that double: a greedy beam search from the middlemost point proposes
 neighbours, and relaxed pruning keeps a candidate only if no nearer one that is kept lies closer to it by the factor
 ``alpha``, so that edges stay few and diverse; edges back are added and pruned alike. A query's beam in each shard is
-measured again in double precision on the vectors as given, and the best of all shards are its result.
+measured again in double precision on the vectors as given, and the best of all shards are its result. For that every
+vector is divided by a power of two, which changes no digit, so that the squares of very large or very small numbers
+stay within range.
 
 Equal vectors are one point that keeps its ``k + 1`` smallest ids, which is all that ties can ask for. So every row is
 indexed, and a vector that many rows share neither spoils the graph nor fills a shard.
@@ -12,7 +15,7 @@ indexed, and a vector that many rows share neither spoils the graph nor fills a
 Defined cases. Vectors that are null, empty, zero or hold null or non-finite numbers take no part, as queries or as
 candidates; nor do rows without an id, or of another length than most. Ties go to the smaller id. Fewer candidates than
 k: all of them. Repeated ids with other vectors: the smallest score is not used twice, each id is given once with its
-best score. Empty table: no rows. Only the id and the vector are read.
+best score. Empty table: no rows. Only the id and the vector are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -121,7 +124,12 @@ def _clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard_size: int = 4096, degree: int = 32, beam: int = 64, query_beam: int = 96, alpha: float = 1.2) -> DataFrame:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, so that the largest component of each is from a half to 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard_size: int = 4096, most: int = 1 << 17, degree: int = 32, beam: int = 64, query_beam: int = 96, alpha: float = 1.2) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     bounded_batches(spark, rows=5000)
@@ -132,39 +140,38 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     rows = rows.filter(F.size("v") == lengths[0]["d"]).dropDuplicates()
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     points = written(ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
-    shards = max(1, -(-points.count() // shard_size))
+    n = points.count()
+    shards = max(1, -(-n // min(most, max(shard_size, int(n**0.75)))))
     # The stated queries against all rows: every shard gets them all.
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.array("vec_id").alias("ids"), "v", F.lit(True).alias("query"))
-    dealt = points.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "ids", "v", F.lit(False).alias("query")).unionByName(asked).repartitionById(shards, F.col("shard"))
+    dealt = points.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "ids", "v", F.lit(False).alias("query")).unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "query", F.col("ids")[0])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        all_rows = pd.concat(parts, ignore_index=True)
-        is_query = all_rows["query"].to_numpy(bool)
-        v = np.stack(all_rows["v"].to_numpy())
-        ids = all_rows["ids"].to_numpy()
-        order = np.argsort([i[0] for i in ids[~is_query]], kind="stable")  # whatever order the rows came in
-        base, base_ids = v[~is_query][order], ids[~is_query][order]
-        if not len(base) or not is_query.any():
-            return
-        norm = np.linalg.norm(base / (scale := np.abs(base).max(axis=1, keepdims=True)), axis=1, keepdims=True) * scale
-        unit = base / norm
-        graph = Graph(unit.astype(np.float32), degree, beam, alpha)
-        q, q_id = v[is_query], np.array([i[0] for i in ids[is_query]])
-        out = []
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            length = np.sqrt((part * part).sum(axis=1))
-            found, _ = graph.search((part / length[:, None]).astype(np.float32), query_beam)
-            for one, n, me, near in zip(part, length, q_id[a : a + 256], found, strict=True):
-                near = near[near >= 0]
-                y = base[near]
-                score = (y * one).sum(axis=1) / (np.sqrt((y * y).sum(axis=1)) * n)
-                best = sorted({(-s, i) for s, x in zip(score.tolist(), near, strict=True) for i in base_ids[x] if i != me})[:k]
-                out += [(me, i, -s) for s, i in best]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        held: list[pd.DataFrame] = []  # the points, in order of id, which come before the queries
+        graph = None
+        for b in batches:
+            is_query = b["query"].to_numpy(bool)
+            if not is_query.all():
+                held.append(b[~is_query])
+            if not is_query.any() or not held:
+                continue
+            if graph is None:
+                base_rows = pd.concat(held, ignore_index=True)
+                base, base_ids = _scaled(np.stack(base_rows["v"].to_numpy())), base_rows["ids"].to_numpy()
+                base_length = np.sqrt((base * base).sum(axis=1))
+                graph = Graph((base / base_length[:, None]).astype(np.float32), degree, beam, alpha)
+            q, q_id = _scaled(np.stack(b["v"].to_numpy()[is_query])), np.array([i[0] for i in b["ids"].to_numpy()[is_query]])
+            out = []
+            for a in range(0, len(q), 256):
+                part = q[a : a + 256]
+                length = np.sqrt((part * part).sum(axis=1))
+                found, _ = graph.search((part / length[:, None]).astype(np.float32), query_beam)
+                for one, n, me, near in zip(part, length, q_id[a : a + 256], found, strict=True):
+                    near = near[near >= 0]
+                    score = (base[near] * one).sum(axis=1) / (base_length[near] * n)
+                    best = sorted({(-s, i) for s, x in zip(score.tolist(), near, strict=True) for i in base_ids[x] if i != me})[:k]
+                    out += [(me, i, -s) for s, i in best]
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = dealt.mapInPandas(of, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -174,7 +181,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
 def recall(vectors: DataFrame, found: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", block: int = 256) -> float:
     """Share of the true nearest that were found, by comparing with every row; for tests and measurements."""
     rows = _clean(vectors, key, vector).orderBy("vec_id").toPandas()
-    x, ids = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+    x, ids = _scaled(np.stack(rows["v"].to_numpy())), rows["vec_id"].to_numpy()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = found.groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).toPandas().set_index("query_id")["ids"]
     hit = total = 0

@@ -11,29 +11,33 @@ nearest centroid of its language, and of a centroid's cosines at a length the ``
 rows have been learned from, is the floor. Length is the number of different n-grams, so that a word said a thousand
 times is a short text. A length with fewer than ``enough`` cosines has the floor of the next shorter one.
 
-The model is fitted on a bounded sample: about ``per_language`` rows of each of the ``languages`` most frequent values,
-``sample`` rows in all, chosen by a hash of doc_id so that any size of input yields as many. Prediction reads every
-whole text.
+The model is fitted on a bounded sample: ``per_language`` rows of each language at most and about ``sample`` in all, but
+FEWEST of every language that has them, so that none is left out; they are chosen by a hash of doc_id and text, of which
+each language's smallest are taken. Prediction reads every whole text, and nothing else of a row.
 
 Defined cases. Null text or no letter: ``und``, score 0, rejected. Nothing to learn from: the same for every text. Null
 lang: never learned from. Null doc_id: neither held out nor learned from. Ties: the language that sorts first. Repeated
-rows: each by itself. Columns of the input stay, other than those named like the new ones.
+rows: each by itself; in the sample they count as they come. Very long texts: a text's codes are in one task's memory.
+Empty table: no rows. Columns of the input stay, other than those named like the new ones.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, drop, written
 
 UND = "und"
 NEW = ("lang_pred", "score", "rejected")
+#: Rows that a language's sample has at least, if there are so many.
+FEWEST = 20
 #: Levels of length; the last is that of all longer texts.
 LEVELS = 13
 
@@ -107,32 +111,33 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language: int = 400, sample: int = 2400, languages: int = 256, least: float = 0.1, quantile: float = 0.01, margin: float = 0.6, enough: int = 20) -> Model:
+def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language: int = 400, sample: int = 2400, least: float = 0.1, quantile: float = 0.01, margin: float = 0.6, enough: int = 20) -> Model:
     """Learn from the rows with text and lang given, which must not be those held out."""
-    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 11) / float(1 << 53)
+    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang", u.alias("__u"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("__u").alias("first"))
+    n_languages = sizes.count()
     empty = Model([], np.zeros(0, int), np.zeros((dims, 0), np.float32), np.ones(dims, np.float32), least)
-    if not sizes:
+    if not n_languages:
         return empty
-    most = max(1, min(per_language, sample // len(sizes)))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 11) / float(1 << 53)
-    part = F.lit(0.0)
-    for lang, n in sizes:
-        part = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(part)
+    most = max(FEWEST, min(per_language, sample // n_languages))
+    bounded_batches(labelled.sparkSession)
+    # Twice as many as needed pass the hash, or all of the smallest, and the window takes each language's smallest.
+    near = rows.join(F.broadcast(sizes) if n_languages < 10_000 else sizes, "lang").filter((F.col("__u") * F.col("n") < 2 * most + 100) | (F.col("__u") == F.col("first")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("__u", "doc_id"))
+    chosen = written(near.withColumn("__place", place).filter(F.col("__place") <= most).select("lang", "__u", "doc_id", "text"), "sample")
 
     @F.pandas_udf("binary")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vectors = Vectors(dims)
         for texts in batches:
             found = [vectors.counts(t) for t in texts]
-            yield pd.Series([None if v is None else np.minimum(v, 65535).astype(np.uint16).tobytes() for v in found], dtype=object)
+            yield pd.Series([None if v is None else zlib.compress(v.astype(np.uint32).tobytes(), 1) for v in found], dtype=object)
 
-    bounded_batches(labelled.sparkSession)
-    chosen = rows.withColumn("__u", u).filter(F.col("__u") < part)
-    got = chosen.select("lang", "__u", counted("text").alias("v")).filter("v IS NOT NULL").orderBy("lang", "__u").collect()
+    got = chosen.select("lang", "__u", "doc_id", counted("text").alias("v")).filter("v IS NOT NULL").orderBy("lang", "__u", "doc_id").collect()
     if not got:
         return empty
-    x = np.log1p(np.stack([np.frombuffer(r["v"], np.uint16) for r in got]).astype(np.float32))
+    x = np.log1p(np.stack([np.frombuffer(zlib.decompress(r["v"]), np.uint32) for r in got]).astype(np.float32))
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x *= idf
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -142,6 +147,7 @@ def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language:
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     model = Model(names, owner, np.concatenate(parts).T.astype(np.float32), idf, least)
     model.floors = _floors(chosen, model, quantile, margin, enough)
+    drop(chosen)
     return model
 
 

@@ -7,12 +7,16 @@ strongest local peaks are kept, and every frame's strongest peak is paired with
 A fingerprint is an array of longs: time of the first peak << 24 | its bin << 16 | other bin << 8 | frames between.
 
 Defined cases. Null text: as empty, one frame of spaces. Equal texts: equal values, whatever rows stand around them,
-as every document is transformed by itself. Silent frames (no local peak above zero) give no peak.
+as every document is transformed by itself. Silent frames (no local peak above zero) give no peak. Ties: of equal peaks
+the lower bin is the stronger one. Very long texts: frames are transformed 2,048 at a time, but a document's payload and
+sound are in one task's memory. Repeated rows: each by itself. Empty table: no rows. Columns of the input named like the
+new ones are replaced by them; all others stay. Null media: payload null, no fingerprint.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -91,4 +95,6 @@ def decode(docs: DataFrame, media: str = "media", payload: str = "payload", into
             payloads = [from_wav(m) if m is not None else None for m in sounds]
             yield pd.DataFrame({payload: pd.Series(payloads, dtype=object), into: pd.Series([fingerprint(p) if p else [] for p in payloads], dtype=object)})
 
-    return docs.withColumn("__read", read(F.col(media))).withColumn(payload, F.col(f"__read.{payload}")).withColumn(into, F.col(f"__read.{into}")).drop("__read")
+    found = f"__read_{uuid.uuid4().hex}"  # no column of the input has that name
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (payload, into)]
+    return docs.withColumn(found, read(F.col(media))).select(*kept, *[F.col(f"{found}.{c}").alias(c) for c in (payload, into)])

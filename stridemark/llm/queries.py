@@ -160,6 +160,33 @@ SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k ON k.k = c.k LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = w.doc_id
   LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) f ON f.a = w.doc_id
 """
+#: Spans from the matches' lengths and those of the texts between them; a mark that no text has stands for a match.
+_OP3_KINDS = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""", r"""len(regexp_replace(m, '^[^:=]*[:=]\x20*["'']?', '')) >= 8"""),
+    ("access", "AKIA[A-Z0-9]+", "len(m) >= 16"),
+    ("hex", "[0-9a-f]+", "len(m) >= 32"),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", "len(m) >= 40"),
+    ("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----(((Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]+|[A-Za-z0-9+/=\\\x09\x0A\x0D\x20])*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----)?", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "len(m) >= 36"),
+]
+
+
+def _op3_spans(nth: int, kind: str, pattern: str, kept: str) -> str:
+    found = f"regexp_extract_all(t, '{pattern}')"
+    gaps = f"list_transform(string_split(regexp_replace(t, '{pattern}', chr(57344), 'g'), chr(57344)), lambda x: len(x))"
+    return f"""(SELECT list({{'a': a, 'k': {nth}, 'e': a + len(m), 'kind': '{kind}'}}) FROM (
+      SELECT m, coalesce(list_sum(g[:i]), 0)::BIGINT + coalesce(list_sum(list_transform(f[:i - 1], lambda x: len(x))), 0)::BIGINT AS a
+      FROM (SELECT unnest(f) AS m, unnest(range(1, len(f) + 1)) AS i, f, g FROM (SELECT {found} AS f, {gaps} AS g))) WHERE {kept})"""
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, list_sort(list_concat({", ".join(f"coalesce({_op3_spans(n, *k)}, [])" for n, k in enumerate(_OP3_KINDS))})) AS s FROM d)
+SELECT doc_id, {", ".join(f"len(list_filter(s, lambda x: x.kind = '{k}'))::BIGINT AS n_{k}" for k in BASE)},
+  sha256(array_to_string(list_transform(list_filter(s, lambda x: x.k < {len(BASE)}), lambda x: concat(x.kind, ':', x.a, ':', x.e)), ',')) AS base_sha256,
+  coalesce(array_to_string(list_transform(s, lambda x: concat(x.kind, ':', x.a, ':', x.e)), ','), '') AS spans
+FROM s
+"""
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
@@ -176,4 +203,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_lm_scoring": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op3_secret_scan": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_lm_scoring": OP8_SQL}

@@ -103,6 +103,45 @@ def test_ann(spark):
     assert ann.recall(df.filter("vec_id < 1000").dropDuplicates(["vec_id"]), found) >= 0.85  # ties may differ there
 
 
+def test_ann_of_very_large_and_small_numbers(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(20, 3))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(50, [1e200, 1e200, 0.0]), (100, [1e-200, 1e-200, 0.0]), (150, [1e300, -1e-300, 1.0]), (200, [5e-324, 0.0, 0.0])]
+    vectors = {i: np.array([float(c) for c in v]) / max(abs(c) for c in v) for i, v in rows}
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    cos = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    assert set(got) == {50, 100, 150, 200}
+    for q, found in got.items():
+        want = sorted((-cos(vectors[q], v) for i, v in vectors.items() if i != q))[:5]
+        assert np.allclose([-s for _, s in found], want, rtol=0, atol=1e-12) and len({i for i, _ in found} - {q}) == 5
+        assert all(abs(s - cos(vectors[q], vectors[i])) < 1e-12 for i, s in found)
+
+
+def test_ann_reads_queries_in_blocks(spark):
+    rnd = np.random.default_rng(7)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, every=2).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, every=2).collect()} == want and len(want) == 350 * 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_warc_is_the_same_every_time(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = []
+    for name, given, setting in (("a", pages, "4"), ("b", pages.repartition(7, "url"), "9")):
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+        warc.write_archives(given.withColumn("payload", F.lit(1)), f"file://{tmp_path}/{name}", shards=4)
+        rows.append(sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}/manifest").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert rows[0] == rows[1] and len(rows[0]) == 4 and sum(r[1] for r in rows[0]) == pages.count()
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).toPandas()
@@ -118,6 +157,55 @@ def test_languages(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def slow_grams(text, dims):
+    """Counts of hashed 1- to 3-grams, gram by gram."""
+    low, spaced = text.lower(), [" "]
+    for c in low:
+        if c.isalpha():
+            spaced.append(c)
+        elif spaced[-1] != " ":
+            spaced.append(" ")
+    # Another character than a letter counts where it follows one; the end counts as one more.
+    spaced = [" "] + spaced[1:] + [" "]
+    codes, counts, top = [ord(c) for c in spaced], np.zeros(dims), 2**32
+    for i in range(len(codes)):
+        h = codes[i] * 2654435761 % top
+        counts[h >> (32 - (dims.bit_length() - 1))] += 1
+        for n in (1, 2):
+            if i + n < len(codes):
+                h = ((h ^ (h >> 15)) * 2246822519 + codes[i + n] * 3266489917) % top
+                counts[h >> (32 - (dims.bit_length() - 1))] += 1
+    return counts
+
+
+def test_languages_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.createDataFrame([(10**6, "İstanbul? ¡Ñandú! 3x", None, "s", 0), (10**6 + 1, "the " * 30_000 + "x", None, "s", 0), (10**6 + 2, "?", None, "s", 0)], DOCS))
+    model = langid.fit(docs.filter(langid.crc_part(F.col("doc_id")) != 0))
+    assert set(model.languages) == {r["lang"] for r in docs.filter(langid.crc_part(F.col("doc_id")) != 0).select("lang").distinct().collect()} - {None}
+    for r in langid.classify(docs, model).collect():
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text.lower()):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        x = np.log1p(slow_grams(text, len(model.idf))) * model.idf
+        x /= np.sqrt((x * x).sum())
+        cosines = [float((x * c).sum()) for c in model.centroids.T]
+        best = max(cosines)
+        assert abs(r["score"] - min(1, max(0, best))) < 1e-4
+        near = {model.languages[model.owner[i]] for i, c in enumerate(cosines) if c > best - 1e-4}
+        assert r["lang_pred"] in near
+
+
+def test_many_languages_and_repeated_rows(spark):
+    rnd = random.Random(4)
+    word = lambda k: "".join(chr(97 + (k * 7 + rnd.randrange(5)) % 26) for _ in range(5))
+    rows = [(i, " ".join(word(i % 300) for _ in range(30)), f"l{i % 300:03d}", "s", 0) for i in range(3000)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    assert len(model.languages) == 300  # no language is left out
+    hot = spark.createDataFrame([(1, "the house", "en", "s", 0)] * 3000 + [(2, "la casa", "es", "s", 0)] * 3, DOCS)
+    assert langid.fit(hot, per_language=50).languages == ["en", "es"]
+
+
 def test_unknown_languages_are_rejected(spark):
     import base64
     import random
@@ -254,6 +342,41 @@ def test_media(spark, tmp_path):
     assert len(pairs) and (Counter((pairs >> 16 & 255).tolist()).most_common(1)[0][0]) == 20 and (np.diff(pairs >> 24) >= 0).all()
 
 
+def slow_fingerprint(payload):
+    """Pairs of spectral peaks by the definition of the Fourier transform, frame by frame."""
+    n, hop = media.FRAME, media.HOP
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    peaks = []
+    for a in range(0, len(payload) - n + 1, hop):
+        power = np.abs(wave @ ((np.array(list(payload[a : a + n]), float) - 128) * window))
+        found = [(-power[k], k) for k in range(1, n // 2) if power[k] > power[k - 1] and power[k] >= power[k + 1]]
+        peaks.append([k for _, k in sorted(found)[:2]])
+    out = []
+    for t, own in enumerate(peaks):
+        for step in range(media.REACH + 1):
+            if own and t + step < len(peaks):
+                out += [t << 24 | own[0] << 16 | k << 8 | step for k in (peaks[t + step] if step else own[1:])]
+    return sorted(out)
+
+
+def test_fingerprints_by_brute_force():
+    rnd = random.Random(8)
+    for n in (1, 5, 40, 300):
+        payload = words(n, rnd).encode()
+        payload += b" " * (-len(payload) % 192)
+        assert media.fingerprint(payload).tolist() == slow_fingerprint(payload)
+
+
+def test_media_of_clashing_columns_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "p", "f", "m", "r")], "doc_id bigint, text string, payload string, fingerprint string, media string, __read string")
+    got = media.decode(media.encode(df))
+    assert set(got.columns) == {"doc_id", "text", "payload", "fingerprint", "media", "__read"}
+    row = got.first()
+    assert bytes(row["payload"]) == b"a b".ljust(192) and row["__read"] == "r" and row["text"] == "a b" and isinstance(row["fingerprint"], list)
+    assert media.decode(media.encode(df.filter("doc_id > 1"))).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from stridemark.llm.ngram_join import brute_force
