@@ -105,18 +105,23 @@ def course_point(name: Column, default: str | None = None, default_km: float | N
     return point, km
 
 
+#: What a race's text must have, what it must not have, and the code; the first that fits counts.
+RACE_CODES = [
+    ("štafet|stafet|relay", None, "relay"),
+    (r"(^|[^0-9])(42|maraton|marathon|full)", "pol|half|1/2", "marathon"),
+    ("pol|half|1/2|21", None, "half"),
+    (r"(^|[^0-9])(10\s*k|10k|10 km|deset)", None, "10k"),
+    (r"(^|[^0-9])(5\s*k|5k)", None, "10k"),
+]
+#: The first bib of a race, largest first, where the text says nothing.
+RACE_BIBS = [(5000, "10k"), (2000, "half")]
+
+
 def race_code(text: Column, bib: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     n = F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(bib, F.lit("")), r"^\s*([0-9]+)", 1), F.lit("")), F.lit("999999999999")).cast("bigint")
-    by_bib = F.when(n >= 5000, "10k").when(n >= 2000, "half").otherwise("marathon")
-    return (
-        F.when(t.rlike("štafet|stafet|relay"), "relay")
-        .when(t.rlike(r"(^|[^0-9])(42|maraton|marathon|full)") & ~t.rlike("pol|half|1/2"), "marathon")
-        .when(t.rlike("pol|half|1/2|21"), "half")
-        .when(t.rlike(r"(^|[^0-9])(10\s*k|10k|10 km|deset)"), "10k")
-        .when(t.rlike(r"(^|[^0-9])(5\s*k|5k)"), "10k")
-        .otherwise(by_bib)
-    )
+    rules = [(t.rlike(has) if hasnt is None else t.rlike(has) & ~t.rlike(hasnt), code) for has, hasnt, code in RACE_CODES]
+    return F.coalesce(*[F.when(fits, code) for fits, code in [*rules, *((n >= least, code) for least, code in RACE_BIBS)]], F.lit("marathon"))
 
 
 def race_label(bib: Column) -> Column:
@@ -166,6 +171,60 @@ def ordinal(n: Column) -> Column:
     return F.concat(n.cast("string"), suffix)
 
 
+@F.pandas_udf(T.StringType())
+def composed(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Names in composed form (NFC). In Python: Spark has no normalisation."""
+    for part in names:
+        yield pd.Series([None if n is None else unicodedata.normalize("NFC", n) for n in part], dtype=object)
+
+
+#: Terms that tables hold in Croatian, and in English.
+TERMS = {
+    "Polovica": "Half",
+    "Cilj": "Finish",
+    "Maraton": "Marathon",
+    "Polumaraton": "Half marathon",
+    "Utrka 10 km": "10K run",
+}
+
+
+def data_term(language: str, value: Column) -> Column:
+    """A term of the tables in a language, hr or en; what is not known stays, null becomes empty."""
+    known = F.create_map(*[F.lit(x) for pair in TERMS.items() for x in pair])
+    return F.coalesce(value if language == "hr" else F.coalesce(F.try_element_at(known, value), value), F.lit(""))
+
+
+def croatian_plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The form of a noun after a number: 1, 21, 31 ..., then 2 to 4, 22 to 24 ..., then all others."""
+    ten, hundred = F.pmod(F.abs(n), F.lit(10)), F.pmod(F.abs(n), F.lit(100))
+    return F.when((ten == 1) & (hundred != 11), one).when(ten.between(2, 4) & ~hundred.between(12, 14), few).otherwise(many)
+
+
+def local_number(language: str, n: Column, digits: int = 0) -> Column:
+    """A number with its language's signs: 6.214,5 in Croatian, 6,214.5 in English."""
+    english = F.format_number(n, digits)
+    return F.translate(english, ",.", ".,") if language == "hr" else english
+
+
+def event_title(language: str, name: Column, edition: Column) -> Column:
+    """34. name in Croatian, 34th name in English; the name alone without an edition."""
+    return F.when(edition.isNull(), name).otherwise(F.concat_ws(" ", F.concat(edition.cast("string"), F.lit(".")) if language == "hr" else ordinal(edition), name))
+
+
+def valid_reply(text: Column, schema: str, required: list[str], choices: dict[str, list[str]] | None = None) -> Column:
+    """(reply, error): a reply's JSON object, or why it isn't one that was asked for. Errors are data.
+
+    required: fields that must be there. choices: the values that a field may have.
+    """
+    reply = first_object(text, schema)
+    error = F.when(reply.isNull(), F.lit("no JSON object"))
+    for name in required:
+        error = error.when(reply[name].isNull(), F.lit(f"no {name}"))
+    for name, values in (choices or {}).items():
+        error = error.when(reply[name].isNotNull() & ~reply[name].isin(values), F.concat(F.lit(f"{name} may not be "), reply[name]))
+    return F.struct(F.when(error.isNull(), reply).alias("reply"), error.alias("error"))
+
+
 def header_key(header: str) -> str:
     """A column header in lower case, without accents or anything but letters and digits. For headers, on the driver."""
     for given, plain in (("đĐ", "d"), ("ßẞ", "ss"), ("øØ", "o"), ("łŁ", "l")):

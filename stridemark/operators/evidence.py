@@ -13,6 +13,8 @@ from stridemark.functions.geometry import box_key
 from stridemark.functions.text import bare_number, normalise_digits, only_digits, split_bibs
 
 READS = "array<struct<text:string,conf:double>>"
+#: Fixed value: the verdict on a person whose numbers only the second reader gives, as stored tables have it.
+ONLY_SECOND = "haiku_only"
 
 
 def nothing() -> Column:
@@ -58,7 +60,7 @@ def judge(reads: Column, second: Column, confident_at: float = 0.8) -> Column:
         .when(second.isNull(), out("model_only", own, some))
         .when(F.coalesce(second["error"], F.lit("")) != "", out("error", own, True))
         .when(F.size(agreed) > 0, out("agree", agreed, ~clear))
-        .when(F.size(numbers) > 0, out(F.when(some, "disagree").otherwise("haiku_only"), numbers, True))
+        .when(F.size(numbers) > 0, out(F.when(some, "disagree").otherwise(ONLY_SECOND), numbers, True))
         .when(some, out("disagree", nothing(), True))
         .otherwise(out("empty", nothing(), False))
     )

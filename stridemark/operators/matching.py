@@ -39,18 +39,39 @@ def near_texts(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return x.join(y, "k").filter(within_one_edit(F.col(a), F.col(b)) & (F.col(a) != F.col(b))).select(a, b).distinct()
 
 
-def candidates(runners: DataFrame, photos: DataFrame, detections: DataFrame, least: float = 0.30) -> DataFrame:
-    """event_id, bib, photo_id, read_as, exact and score of every read that counts for a runner."""
-    reads = gated(detections.join(photos.select("photo_id", "event_id"), "photo_id"))
+def counted(detections: DataFrame) -> DataFrame:
+    """Reads with ``gate`` (a person confirmed one of the photo's) and ``bibs_in_photo``, from one window by photo.
+
+    bibs_in_photo is the number of bibs that a person confirmed, or of all that were read if there are none.
+    """
+    photo = Window.partitionBy("photo_id")
+    sure, every = F.size(F.collect_set(F.when(is_confirmed(), F.col("bib_text"))).over(photo)), F.size(F.collect_set("bib_text").over(photo))
+    return detections.withColumn("gate", sure > 0).withColumn("bibs_in_photo", F.when(F.col("gate"), sure).otherwise(every).cast("bigint"))
+
+
+def bib_texts(runners: DataFrame, detections: DataFrame, least: float = 0.30) -> DataFrame:
+    """event_id, bib, bib_text, exact and like: the texts that count for a bib. Distinct texts, whatever the number of reads."""
     bibs = runners.select("event_id", "bib").distinct()
-    sure = F.coalesce("confidence", F.lit(0.5))
-    exact = reads.join(bibs, (reads.event_id == bibs.event_id) & (reads.bib_text == bibs.bib)).select(bibs.event_id, "bib", "photo_id", F.col("bib_text").alias("read_as"), F.lit(True).alias("exact"), sure.cast("double").alias("score"))
-    nobody = reads.filter(~is_confirmed() & (F.col("confidence") >= least)).join(bibs, (reads.event_id == bibs.event_id) & (reads.bib_text == bibs.bib), "left_anti")
-    # Likeness belongs to pairs of texts, of which there are far fewer than reads.
-    pairs = near_texts(bibs.filter(F.length("bib") >= 3), nobody, "bib", "bib_text").withColumn("like", F.greatest(similarity(F.col("bib_text"), F.col("bib")), F.lit(0.2)))
-    known = bibs.join(pairs, "bib")
-    fuzzy = nobody.join(known, ["event_id", "bib_text"]).select("event_id", "bib", "photo_id", F.col("bib_text").alias("read_as"), F.lit(False).alias("exact"), (sure * F.col("like")).cast("double").alias("score"))
-    return exact.unionByName(fuzzy)
+    read = detections.filter(~is_confirmed() & (F.col("source") != "rejected") & (F.col("confidence") >= least))
+    pairs = near_texts(bibs.filter(F.length("bib") >= 3), read, "bib", "bib_text").withColumn("like", F.greatest(similarity(F.col("bib_text"), F.col("bib")), F.lit(0.2)))
+    someone = bibs.select("event_id", F.col("bib").alias("bib_text"))
+    fuzzy = bibs.join(pairs, "bib").join(someone, ["event_id", "bib_text"], "left_anti")
+    exact = bibs.select("event_id", "bib", F.col("bib").alias("bib_text"), F.lit(True).alias("exact"), F.lit(1.0).alias("like"))
+    return exact.unionByName(fuzzy.select("event_id", "bib", "bib_text", F.lit(False).alias("exact"), "like"))
+
+
+def candidates(runners: DataFrame, photos: DataFrame, detections: DataFrame, least: float = 0.30, only: DataFrame | None = None) -> DataFrame:
+    """Every read that counts for a runner: the photo's columns, bib, read_as, exact, score and bibs_in_photo.
+
+    The reads are joined once to their photos and once to the texts that count. only: (event_id, bib) of the runners
+    that are asked for.
+    """
+    texts = bib_texts(runners, detections, least)
+    texts = texts if only is None else texts.join(only.select("event_id", "bib").distinct(), ["event_id", "bib"], "left_semi")
+    reads = counted(detections).filter((F.col("source") != "rejected") & (is_confirmed() | ~F.col("gate"))).join(photos, "photo_id")
+    found = reads.join(texts, ["event_id", "bib_text"]).filter(F.col("exact") | (~is_confirmed() & (F.col("confidence") >= least)))
+    score = (F.coalesce("confidence", F.lit(0.5)) * F.col("like")).cast("double")
+    return found.select(*photos.columns, "bib", F.col("bib_text").alias("read_as"), "exact", score.alias("score"), "bibs_in_photo")
 
 
 def best_reads(found: DataFrame) -> DataFrame:
@@ -59,33 +80,33 @@ def best_reads(found: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 
-def bibs_in_photo(detections: DataFrame) -> DataFrame:
-    """Number of confirmed bibs of a photo, or of all reads if there are none."""
-    some = F.count_distinct(F.when(is_confirmed(), F.col("bib_text")))
-    return detections.groupBy("photo_id").agg(F.coalesce(F.nullif(some, F.lit(0)), F.count_distinct("bib_text")).alias("bibs_in_photo"))
-
+def gallery(runners: DataFrame, photos: DataFrame, detections: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """One row a runner and photo, with how it matches and its place in the gallery.
 
-def gallery(runners: DataFrame, photos: DataFrame, detections: DataFrame) -> DataFrame:
-    """One row a runner and photo, with how it matches and its place in the gallery."""
-    best = best_reads(candidates(runners, photos, detections))
-    rows = best.join(photos, ["photo_id", "event_id"]).join(bibs_in_photo(detections), "photo_id")
+    What counts for a runner is dealt out by runner once, which serves both windows.
+    """
+    found = candidates(runners, photos, detections, only=only).repartition("event_id", "bib")
     order = Window.partitionBy("event_id", "bib").orderBy(F.asc_nulls_last("course_km"), F.asc_nulls_last("captured_at"), "file_name", "photo_id")
-    return rows.select("*", F.when(F.col("exact"), "exact").otherwise("fuzzy").alias("match_kind"), F.round("score", 4).alias("match_score"), F.row_number().over(order).alias("place"))
+    return best_reads(found).select("*", F.when(F.col("exact"), "exact").otherwise("fuzzy").alias("match_kind"), F.round("score", 4).alias("match_score"), F.row_number().over(order).alias("place"))
 
 
 PHOTO_FIELDS = ("id", "file_name", "preview_path", "thumb_path", "width", "height", "captured_at", "photographer", "course_point", "course_km", "match_kind", "match_score", "read_as", "bibs_in_photo")
 
 
-def export(runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, use_chip_time: bool = False) -> DataFrame:
-    """event_id, bib and payload: the whole answer for each runner as JSON, nulls kept, photos in order."""
-    rows = gallery(runners, photos, detections).withColumnRenamed("photo_id", "id")
+def export(runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, use_chip_time: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """event_id, bib and payload: the whole answer for each runner as JSON, nulls kept, photos in order.
+
+    only: (event_id, bib) of the runners that are asked for.
+    """
+    rows = gallery(runners, photos, detections, only).withColumnRenamed("photo_id", "id")
+    asked = runners if only is None else runners.join(only.select("event_id", "bib").distinct(), ["event_id", "bib"], "left_semi")
     have = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in PHOTO_FIELDS]
     listed = rows.groupBy("event_id", "bib").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.struct(*have).alias("p")))), lambda x: x["p"]).alias("photos"))
     finish = F.coalesce("chip_s", "finish_s") if use_chip_time else F.col("finish_s")
     km = F.coalesce(F.col("distance_km").cast("double"), F.lit(42.195))
     runner = F.struct("bib", F.col("full_name").alias("name"), "category", "club", "nationality", F.coalesce("race", F.lit("Marathon")).alias("race"), F.coalesce("code", F.lit("marathon")).alias("race_code"), km.alias("distance_km"), "status", F.when(finish.isNotNull(), clock(finish)).alias("time"), pace(finish, km).alias("pace"), "place_overall", "place_category")
     known = races.select("race_id", "code", F.col("name").alias("race"), "distance_km")
-    everyone = runners.join(known, "race_id", "left").join(listed, ["event_id", "bib"], "left")
+    everyone = asked.join(known, "race_id", "left").join(listed, ["event_id", "bib"], "left")
     photos_or_none = F.coalesce("photos", F.filter("photos", lambda x: F.lit(False)), F.from_json(F.lit("[]"), listed.schema["photos"].dataType))
     return everyone.select("event_id", "bib", F.to_json(F.struct(F.lit(True).alias("ok"), runner.alias("runner"), photos_or_none.alias("photos")), {"ignoreNullFields": "false"}).alias("payload"))
 
@@ -108,19 +129,41 @@ def find_runner(asked: DataFrame, events: DataFrame, runners: DataFrame) -> Data
     return rows.select("slug", "bib", "dob", "caller_role", reason.alias("reason"))
 
 
+def answers(asked: DataFrame, events: DataFrame, runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, use_chip_time: bool = False) -> DataFrame:
+    """The whole answer to each question (slug, bib, dob, caller_role): reason, and payload as JSON.
+
+    The payload of an answered question has ok, runner and photos, and else ok and the reason. Galleries are made of
+    the runners that are asked for, each once.
+    """
+    rows = find_runner(asked, events, runners).join(events.select("slug", "event_id").filter("slug IS NOT NULL"), "slug", "left")
+    fine = rows.filter("reason = 'ok'").select("event_id", "bib").distinct()
+    found = export(runners, races, photos, detections, use_chip_time, only=fine)
+    refused = F.to_json(F.struct(F.lit(False).alias("ok"), "reason"))
+    out = rows.join(found, ["event_id", "bib"], "left")
+    return out.select("slug", "bib", "dob", "caller_role", "reason", F.when(F.col("reason") == "ok", F.col("payload")).otherwise(refused).alias("payload"))
+
+
+def export_page(events: DataFrame, runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, slug: str, after: str = "", n: int = 100) -> DataFrame:
+    """bib and payload of the next n runners of a published event by bib, which sorts as text."""
+    shown = runners.join(events.filter(F.col("published") & (F.col("slug") == slug)).select("event_id"), "event_id", "left_semi")
+    some = page(shown.select("event_id", "bib"), after, n)
+    return export(runners, races, photos, detections, only=some).select("bib", "payload").orderBy("bib")
+
+
 def event_stats(events: DataFrame, races: DataFrame, runners: DataFrame, photos: DataFrame, detections: DataFrame) -> DataFrame:
     """One row a published event. Test photos and test runners open in a search but don't count."""
     reads = detections.join(photos.select("photo_id", "event_id"), "photo_id")
+    read = reads.groupBy("event_id", F.col("bib_text").alias("bib")).agg(F.count_if(is_confirmed()).alias("confirmed"))  # the reads are gone through once
     finishers = runners.groupBy("event_id").agg(F.count_if(F.col("status") == "finished").alias("finishers"))
     shown = photos.groupBy("event_id").agg(F.count_if(~F.col("file_name").startswith("_test/")).alias("photos"))
-    tagged = runners.filter(~F.col("status").eqNullSafe("test")).join(reads.select("event_id", F.col("bib_text").alias("bib")), ["event_id", "bib"], "left_semi").groupBy("event_id").agg(F.count("*").alias("tagged_bibs"))
-    seen = reads.filter(is_confirmed()).groupBy("event_id").agg(F.count("*").alias("recognitions"))
+    real = runners.filter(~F.col("status").eqNullSafe("test")).groupBy("event_id", "bib").agg(F.count("*").alias("runners"))
+    seen = read.join(real, ["event_id", "bib"], "left").groupBy("event_id").agg(F.sum(F.coalesce("runners", F.lit(0))).alias("tagged_bibs"), F.sum("confirmed").alias("recognitions"))
     far = races.groupBy("event_id").agg(F.max("distance_km").alias("distance_km"))
     record = runners.filter("status = 'finished'").join(races.filter("code = 'marathon'").select("race_id"), "race_id", "left_semi").groupBy("event_id").agg(F.min("finish_s").alias("record_s"))
     out = events.filter("published")
-    for part in (finishers, shown, tagged, seen, far, record):
+    for part in (finishers, shown, seen, far, record):
         out = out.join(part, "event_id", "left")
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("finishers", "photos", "tagged_bibs", "recognitions")]
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("finishers", "photos", "tagged_bibs", "recognitions")]
     return out.select("slug", *counts, "distance_km", F.when(F.col("record_s").isNotNull(), clock(F.col("record_s"))).alias("course_record"))
 
 

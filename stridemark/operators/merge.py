@@ -21,8 +21,14 @@ def pending(jobs: DataFrame, log: DataFrame, key: str, order: str, error: str =
     return jobs.join(latest_good(log, key, order, error).select(key), key, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows win; of columns that are null in every new row the old values stay. The last of repeated keys counts."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows win; of columns that are null in every new row the old values stay.
+
+    Of new rows with the same key the last by ``order`` counts, a column that the result hasn't; without an order they
+    must be equal, or it is undefined which one does. There is one row a key either way.
+    """
+    values = [c for c in new.columns if c not in keys]
+    new = new.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(order) if order else F.struct(*values)).alias("__last")).select(*keys, "__last.*") if values else new.distinct()
     others = [c for c in old.columns if c not in keys]
     fresh = [c for c in others if c in new.columns]
     given = new.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in fresh]).first() if fresh else {}
@@ -144,7 +150,10 @@ def write_one_file_each(rows: DataFrame, folder: str, key: str, payload: str) ->
                 data, temporary = p.encode(), f"{root}/_{k}.{attempt}"
                 with store.open_output_stream(temporary) as out:
                     out.write(data)
-                store.move(temporary, f"{root}/{k}.json")
+                final = f"{root}/{k}.json"
+                if store.get_file_info(final).is_file:  # some stores refuse a name that an earlier run has taken
+                    store.delete_file(final)
+                store.move(temporary, final)
                 sizes.append(len(data))
             yield pd.DataFrame({"key": b[key], "bytes": sizes})
 

@@ -56,16 +56,88 @@ def recognise(crops: DataFrame, content: str, factory: Callable[[], Recogniser],
     return crops.withColumn("__r", read(F.col(content))).withColumn(into, F.col("__r.reads")).withColumn("error", F.col("__r.error")).drop("__r")
 
 
-def detect(photos: DataFrame, content: str, factory: Callable[[], Detector]) -> DataFrame:
-    """The rows with boxes (array of box and conf)."""
+def detect(photos: DataFrame, content: str, factory: Callable[[], Detector], into: str = "boxes") -> DataFrame:
+    """The rows with boxes (array of conf and box) and error; a photo that fails gives an error, never fails the task."""
 
-    @F.pandas_udf("array<struct<conf:double,box:struct<x0:double,y0:double,x1:double,y1:double>>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("boxes array<struct<conf:double,box:struct<x0:double,y0:double,x1:double,y1:double>>>, error string")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
         for part in batches:
-            yield pd.Series([[{"conf": c, "box": dict(zip(("x0", "y0", "x1", "y1"), xy, strict=True))} for *xy, c in model.detect(p)] for p in part], dtype=object)
+            boxes, errors = [], []
+            for photo in part:
+                try:
+                    boxes.append([{"conf": float(c), "box": dict(zip(("x0", "y0", "x1", "y1"), map(float, xy), strict=True))} for *xy, c in model.detect(photo)])
+                    errors.append(None)
+                except Exception as e:
+                    boxes.append([])
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"boxes": pd.Series(boxes, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return photos.withColumn("boxes", find(F.col(content)))
+    kept = [F.col(f"`{c}`") for c in photos.columns if c not in (into, "error")]
+    return photos.withColumn("__d", find(F.col(content))).select(*kept, F.col("__d.boxes").alias(into), F.col("__d.error").alias("error"))
+
+
+class Whole:
+    """A detector that takes the whole photo for the bib; ``size`` gives a photo's width and height."""
+
+    def __init__(self, size: Callable[[bytes], tuple[float, float]]) -> None:
+        self.size = size
+
+    def detect(self, photo: bytes) -> list[tuple[float, float, float, float, float]]:
+        return [(0.0, 0.0, *map(float, self.size(photo)), 1.0)]
+
+
+class Union:
+    """What several detectors find, overlapping boxes once, the surest first.
+
+    With a cropper, ``crop(photo, box)`` to bytes, every detector also looks at four overlapping quarters.
+    """
+
+    def __init__(self, parts: list[Detector], size: Callable[[bytes], tuple[float, float]] | None = None, crop: Callable[[bytes, tuple], bytes] | None = None, share: float = 0.58, least: float = 0.5) -> None:
+        self.parts, self.size, self.crop, self.share, self.least = parts, size, crop, share, least
+
+    def detect(self, photo: bytes) -> list[tuple[float, float, float, float, float]]:
+        found = [b for p in self.parts for b in p.detect(photo)]
+        if self.crop is not None:
+            w, h = self.size(photo)
+            tw, th = int(w * self.share), int(h * self.share)
+            for x, y in {(x, y) for x in (0, w - tw) for y in (0, h - th)}:
+                tile = self.crop(photo, (x, y, x + tw, y + th))
+                found += [(a + x, b + y, c + x, d + y, conf) for p in self.parts for a, b, c, d, conf in p.detect(tile)]
+        kept: list[tuple] = []
+        for b in sorted(found, key=lambda b: -b[4]):
+            if all(_overlap(b, k) < self.least for k in kept):
+                kept.append(b)
+        return kept
+
+
+def _overlap(a: tuple, b: tuple) -> float:
+    shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    joint = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
+    return shared / joint if joint > 0 else 0.0
+
+
+class Torso:
+    """Where the persons that another detector finds have their bibs."""
+
+    #: From 15 % in from either side, from 30 to 65 % of the height.
+    SIDE, TOP, BOTTOM = 0.15, 0.30, 0.65
+
+    def __init__(self, persons: Detector) -> None:
+        self.persons = persons
+
+    def detect(self, photo: bytes) -> list[tuple[float, float, float, float, float]]:
+        return [(x0 + self.SIDE * (x1 - x0), y0 + self.TOP * (y1 - y0), x1 - self.SIDE * (x1 - x0), y0 + self.BOTTOM * (y1 - y0), conf) for x0, y0, x1, y1, conf in self.persons.detect(photo)]
+
+
+class Fixed:
+    """A detector that knows its answers, for tests and for reading logs again."""
+
+    def __init__(self, answers: dict[bytes, list[tuple]]) -> None:
+        self.answers = answers
+
+    def detect(self, photo: bytes) -> list[tuple]:
+        return self.answers[bytes(photo)]
 
 
 class Replay:

@@ -1,4 +1,8 @@
-"""Operators on order: bursts, sessions, numbering, halves, samples, chunks. Each window has a partition but where said."""
+"""Operators on order: bursts, sessions, numbering, halves, samples, chunks. Each window has a partition but where said.
+
+A partition by folder holds a folder's photos in one task, which is what a folder's order means; numbering, halves,
+samples and chunks of a key only need each row's place, which ``placed`` gives without that.
+"""
 
 from __future__ import annotations
 
@@ -20,13 +24,13 @@ def burst_support(frames: DataFrame, folder: str, position: str, values: str, re
 
 
 def support_pairs(frames: DataFrame, folder: str, position: str, value: str, reach: int = 6) -> DataFrame:
-    """folder, position, value and n for frames whose neighbours have a value; one row a value in the input.
+    """folder, position, value and n, how many other frames within reach have the value, of frames where some have.
 
-    Each row is sent to the positions it supports and counted there, so that no array holds a neighbourhood.
+    One window over the frames that have a value: no array holds a neighbourhood, and no row is sent anywhere else.
     """
-    steps = F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k]))
-    rows = frames.select(folder, position, value).distinct().withColumn("__k", steps)
-    return rows.groupBy(folder, (F.col(position) + F.col("__k")).alias(position), value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(folder, value).orderBy(position).rangeBetween(-reach, reach)
+    rows = frames.select(folder, position, value).distinct()
+    return rows.withColumn("n", F.count("*").over(w) - 1).filter("n > 0")
 
 
 def sessions(rows: DataFrame, key: str, at: str, gap_ms: int = 5000) -> DataFrame:
@@ -91,13 +95,30 @@ def stratified(rows: DataFrame, folder: str, name: str, n: int, seed: int = 0) -
     return rows.withColumn("__n", F.row_number().over(w)).orderBy("__n", F.xxhash64(F.col(folder), F.lit(seed))).limit(n).drop("__n")
 
 
-def halves(rows: DataFrame, key: str, order: list) -> DataFrame:
+def placed(rows: DataFrame, key: str, order: str, slices: int = 64) -> DataFrame:
+    """Rows with ``place`` from 1 within the key, and ``of``, the key's number of rows.
+
+    The key's rows are cut by quantiles of the order, so that a hot key is numbered slice by slice in many tasks. Equal
+    orders are in one slice; they should be few. The order must be a number, date or time.
+    """
+    at = F.col(order).cast("double") if dict(rows.dtypes)[order] not in ("date", "timestamp", "timestamp_ntz") else F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    cuts = rows.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000).alias("__cuts"))
+    cut = rows.join(cuts, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < at)))
+    sizes = cut.groupBy(F.col(key).alias("__key"), F.col("__slice").alias("__s")).agg(F.count("*").alias("__m"))
+    w = Window.partitionBy("__key")
+    starts = sizes.select("__key", "__s", F.coalesce(F.sum("__m").over(w.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__m").over(w).alias("of"))
+    numbered = cut.withColumn("__i", F.row_number().over(Window.partitionBy(key, "__slice").orderBy(order)))
+    joined = numbered.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__s")))
+    return joined.withColumn("place", F.col("__before") + F.col("__i")).drop("__cuts", "__slice", "__i", "__key", "__s", "__before")
+
+
+def halves(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with ``half`` 1 or 2; the first has the odd row."""
-    return rows.withColumn("half", F.ntile(2).over(Window.partitionBy(key).orderBy(*order)))
+    return placed(rows, key, order).withColumn("half", F.when(2 * F.col("place") <= F.col("of") + 1, 1).otherwise(2)).drop("place", "of")
 
 
-def every_kth(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter((F.col("__n") - 1) % k == 0).drop("__n")
+def every_kth(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    return placed(rows, key, order).filter((F.col("place") - 1) % k == 0).drop("place", "of")
 
 
 def split_by_blocks(number: Column, block: int = 20, every: int = 5) -> Column:
@@ -105,8 +126,8 @@ def split_by_blocks(number: Column, block: int = 20, every: int = 5) -> Column:
     return F.when(F.floor((number - 1) / block) % every == every - 1, "val").otherwise("train")
 
 
-def chunks(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / most))
+def chunks(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    return placed(rows, key, order).withColumn("chunk", F.floor((F.col("place") - 1) / most)).drop("place", "of")
 
 
 def byte_chunks(rows: DataFrame, key: str, order: list, size: str, most: int) -> DataFrame:

@@ -41,11 +41,14 @@ FOUND = GATED + f"""
   FROM detections GROUP BY photo_id
 )
 """
-GALLERY = FOUND + """
+GALLERY_ROWS = FOUND + """
+, g AS (
 SELECT b.bib, b.photo_id, CASE WHEN exact THEN 'exact' ELSE 'fuzzy' END AS match_kind, round(score, 4) AS match_score, read_as, bibs_in_photo,
   row_number() OVER (PARTITION BY bib ORDER BY course_km NULLS LAST, captured_at NULLS LAST, file_name, b.photo_id) AS place
 FROM best b JOIN photos p USING (photo_id) JOIN counted c ON c.photo_id = b.photo_id
+)
 """
+GALLERY = GALLERY_ROWS + "SELECT * FROM g"
 COLUMNS = ("bib", "photo_id", "match_kind", "match_score", "read_as", "bibs_in_photo", "place")
 
 
@@ -88,32 +91,75 @@ def export_page(spark, d):
     return m.page(rows, "1200", 100)
 
 
-@query(FOUND + """
-SELECT r.bib, true AS ok, coalesce(n, 0) AS photos, first_photo FROM runners r LEFT JOIN (
-  SELECT bib, count(*) AS n, (list(b.photo_id ORDER BY course_km NULLS LAST, captured_at NULLS LAST, file_name, b.photo_id))[1] AS first_photo FROM best b JOIN photos p USING (photo_id) GROUP BY bib
-) g USING (bib)
-""")
+PHOTO = "<id: bigint, file_name: string, preview_path: string, thumb_path: string, width: int, height: int, captured_at: string, photographer: string, course_point: string, course_km: double, match_kind: string, match_score: double, read_as: string, bibs_in_photo: bigint>"
+PAYLOAD = f"struct<ok: boolean, reason: string, runner: struct<bib: string, name: string, category: string, club: string, nationality: string, race: string, race_code: string, distance_km: double, status: string, time: string, pace: string, place_overall: int, place_category: int>, photos: array<struct{PHOTO}>>"
+#: Every field of a payload: those of the runner, and of each photo in order as one text.
+TOLD = GALLERY_ROWS + """
+, told AS (
+  SELECT g.bib, count(*) AS n, string_agg(concat_ws('~', p.photo_id::VARCHAR, file_name, '-', strftime(captured_at, '%Y-%m-%d'), photographer, course_point, coalesce(round(course_km * 10)::BIGINT::VARCHAR, '-'), match_kind, round(match_score * 10000)::BIGINT::VARCHAR, read_as, bibs_in_photo::VARCHAR), '|' ORDER BY place) AS photos
+  FROM g JOIN photos p USING (photo_id) GROUP BY g.bib
+), payloads AS (
+  SELECT r.bib, full_name AS name, club, CASE WHEN race_id IS NULL THEN 'Marathon' ELSE ra.name END AS race, coalesce(code, 'marathon') AS race_code, round(coalesce(distance_km, 42.195) * 10000)::BIGINT AS metres, status,
+    (finish_s // 3600) || ':' || lpad((finish_s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((finish_s % 60)::VARCHAR, 2, '0') AS time,
+    (round(finish_s / distance_km)::BIGINT // 60 % 60) || ':' || lpad((round(finish_s / distance_km)::BIGINT % 60)::VARCHAR, 2, '0') AS pace, coalesce(n, 0) AS n_photos, coalesce(photos, '') AS photos
+  FROM runners r LEFT JOIN races ra USING (race_id) LEFT JOIN told USING (bib)
+)
+"""
+
+
+def _told(payloads, *keys):
+    """The fields of payloads, read back from their JSON."""
+    rows = payloads.withColumn("x", F.from_json("payload", PAYLOAD))
+    r, no = lambda c: F.col(f"x.runner.{c}"), F.lit("-")
+    text = lambda p: F.concat_ws("~", p["id"].cast("string"), p["file_name"], F.coalesce(p["preview_path"], p["thumb_path"], p["width"].cast("string"), p["height"].cast("string"), no), F.substring(p["captured_at"], 1, 10), p["photographer"], p["course_point"], F.coalesce(F.round(p["course_km"] * 10).cast("bigint").cast("string"), no), p["match_kind"], F.round(p["match_score"] * 10000).cast("bigint").cast("string"), p["read_as"], p["bibs_in_photo"].cast("string"))
+    photos = F.array_join(F.transform("x.photos", text), "|")
+    return rows.select(*keys, r("name").alias("name"), r("club").alias("club"), r("race").alias("race"), r("race_code").alias("race_code"), F.round(r("distance_km") * 10000).cast("bigint").alias("metres"), r("status").alias("status"), r("time").alias("time"), r("pace").alias("pace"), F.size("x.photos").cast("bigint").alias("n_photos"), photos.alias("photos"))
+
+
+@query(TOLD + "SELECT * FROM payloads")
 def export_payload(spark, d):
-    rows = m.export(runners(spark, d), races(spark, d), photos(spark, d), detections(spark, d))
-    return rows.select("bib", F.get_json_object("payload", "$.ok").cast("boolean").alias("ok"), F.json_array_length(F.get_json_object("payload", "$.photos")).cast("bigint").alias("photos"), F.get_json_object("payload", "$.photos[0].id").cast("bigint").alias("first_photo"))
+    return _told(m.export(runners(spark, d), races(spark, d), photos(spark, d), detections(spark, d)), "bib")
 
 
-@query(HEAD + """
+@query(TOLD + "SELECT * FROM payloads WHERE bib > '1200' ORDER BY bib LIMIT 100")
+def export_payload_page(spark, d):
+    return _told(m.export_page(events(spark), runners(spark, d), races(spark, d), photos(spark, d), detections(spark, d), "open", "1200"), "bib")
+
+
+ASKED = """
 , asked AS (
   SELECT ['open', 'shut', 'draft'][1 + c_custkey % 3] AS slug, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE (c_custkey * 2)::VARCHAR END AS bib,
     CASE WHEN c_custkey % 2 = 0 THEN DATE '1980-01-01' + (c_custkey % 50)::INT END AS dob, CASE WHEN c_custkey % 5 = 0 THEN 'anon' END AS caller_role FROM customer
 )
+"""
+REASONS = """
 SELECT a.slug, a.bib, a.dob::VARCHAR AS dob, a.caller_role, CASE WHEN a.bib = '' THEN 'missing_input' WHEN slug = 'draft' OR (slug = 'shut' AND caller_role IS NOT NULL) THEN 'no_event'
   WHEN r.bib IS NULL THEN 'no_bib' WHEN a.dob IS NOT NULL AND a.dob <> r.dob THEN 'dob_mismatch' ELSE 'ok' END AS reason
 FROM asked a LEFT JOIN runners r ON r.bib = a.bib AND a.slug = 'open'
-""")
-def find_runner_reasons(spark, d):
+"""
+
+
+def _asked(spark, d):
     c = F.col("c_custkey")
-    asked = table(spark, d, "customer").select(
+    return table(spark, d, "customer").select(
         F.element_at(F.array(*map(F.lit, ("open", "shut", "draft"))), (c % 3 + 1).cast("int")).alias("slug"), F.when(c % 7 == 0, "").otherwise((c * 2).cast("string")).alias("bib"),
         F.when(c % 2 == 0, F.date_add(F.lit("1980-01-01").cast("date"), (c % 50).cast("int"))).alias("dob"), F.when(c % 5 == 0, "anon").alias("caller_role"),
     )
-    return m.find_runner(asked, events(spark), runners(spark, d)).withColumn("dob", F.col("dob").cast("string"))
+
+
+@query(HEAD + ASKED + REASONS)
+def find_runner_reasons(spark, d):
+    return m.find_runner(_asked(spark, d), events(spark), runners(spark, d)).withColumn("dob", F.col("dob").cast("string"))
+
+
+@query(TOLD + ASKED + f"""
+SELECT q.slug, q.bib, q.dob, q.caller_role, q.reason, q.reason = 'ok' AS ok, p.* EXCLUDE (bib) REPLACE (coalesce(metres, 0) AS metres, coalesce(n_photos, 0) AS n_photos) FROM ({REASONS}) q LEFT JOIN payloads p ON p.bib = q.bib AND q.reason = 'ok'
+""")
+def find_runner_answers(spark, d):
+    """Every question with its whole answer; where it is refused, the numbers are 0 and the rest is null."""
+    rows = m.answers(_asked(spark, d), events(spark), runners(spark, d), races(spark, d), photos(spark, d), detections(spark, d))
+    told = _told(rows, "slug", "bib", F.col("dob").cast("string").alias("dob"), "caller_role", F.coalesce("x.reason", F.lit("ok")).alias("reason"), F.col("x.ok").alias("ok"))
+    return told.withColumn("n_photos", F.when(F.col("ok"), F.col("n_photos")).otherwise(0)).withColumn("metres", F.coalesce("metres", F.lit(0))).withColumn("photos", F.when(F.col("ok"), F.col("photos")))
 
 
 @query(HEAD + """
@@ -155,14 +201,8 @@ def photos_without_confirmed(spark, d):
     return m.without_confirmed(photos(spark, d), detections(spark, d)).groupBy("photographer").agg(F.count("*").alias("photos"), F.count_if(F.col("course_km").isNull()).alias("unplaced"))
 
 
-@query(HEAD + "SELECT photographer, count(*) AS photos, string_agg(file_name, ', ' ORDER BY file_name) AS files FROM photos WHERE photo_id % 97 = 0 GROUP BY photographer")
-def photographer_files(spark, d):
-    photos(spark, d).createOrReplaceTempView("stridemark_photos")
-    return spark.sql("SELECT photographer, count(*) AS photos, string_agg(file_name, ', ') WITHIN GROUP (ORDER BY file_name) AS files FROM stridemark_photos WHERE photo_id % 97 = 0 GROUP BY photographer")
-
-
 @query(HEAD + "SELECT photographer, count(*) AS photos, string_agg(file_name, ', ' ORDER BY file_name) AS files FROM photos GROUP BY photographer")
-def photographer_files_all(spark, d):
+def photographer_files(spark, d):
     photos(spark, d).createOrReplaceTempView("stridemark_photos")
     return spark.sql("SELECT photographer, count(*) AS photos, string_agg(file_name, ', ') WITHIN GROUP (ORDER BY file_name) AS files FROM stridemark_photos GROUP BY photographer")
 
@@ -196,22 +236,8 @@ def cleaned_numbers(spark, d):
     return raw.select("raw", clean_number(F.col("raw")).alias("number"))
 
 
-@query("SELECT DISTINCT p AS pattern, n AS number FROM (SELECT substr(c_custkey::VARCHAR, 1, length(c_custkey::VARCHAR) - 1) || '?' AS p FROM customer WHERE c_custkey % 10 = 3) JOIN (SELECT p_partkey::VARCHAR AS n FROM part) ON length(p) = length(n) AND substr(p, 1, length(p) - 1) = substr(n, 1, length(n) - 1)")
-def pattern_completions(spark, d):
-    bib = F.col("c_custkey").cast("string")
-    patterns = table(spark, d, "customer").filter("c_custkey % 10 = 3").select(F.concat(F.substring(bib, F.lit(1), F.length(bib) - 1), F.lit("?")).alias("pattern"))
-    known = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("number"))
-    return m.complete_patterns(patterns, known, "pattern", "number").filter(pattern_matches(F.col("pattern"), F.col("number")))
-
-
-@query("SELECT a.t AS a, b.t AS b FROM (SELECT c_custkey::VARCHAR AS t FROM customer WHERE c_custkey % 5 = 0) a JOIN (SELECT p_partkey::VARCHAR AS t FROM part) b ON length(a.t) = length(b.t) AND hamming(a.t, b.t) = 1")
-def start_list_neighbours(spark, d):
-    a = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("a"))
-    return m.one_digit_apart(a, table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("b")), "a", "b")
-
-
 @query("SELECT DISTINCT p AS pattern, n AS number FROM (SELECT DISTINCT substr(c_custkey::VARCHAR, 1, length(c_custkey::VARCHAR) - 1) || '?' AS p FROM customer) JOIN (SELECT p_partkey::VARCHAR AS n FROM part) ON length(p) = length(n) AND substr(p, 1, length(p) - 1) = substr(n, 1, length(n) - 1)")
-def pattern_completions_all(spark, d):
+def pattern_completions(spark, d):
     bib = F.col("c_custkey").cast("string")
     patterns = table(spark, d, "customer").select(F.concat(F.substring(bib, F.lit(1), F.length(bib) - 1), F.lit("?")).alias("pattern"))
     known = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("number"))
@@ -219,6 +245,6 @@ def pattern_completions_all(spark, d):
 
 
 @query("SELECT a.t AS a, b.t AS b FROM (SELECT c_custkey::VARCHAR AS t FROM customer) a JOIN (SELECT p_partkey::VARCHAR AS t FROM part) b ON length(a.t) = length(b.t) AND hamming(a.t, b.t) = 1")
-def start_list_neighbours_all(spark, d):
+def start_list_neighbours(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("a"))
     return m.one_digit_apart(a, table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("b")), "a", "b")

@@ -62,7 +62,10 @@ def upsert_merge(spark, d):
     old = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_brand", "p_size")
     new = old.filter("p_partkey % 2 = 0").select("p_partkey", (F.col("p_retailprice") * 2).alias("p_retailprice"), F.lit(None).cast("string").alias("p_brand"))
     more = table(spark, d, "customer").filter("c_custkey BETWEEN 1 AND 10").select((-F.col("c_custkey")).alias("p_partkey"), F.lit(1.0).alias("p_retailprice"), F.lit(None).cast("string").alias("p_brand"))
-    return mg.upsert(old, new.unionByName(more), ["p_partkey"])
+    # Every tenth incoming row comes twice; of those the one with the larger order counts.
+    incoming = new.unionByName(more).withColumn("line", F.lit(2))
+    first = incoming.filter("p_partkey % 10 = 0").withColumn("line", F.lit(1)).withColumn("p_retailprice", F.lit(-1.0))
+    return mg.upsert(old, incoming.unionByName(first), ["p_partkey"], order="line")
 
 
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0 OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2) UNION ALL SELECT l_orderkey, l_partkey, 0.0 FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber = 2")
@@ -111,7 +114,7 @@ SELECT x.photographer, x.position, x.bib_text, count(*) AS n FROM a x JOIN a y O
 """)
 def burst_support(spark, d):
     seen = _frames(spark, d).join(detections(spark, d).filter("source <> 'rejected'"), "photo_id").select("photographer", "position", "bib_text").distinct()
-    return w.support_pairs(seen, "photographer", "position", "bib_text").join(seen, ["photographer", "position", "bib_text"], "left_semi")
+    return w.support_pairs(seen, "photographer", "position", "bib_text")
 
 
 @query("""
@@ -134,23 +137,21 @@ def cover_photo(spark, d):
     return w.cover(g.withColumn("place", F.col("photo_id")), "bib", "at", "bibs", "photo_id", "place", 864_000_000)
 
 
-@query(HEAD + "SELECT photo_id, 1000 + row_number() OVER (PARTITION BY photographer ORDER BY captured_at, photo_id) AS number FROM photos WHERE photo_id % 2 = 1")
-def number_after_max(spark, d):
-    return w.numbered(photos(spark, d).filter("photo_id % 2 = 1"), "photographer", ["captured_at", "photo_id"], F.lit(1000)).select("photo_id", "number")
-
-
 @query(HEAD + """
 , old AS (SELECT photographer, max(photo_id) AS top FROM photos WHERE photo_id % 2 = 0 GROUP BY photographer)
 SELECT photo_id, photo_id AS number FROM photos WHERE photo_id % 2 = 0
 UNION ALL SELECT photo_id, coalesce(top, 0) + row_number() OVER (PARTITION BY photographer ORDER BY captured_at, photo_id) FROM photos LEFT JOIN old USING (photographer) WHERE photo_id % 2 = 1
 """)
-def number_after_max_all(spark, d):
+def number_after_max(spark, d):
     """Even photos are there already, with their photo_id as number; odd ones are numbered after their photographer's largest."""
     old = photos(spark, d).filter("photo_id % 2 = 0").withColumn("number", F.col("photo_id"))
     return w.numbered_after(old, photos(spark, d).filter("photo_id % 2 = 1"), "photographer", ["captured_at", "photo_id"]).select("photo_id", "number")
 
 
-@query(HEAD + "SELECT photo_id, row_number() OVER (PARTITION BY photographer ORDER BY CASE WHEN photographer < '3' THEN captured_at END, file_name) AS place FROM photos")
+@query(HEAD + """
+, s AS (SELECT *, CASE WHEN photographer < '3' OR photo_id % 100 <> 0 THEN captured_at END AS shot FROM photos), a AS (SELECT *, count(*) OVER p = count(shot) OVER p AS timed FROM s WINDOW p AS (PARTITION BY photographer))
+SELECT photo_id, row_number() OVER (PARTITION BY photographer ORDER BY CASE WHEN timed THEN shot END, file_name) AS place FROM a
+""")
 def shot_order(spark, d):
     rows = photos(spark, d).withColumn("shot", F.when((F.col("photographer") < "3") | (F.col("photo_id") % 100 != 0), F.col("captured_at")))
     return w.shot_order(rows, "photographer", "shot", F.col("file_name")).select("photo_id", "place")
@@ -158,12 +159,12 @@ def shot_order(spark, d):
 
 @query(HEAD + "SELECT photo_id, ntile(2) OVER (PARTITION BY photographer ORDER BY photo_id) AS half FROM photos")
 def half_split(spark, d):
-    return w.halves(photos(spark, d), "photographer", ["photo_id"]).select("photo_id", "half")
+    return w.halves(photos(spark, d), "photographer", "photo_id").select("photo_id", "half")
 
 
 @query(HEAD + "SELECT photo_id FROM (SELECT photo_id, row_number() OVER (PARTITION BY photographer ORDER BY photo_id) AS n FROM photos) WHERE (n - 1) % 25 = 0")
 def every_kth(spark, d):
-    return w.every_kth(photos(spark, d), "photographer", ["photo_id"], 25).select("photo_id")
+    return w.every_kth(photos(spark, d), "photographer", "photo_id", 25).select("photo_id")
 
 
 @query(HEAD + "SELECT photo_id, CASE WHEN (photo_id - 1) // 20 % 5 = 4 THEN 'val' ELSE 'train' END AS split FROM photos WHERE photo_id > 0")
@@ -173,7 +174,7 @@ def block_split(spark, d):
 
 @query(HEAD + "SELECT photo_id, (row_number() OVER (PARTITION BY photographer ORDER BY photo_id) - 1) // 500 AS chunk, coalesce(sum(photo_id % 1000) OVER (PARTITION BY photographer ORDER BY photo_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 150000 AS bytes FROM photos")
 def chunk_rows(spark, d):
-    rows = w.chunks(photos(spark, d).withColumn("size", F.col("photo_id") % 1000), "photographer", ["photo_id"], 500).withColumnRenamed("chunk", "c")
+    rows = w.chunks(photos(spark, d).withColumn("size", F.col("photo_id") % 1000), "photographer", "photo_id", 500).withColumnRenamed("chunk", "c")
     return w.byte_chunks(rows, "photographer", ["photo_id"], "size", 150_000).select("photo_id", F.col("c").alias("chunk"), F.col("chunk").alias("bytes"))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stridemark.functions.geometry import wrapped_rotation
-from stridemark.functions.text import bare_number
+from stridemark.functions.text import bare_number, composed, trailing_number
 
 ANNOTATION = """_id INT, _name STRING, _width INT, _height INT, box ARRAY<STRUCT<_label: STRING, _source: STRING, _occluded: INT, _xtl: DOUBLE, _ytl: DOUBLE,
 _xbr: DOUBLE, _ybr: DOUBLE, _rotation: DOUBLE, _z_order: INT, attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>"""
@@ -40,6 +46,30 @@ def photos(spark: SparkSession, root: str, endings: tuple[str, ...] = PHOTO_ENDI
     return rows.select("path", folder.alias("folder"), name.alias("name"), F.col("length").alias("bytes"), *["content"] * content)
 
 
+def published_photos(spark: SparkSession, root: str, endings: tuple[str, ...] = PUBLISHED_ENDINGS) -> DataFrame:
+    """path, name (the path below the root) and bytes of what is published: no part that begins with a dot, no folder
+    that begins with _, but files that do.
+
+    Spark's own listing leaves those files out, so that the store is asked, on the driver, as Spark does itself.
+    """
+    store = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = store.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    base, found, listed = fs.resolvePath(store).toString().rstrip("/"), [], fs.listFiles(store, True)
+    while listed.hasNext():
+        f = listed.next()
+        path = f.getPath().toString()
+        name = path[len(base) + 1 :]
+        *folders, last = name.split("/")
+        if last[:1] != "." and not any(p[:1] in ("_", ".") for p in folders) and last.rpartition(".")[2].lower() in endings:
+            found.append((path, name, f.getLen()))
+    return spark.createDataFrame(found, "path string, name string, bytes bigint")
+
+
+def relative_key(path: Column, root: str) -> Column:
+    """The path below a root, with forward slashes."""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^.*?" + re.escape(root.replace("\\", "/").rstrip("/")) + "/", "")
+
+
 def batches(listed: DataFrame) -> DataFrame:
     """Folders that directly hold photos, and how many."""
     return listed.groupBy("folder").agg(F.count("*").alias("photos"))
@@ -73,6 +103,20 @@ def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     return whole.select(F.explode("m"))
 
 
+def first_map(spark: SparkSession, paths: list[str], value: str) -> DataFrame:
+    """As json_map, of the first of the files that is there: a newer pass's suggestions go before the older ones."""
+    for path in paths[:-1]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            return json_map(spark, path, value)
+    return json_map(spark, paths[-1], value)
+
+
+def inline(spark: SparkSession, names: list[str], column: str = "file_name") -> DataFrame:
+    """A relation written out in the query."""
+    return spark.createDataFrame([(n,) for n in names], f"{column} string")
+
+
 def start_list(spark: SparkSession, path: str | None) -> DataFrame | None:
     """Distinct bibs of a text or CSV file. None without a path: no list is not an empty list."""
     if not path:
@@ -87,9 +131,12 @@ def start_list(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def answer_key(spark: SparkSession, path: str, photo: str = "photo", bibs: str = "bibs") -> DataFrame:
-    """number of the photo (the trailing digits of its name) and its bibs."""
-    rows = spark.read.csv(path, header=True)
-    return rows.select(F.regexp_extract(photo, r"(\d+)\.[A-Za-z]+$", 1).try_cast("bigint").alias("photo"), F.filter(F.transform(F.split(F.coalesce(bibs, F.lit("")), r"[,;|\s]+"), lambda x: bare_number(x)), lambda x: x != "").alias("bibs"))
+    """number of the photo (the trailing digits of its composed name) and its distinct bibs; the last row of a photo."""
+    rows = spark.read.csv(path, header=True, multiLine=True).withColumn("__line", F.monotonically_increasing_id())
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+    numbers = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(bibs, F.lit("")), ","), lambda x: bare_number(x)), lambda x: x != ""))
+    keyed = rows.select(trailing_number(composed(F.col(photo))).alias("photo"), numbers.alias("bibs"), "__line").filter("photo IS NOT NULL")
+    return keyed.groupBy("photo").agg(F.max_by("bibs", "__line").alias("bibs"))
 
 
 def labels(spark: SparkSession, root: str) -> DataFrame:
@@ -105,9 +152,55 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captured_at(content: Column, zone: str) -> Column:
-    """The earliest time in a photo's bytes from 2000 on, as UTC; an offset written with it counts, else the zone."""
-    raw = F.decode(F.substring(content, 1, 1 << 18), "ISO-8859-1")
-    stamps = F.regexp_extract_all(raw, F.lit(r"(20[0-9]{2}:[01][0-9]:[0-3][0-9] [0-2][0-9]:[0-5][0-9]:[0-5][0-9])"), F.lit(1))
-    offset = F.nullif(F.regexp_extract(raw, r"([+-][01][0-9]:[0-5][0-9])\x00", 1), F.lit(""))
-    wall = F.try_to_timestamp(F.array_min(stamps), F.lit("yyyy:MM:dd HH:mm:ss"))
-    return F.to_utc_timestamp(wall, F.coalesce(offset, F.lit(zone)))
+    """The earliest time in a photo's EXIF block from 2000 on, as UTC; an offset written with it counts, else the zone.
+
+    The block, which the format keeps within 64 KB, begins where its header is, wherever that is; without a header the
+    whole content is looked through. Stamps that are no time, such as month 13, are left out before the earliest is
+    taken.
+    """
+    whole = F.decode(content, "ISO-8859-1")
+    head = F.locate("Exif\x00\x00", whole)
+    raw = F.when(head > 0, F.substring(whole, head, F.lit(1 << 16))).otherwise(whole)
+    stamps = F.transform(F.regexp_extract_all(raw, F.lit(r"([0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})"), F.lit(1)), lambda x: F.try_to_timestamp(x, F.lit("yyyy:MM:dd HH:mm:ss")))
+    offset = F.nullif(F.regexp_extract(raw, r"\x00([+-][0-9]{2}:[0-9]{2})\x00", 1), F.lit(""))
+    return F.to_utc_timestamp(F.array_min(F.filter(stamps, lambda x: F.year(x) >= 2000)), F.coalesce(offset, F.lit(zone)))
+
+
+def _shot_time(photo: bytes) -> str | None:
+    """When a photo was taken by its EXIF directories, as 'YYYY:MM:DD HH:MM:SS.sss'."""
+    at = photo.find(b"Exif\x00\x00")
+    tiff = photo[at + 6 :] if at >= 0 else photo
+    order = {b"II": "<", b"MM": ">"}[bytes(tiff[:2])]
+
+    def entries(start: int) -> dict[int, tuple[int, int, int]]:
+        (n,) = struct.unpack_from(order + "H", tiff, start)
+        return {tag: (kind, count, start + 2 + 12 * i + 8) for i in range(n) for tag, kind, count in [struct.unpack_from(order + "HHI", tiff, start + 2 + 12 * i)]}
+
+    def number(e: tuple[int, int, int]) -> int:
+        return struct.unpack_from(order + "I", tiff, e[2])[0]
+
+    def text(e: tuple[int, int, int] | None) -> str | None:
+        if e is None:
+            return None
+        where = e[2] if e[1] <= 4 else number(e)
+        return bytes(tiff[where : where + e[1]]).split(b"\x00")[0].decode("ascii", "replace").strip()
+
+    # Tags of the format. 0x8769 the EXIF directory, 36867 and 306 times, 37521 thousandths.
+    first = entries(struct.unpack_from(order + "I", tiff, 4)[0])
+    exif = entries(number(first[0x8769])) if 0x8769 in first else {}
+    taken = text(exif.get(36867)) or text(first.get(306))
+    return f"{taken}.{(text(exif.get(37521)) or '0')[:3].zfill(3)}" if taken else None
+
+
+@F.pandas_udf(T.StringType())
+def shot_time(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The time of a shot with thousandths, null where there is none or the block is broken. In Python: a binary format."""
+
+    def of(photo: bytes | None) -> str | None:
+        try:
+            return None if photo is None else _shot_time(photo)
+        except (KeyError, struct.error, IndexError):
+            return None
+
+    for part in contents:
+        yield pd.Series([of(p) for p in part], dtype=object)

@@ -11,31 +11,34 @@ from stridemark.functions import times
 #: Headers that mean a field, after accents, case and punctuation are taken away; the first that has a
 #: value in a row is used.
 FIELDS = {
-    "bib": "bib bib_number bibnumber bibno number no startno start_number startnumber broj startni_broj st_br stbr",
-    "dob": "dob birthdate birth_date dateofbirth date_of_birth born birthday datum_rodenja datum_rodjenja datumrodjenja rodjen geburtsdatum",
-    "birth_year": "birthyear birth_year yob year_of_birth godina godina_rodenja",
-    "full_name": "name full_name fullname runner athlete imeiprezime ime_i_prezime participant",
-    "first_name": "firstname first_name given_name ime vorname",
-    "last_name": "lastname last_name surname family_name prezime nachname",
-    "gender": "gender sex spol m_f mf kat_spol",
-    "category": "category cat kategorija agegroup age_group ag class klasa",
-    "club": "club klub team tim ekipa society",
-    "nationality": "nationality nat country nacionalnost drzava ctry noc",
-    "race": "race distance event discipline disciplina trka dionica staza",
-    "finish_time": "finish_time finishtime chip_time chiptime net_time nettime gun_time guntime official_time time result rezultat vrijeme ukupno",
-    "chip_time": "chip_time chiptime net_time nettime neto",
-    "place_overall": "place rank position pos overall overall_place mjesto plasman ukupno_mjesto",
-    "place_gender": "gender_place place_gender genderrank mjesto_spol",
-    "place_category": "category_place place_category cat_place catplace agrank mjesto_kategorija kategorija_mjesto mjesto_u_kategoriji plasman_kategorija",
-    "status": "status finished dnf",
+    "bib": ["bib", "bib_number", "bibnumber", "bibno", "number", "no", "startno", "start_number", "startnumber", "broj", "startni_broj", "st_br", "stbr"],
+    "dob": ["dob", "birthdate", "birth_date", "dateofbirth", "date_of_birth", "born", "birthday", "datum_rodenja", "datum_rodjenja", "datumrodjenja", "rodjen", "geburtsdatum"],
+    "birth_year": ["birthyear", "birth_year", "yob", "year_of_birth", "godina", "godina_rodenja"],
+    "full_name": ["name", "full_name", "fullname", "runner", "athlete", "imeiprezime", "ime_i_prezime", "participant"],
+    "first_name": ["firstname", "first_name", "given_name", "ime", "vorname"],
+    "last_name": ["lastname", "last_name", "surname", "family_name", "prezime", "nachname"],
+    "gender": ["gender", "sex", "spol", "m_f", "mf", "kat_spol"],
+    "category": ["category", "cat", "kategorija", "agegroup", "age_group", "ag", "class", "klasa"],
+    "club": ["club", "klub", "team", "tim", "ekipa", "society"],
+    "nationality": ["nationality", "nat", "country", "nacionalnost", "drzava", "ctry", "noc"],
+    "race": ["race", "distance", "event", "discipline", "disciplina", "trka", "dionica", "staza"],
+    "finish_time": ["finish_time", "finishtime", "chip_time", "chiptime", "net_time", "nettime", "gun_time", "guntime", "official_time", "time", "result", "rezultat", "vrijeme", "ukupno"],
+    "chip_time": ["chip_time", "chiptime", "net_time", "nettime", "neto"],
+    "place_overall": ["place", "rank", "position", "pos", "overall", "overall_place", "mjesto", "plasman", "ukupno_mjesto"],
+    "place_gender": ["gender_place", "place_gender", "genderrank", "mjesto_spol"],
+    "place_category": ["category_place", "place_category", "cat_place", "catplace", "agrank", "mjesto_kategorija", "kategorija_mjesto", "mjesto u kategoriji", "plasman_kategorija"],
+    "status": ["status", "finished", "dnf"],
 }
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text under their header keys. The separator is ; if the header has more than one of them."""
+    """All columns as text under their header keys. The separator is ; if the header has more than one of them.
+
+    Quoted values may have line breaks, for which a file is read by one task, in order.
+    """
     head = spark.read.text(path).first()
     separator = ";" if head and head[0].count(";") > 1 else ","
-    rows = spark.read.csv(path, sep=separator, header=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False)
+    rows = spark.read.csv(path, sep=separator, header=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=True)
     return rows.toDF(*[t.header_key(c.lstrip("﻿")) or f"column{i}" for i, c in enumerate(rows.columns)])
 
 
@@ -50,7 +53,7 @@ def runners(rows: DataFrame, overrides: dict[str, str] | None = None, date_order
 
     overrides maps a field to a header of the file, which is looked at first.
     """
-    of = lambda field: pick(rows, [*([overrides[field]] if overrides and field in overrides else []), *FIELDS[field].split()])
+    of = lambda field: pick(rows, [*([overrides[field]] if overrides and field in overrides else []), *FIELDS[field]])
     bib = t.only_digits(of("bib"))
     name = F.coalesce(F.nullif(of("full_name"), F.lit("")), F.concat_ws(" ", *[F.nullif(of(c), F.lit("")) for c in ("first_name", "last_name")]))
     dob, year = times.parse_date(of("dob"), date_order, pivot), t.integer_in(of("birth_year"))
@@ -82,3 +85,23 @@ def bundle(rows: DataFrame, meta: DataFrame | None = None, review: DataFrame | N
     if review is None:
         return out.withColumn("model_numbers", F.array().cast("array<string>")).withColumn("reviewed", F.lit(False))
     return out.join(review.select("file_name", "model_numbers", "reviewed"), "file_name", "left")
+
+
+def with_race_ids(runners_: DataFrame, races: DataFrame) -> DataFrame:
+    """The payload of an upsert: race_id in place of race_code, null for a code that the event hasn't."""
+    known = races.select(F.col("code").alias("race_code"), "race_id")
+    return runners_.join(known, "race_code", "left").drop("race_code")
+
+
+def reviews(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, numbers, model_numbers and reviewed from the JSON object of a review bundle; none if it is missing."""
+    from stridemark.sources.files import json_map
+
+    rows = json_map(spark, path, "struct<numbers: array<string>, model_numbers: array<string>, reviewed: boolean>")
+    return rows.select(F.col("key").alias("file_name"), "value.*")
+
+
+def without_bibs(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct file_name of a reviewer's CSV (image_name, bib_numbers) whose list of bibs is empty."""
+    rows = read(spark, path)
+    return rows.select(pick(rows, ["image_name"]).alias("file_name"), pick(rows, ["bib_numbers"]).alias("bibs")).filter((F.col("file_name") != "") & (F.size(F.filter(F.split("bibs", "[,;]"), lambda x: F.trim(x) != "")) == 0)).select("file_name").distinct()

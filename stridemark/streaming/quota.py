@@ -23,17 +23,16 @@ def session_quota(requests: DataFrame, session: str = "session", value: str = "v
             state.remove()
             return
         given = list(state.get[0]) if state.exists else []
-        seen, last = set(given), 0
-        for b in batches:
-            b = b.sort_values("ts", kind="stable")
-            allowed = []
-            for v in b["value"]:
-                if v not in seen and len(given) < most:
-                    seen.add(v)
-                    given.append(v)
-                allowed.append(v in seen)
-            last = max(last, int(b["ts"].max().timestamp() * 1000))
-            yield b[["session", "value", "ts"]].assign(allowed=allowed)
+        seen, allowed = set(given), []
+        # A session's requests of a micro-batch may come in several chunks, in any order.
+        b = pd.concat(list(batches), ignore_index=True).sort_values("ts", kind="stable")
+        for v in b["value"]:
+            if v not in seen and len(given) < most:
+                seen.add(v)
+                given.append(v)
+            allowed.append(v in seen)
+        last = int(b["ts"].max().timestamp() * 1000)
+        yield b[["session", "value", "ts"]].assign(allowed=allowed)
         state.update((given,))
         state.setTimeoutTimestamp(max(last + life_ms, state.getCurrentWatermarkMs() + 1))
 
