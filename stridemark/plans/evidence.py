@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stridemark.operators import bursts as b
 from stridemark.operators import evidence as ev
 
+from stridemark.sources.sinks import staged
+
 from .adapters import HEAD, detections, photos, runners, table
 from .registry import query
 
@@ -134,7 +136,51 @@ def _reads(spark, d):
     )
 
 
-@query()
+LOOKS = """
+WITH RECURSIVE looks AS (
+  SELECT l_orderkey AS photo, l_linenumber * 300.0::DOUBLE AS x0, l_suppkey % 3 * 40.0::DOUBLE + 600 AS y0, CASE WHEN l_returnflag = 'N' THEN 'tile1' ELSE 'survey' END AS source,
+    CASE WHEN l_suppkey % 7 = 0 THEN left(l_partkey::VARCHAR, length(l_partkey::VARCHAR)::INT - 1) || '?' ELSE l_partkey::VARCHAR END AS number,
+    CASE WHEN l_tax < 0.05 THEN 'clear' ELSE 'partial' END AS legibility, CASE WHEN l_discount < 0.05 THEN 'none' ELSE 'left' END AS cut, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
+), placed AS (
+  SELECT *, x0 + 120 AS x1, y0 + 80 AS y1, row_number() OVER (PARTITION BY photo ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, source, number, legibility, cut)::INT AS i FROM looks
+), same AS (
+  SELECT a.photo, a.i, list(b.i) AS js FROM placed a JOIN placed b ON a.photo = b.photo AND b.i < a.i
+  WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / (2 * 9600 - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) >= 0.25
+    OR ((a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1) GROUP BY ALL
+), steps AS (SELECT p.photo, p.i, coalesce(js, []::INT[]) AS js FROM placed p LEFT JOIN same s ON s.photo = p.photo AND s.i = p.i),
+grown AS (
+  SELECT photo, 0 AS i, []::INT[] AS g FROM (SELECT DISTINCT photo FROM placed)
+  UNION ALL
+  SELECT r.photo, s.i, list_append(r.g, coalesce(list_min(list_transform(s.js, lambda j: r.g[j])), coalesce(list_max(r.g), 0) + 1)::INT) FROM grown r JOIN steps s ON s.photo = r.photo AND s.i = r.i + 1
+), grouped AS (
+  SELECT p.*, r.g[p.i] AS grp FROM placed p JOIN (SELECT photo, g FROM grown QUALIFY i = max(i) OVER (PARTITION BY photo)) r USING (photo)
+), best AS (
+  SELECT photo, grp, x0, y0, x1, y1, cut FROM grouped QUALIFY row_number() OVER (PARTITION BY photo, grp ORDER BY legibility = 'clear' DESC, cut = 'none' DESC, source <> 'survey' DESC, i) = 1
+), hull AS (
+  SELECT photo, grp, min(x0) AS hx0, min(y0) AS hy0, max(x1) AS hx1, max(y1) AS hy1, list({'number': number, 'legibility': legibility, 'cut': cut} ORDER BY i) AS reads FROM grouped GROUP BY ALL
+), clusters AS (
+  SELECT photo, CASE WHEN cut = 'none' THEN x0 ELSE hx0 END AS x0, CASE WHEN cut = 'none' THEN y0 ELSE hy0 END AS y0, CASE WHEN cut = 'none' THEN x1 ELSE hx1 END AS x1, CASE WHEN cut = 'none' THEN y1 ELSE hy1 END AS y1, reads FROM best JOIN hull USING (photo, grp)
+)
+"""
+#: A decision from its reads, the second of which is the close-up; there is no judge.
+DECIDED = LOOKS + """
+, full_reads AS (
+  SELECT *, list_transform(reads, lambda r: CASE WHEN r.number <> '' AND NOT contains(r.number, '?') AND (r.cut = 'none' OR r.legibility = 'clear') THEN r.number END) AS f FROM clusters
+), asked AS (
+  SELECT *, CASE WHEN len(reads) > 1 THEN f[2] END AS zf, len(reads) > 1 AND reads[2].legibility = 'clear' AND reads[2].cut = 'none' AS zclear, list_filter(f, lambda x: x IS NOT NULL) AS fulls FROM full_reads
+), voted AS (
+  SELECT *, list_distinct(fulls) AS others, CASE WHEN zf IS NOT NULL THEN list_append(fulls, zf) ELSE fulls END AS given FROM asked
+), counted AS (
+  SELECT *, list_transform(list_sort(list_transform(list_distinct(given), lambda n: {'c': -len(list_filter(given, lambda x: x = n)), 'p': list_position(given, n), 'n': n})), lambda x: x.n) AS votes,
+    CASE WHEN len(reads) > 1 THEN reads[2].number ELSE (list_sort(list_transform(range(1, len(reads) + 1), lambda i: {'d': -length(replace(reads[i].number, '?', '')), 'i': i, 'n': reads[i].number})))[1].n END AS pattern FROM voted
+), decided AS (
+  SELECT photo, x0, y0, votes, CASE WHEN zf IS NOT NULL AND ((zclear AND len(others) = 1) OR len(others) = 1) THEN 'accept' WHEN len(votes) > 0 THEN 'judge' WHEN length(replace(pattern, '?', '')) >= 1 THEN 'review' ELSE 'drop' END AS status,
+    CASE WHEN zf IS NOT NULL AND len(others) = 1 THEN zf END AS number, CASE WHEN zf IS NOT NULL AND len(others) = 1 THEN CASE WHEN zclear THEN 'zoom clear, agreed' ELSE 'two readings agree' END END AS how, pattern FROM counted
+)
+"""
+
+
+@query(LOOKS + "SELECT photo, x0, y0, x1, y1, len(reads)::INT AS looks FROM clusters")
 def cluster_boxes(spark, d):
     return b.clusters(_reads(spark, d)).select("photo", "x0", "y0", "x1", "y1", F.size("reads").alias("looks"))
 
@@ -143,16 +189,33 @@ def _decided(spark, d):
     found = b.clusters(_reads(spark, d))
     one = lambda kind, which: F.when(F.size("reads") > 1, F.element_at("reads", which)).otherwise(F.lit(None).cast(b.READ)).withField("source", F.lit(kind))
     rows = found.withColumn("bib", F.struct("x0", "y0")).withColumn("d", b.decide(F.col("reads"), one("zoom", 2), F.lit(None).cast(b.READ)))
-    return rows.select("photo", "bib", "d").persist()  # several branches of the resolution read it
+    return rows.select("photo", "bib", "d")
 
 
-@query()
+@query(DECIDED + "SELECT status, how, CASE status WHEN 'review' THEN 'digits hidden' WHEN 'drop' THEN 'unreadable' END AS why, count(*) AS n FROM decided GROUP BY ALL")
 def bib_decisions(spark, d):
     return _decided(spark, d).groupBy("d.status", "d.how", "d.why").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(DECIDED + """
+, frames AS (SELECT o_orderkey AS photo, o_orderpriority AS folder, floor(o_orderkey / 5)::BIGINT AS position FROM orders),
+start AS (SELECT c_custkey::VARCHAR AS number FROM customer),
+here AS (SELECT decided.*, folder, position, CASE WHEN status = 'judge' THEN votes ELSE [] END AS cands, CASE WHEN status = 'review' THEN pattern ELSE '' END AS hidden FROM decided JOIN frames USING (photo)),
+accepted AS (SELECT DISTINCT folder, position, number FROM here WHERE status = 'accept'),
+places AS (SELECT DISTINCT folder, position FROM here WHERE status IN ('judge', 'review')),
+near AS (SELECT p.folder, p.position, list(DISTINCT a.number) AS near FROM places p JOIN accepted a ON a.folder = p.folder AND a.position <> p.position AND abs(a.position - p.position) <= 6 GROUP BY ALL),
+met AS (
+  SELECT h.*, coalesce(near, []) AS near, list_filter(cands, lambda c: list_contains(coalesce(near, []), c)) AS hit,
+    CASE WHEN length(hidden) >= 3 AND length(hidden) - length(replace(hidden, '?', '')) = 1 THEN list_filter(coalesce(near, []), lambda n: length(n) = length(hidden) AND n LIKE replace(hidden, '?', '_')) ELSE [] END AS filled FROM here h LEFT JOIN near USING (folder, position)
+), valid AS (
+  SELECT photo, x0, y0, list(c) AS ok FROM (SELECT photo, x0, y0, unnest(cands) AS c FROM met) JOIN start ON number = c GROUP BY ALL
+), settled AS (
+  SELECT m.photo, m.x0, m.y0, CASE WHEN status = 'accept' THEN m.number WHEN status = 'drop' THEN NULL WHEN len(hit) = 1 THEN hit[1] WHEN len(filled) = 1 THEN filled[1] WHEN len(ok) = 1 AND len(cands) > 1 THEN ok[1] END AS number, status = 'drop' AS dropped
+  FROM met m LEFT JOIN valid v ON v.photo = m.photo AND v.x0 = m.x0 AND v.y0 = m.y0
+), listed AS (SELECT s.*, t.number IS NOT NULL AS known, row_number() OVER (PARTITION BY photo, s.number ORDER BY x0, y0) AS nth FROM settled s LEFT JOIN start t ON t.number = s.number)
+SELECT photo, coalesce(string_agg(number, ',' ORDER BY x0, y0) FILTER (known AND nth = 1), '') AS numbers, (count(*) FILTER (NOT known AND NOT dropped))::INT AS needs_human FROM listed GROUP BY photo
+""")
 def burst_resolution(spark, d):
     frames = photos(spark, d).select(F.col("photo_id").alias("photo"), F.col("photographer").alias("folder"), F.floor(F.col("photo_id") / 5).alias("position"))
     start = runners(spark, d).select(F.col("bib").alias("number"))
-    return b.results(b.resolve(_decided(spark, d), frames, start)).select("photo", F.array_join("numbers", ",").alias("numbers"), "needs_human")
+    return b.results(b.resolve(staged(_decided(spark, d), "decisions"), frames, start)).select("photo", F.array_join("numbers", ",").alias("numbers"), "needs_human")

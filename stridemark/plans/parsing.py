@@ -146,16 +146,101 @@ def iou_pairs(spark, d):
     return pairs.select("photo", "a", "b", F.round(g.iou(F.col("p"), F.col("q")), 6).alias("iou")).filter("iou > 0")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (
+  SELECT photo, x, y, x + w::DOUBLE AS x1, y + h::DOUBLE AS y1, row_number() OVER (PARTITION BY photo ORDER BY conf DESC, x, y, x + w, y + h)::INT AS i
+  FROM (SELECT q.*, l_discount * 10 AS conf FROM (SELECT l_discount, {BOXES.removeprefix("SELECT ").removesuffix(" FROM lineitem")} FROM lineitem) q)
+), i AS (SELECT a.photo, a.i, c.i AS j, greatest(0, least(a.x1, c.x1) - greatest(a.x, c.x)) * greatest(0, least(a.y1, c.y1) - greatest(a.y, c.y)) AS s, (a.x1 - a.x) * (a.y1 - a.y) + (c.x1 - c.x) * (c.y1 - c.y) AS t FROM b a JOIN b c ON a.photo = c.photo AND c.i < a.i),
+o AS (SELECT b.photo, b.i, coalesce(list(i.j) FILTER (s / (t - s) >= 0.5), []::INT[]) AS js FROM b LEFT JOIN i ON i.photo = b.photo AND i.i = b.i GROUP BY ALL),
+k AS (
+  SELECT photo, 0 AS i, []::INT[] AS kept FROM (SELECT DISTINCT photo FROM b)
+  UNION ALL
+  SELECT k.photo, o.i, CASE WHEN len(list_intersect(k.kept, o.js)) > 0 THEN k.kept ELSE list_append(k.kept, o.i) END FROM k JOIN o ON o.photo = k.photo AND o.i = k.i + 1
+)
+SELECT photo, i AS boxes, len(kept)::INT AS kept FROM k QUALIFY i = max(i) OVER (PARTITION BY photo)
+""")
 def iou_nms(spark, d):
     kept = _boxes(spark, d).groupBy("photo").agg(F.array_sort(F.collect_list(F.struct("conf", "box"))).alias("boxes"))
     return kept.select("photo", F.size("boxes").alias("boxes"), F.size(g.suppress(F.col("boxes"))).alias("kept"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT p_partkey, p_size * 100 + 500 AS w, p_size * 70 + 300 AS h FROM part), s AS (SELECT DISTINCT w, h FROM p),
+r AS (
+  SELECT w, h, 0.05::DOUBLE AS lo, 8.0::DOUBLE AS hi, 0 AS n FROM s
+  UNION ALL
+  SELECT w, h, CASE WHEN fits THEN (lo + hi) / 2 ELSE lo END, CASE WHEN fits THEN hi ELSE (lo + hi) / 2 END, n + 1
+  FROM (SELECT *, greatest(round_even(w * (lo + hi) / 2, 0), round_even(h * (lo + hi) / 2, 0)) <= 2576 AND ceil(round_even(w * (lo + hi) / 2, 0) / 28) * ceil(round_even(h * (lo + hi) / 2, 0) / 28) <= 4784 AS fits FROM r WHERE n < 40)
+)
+SELECT p_partkey, floor(w * lo)::INT AS w, floor(h * lo)::INT AS h, 4 AS tiles FROM p JOIN (SELECT * FROM r WHERE n = 40) USING (w, h)
+""")
 def fitted_sizes(spark, d):
     w, h = F.col("p_size") * 100 + 500, F.col("p_size") * 70 + 300
-    return table(spark, d, "part").select("p_partkey", g.fit_size(w, h).alias("size"), F.size(g.quarters(w, h)).alias("tiles"))
+    size = g.fit_size(w, h)
+    return table(spark, d, "part").select("p_partkey", size["w"].alias("w"), size["h"].alias("h"), F.size(g.quarters(w, h)).alias("tiles"))
+
+
+@query(f"""
+WITH b AS (SELECT photo, l_partkey, l_suppkey, n, x, y, x + w::DOUBLE AS x1, y + h::DOUBLE AS y1, greatest(8, w)::DOUBLE AS w, greatest(8, h)::DOUBLE AS h FROM ({BOXES})),
+c AS (SELECT *, greatest(2.2 * w, 3 * h, 96) AS cw, greatest(1.5 * w, 3 * h, 96) AS ch, (x + x1) / 2 AS cx, (y + y1) / 2 AS cy FROM b)
+SELECT photo, l_partkey, l_suppkey, n, round(greatest(0, cx - cw / 2), 3) AS ax, round(least(640, cx + cw / 2), 3) AS ax1, round(greatest(0, cy - ch / 2), 3) AS ay, round(least(480, cy + ch / 2), 3) AS ay1,
+  round(greatest(0, x - 0.18 * w - 4), 3) AS tx, round(least(640, x1 + 0.18 * w + 4), 3) AS tx1, round(greatest(0, y - 0.25 * h - 4), 3) AS ty, round(least(480, y1 + 0.25 * h + 4), 3) AS ty1,
+  round_even(x - 0.15 * (x1 - x), 0)::BIGINT AS crop_x, greatest(y1 - y, 64)::BIGINT AS up_h, CASE WHEN y1 - y >= 64 THEN x1 - x ELSE round_even((x1 - x) * 64 / (y1 - y), 0) END::BIGINT AS up_w FROM c
+""")
+def zoom_boxes(spark, d):
+    b, w, h = F.col("box"), F.lit(640.0), F.lit(480.0)
+    around, tight, up = g.zoom_context(b, w, h), g.zoom_tight(b, w, h), g.upscaled(g.width(b), g.height(b))
+    r = lambda c, n: F.round(c, 3).alias(n)
+    return _boxes(spark, d).select("photo", "l_partkey", "l_suppkey", "n", r(around["x0"], "ax"), r(around["x1"], "ax1"), r(around["y0"], "ay"), r(around["y1"], "ay1"), r(tight["x0"], "tx"), r(tight["x1"], "tx1"), r(tight["y0"], "ty"), r(tight["y1"], "ty1"), g.crop(b)["x0"].cast("bigint").alias("crop_x"), up["h"].cast("bigint").alias("up_h"), up["w"].cast("bigint").alias("up_w"))
+
+
+@query(f"""
+WITH b AS (SELECT *, CASE WHEN (l_partkey * 7) % 360 > 180 THEN (l_partkey * 7) % 360 - 360 ELSE (l_partkey * 7) % 360 END AS deg, x + w::DOUBLE / 2 AS cx, y + h::DOUBLE / 2 AS cy FROM ({BOXES}))
+SELECT photo, l_partkey, l_suppkey, n, deg::DOUBLE AS deg, round(cx - (abs(w * cos(radians(deg))) + abs(h * sin(radians(deg)))) / 2, 3) + 0 AS x0, round(cy + (abs(w * sin(radians(deg))) + abs(h * cos(radians(deg)))) / 2, 3) + 0 AS y1 FROM b
+""")
+def rotated_bounds(spark, d):
+    deg = g.wrapped_rotation((F.col("l_partkey") * 7 + 720).cast("double"))
+    hull = g.bounds(g.corners(F.col("box"), deg))
+    return _boxes(spark, d).select("photo", "l_partkey", "l_suppkey", "n", deg.alias("deg"), F.round(hull["x0"], 3).alias("x0"), F.round(hull["y1"], 3).alias("y1"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS photo, l_linenumber AS n, l_partkey, l_suppkey, l_partkey % 100 AS a, l_suppkey % 60 AS b, l_partkey % 100 + l_linenumber AS c, l_suppkey % 60 + l_linenumber - 2 AS d FROM lineitem GROUP BY ALL),
+m AS (SELECT *, greatest(0, least(180, 20 + least(a, c) * 2.0::DOUBLE)) AS x0, greatest(0, least(180, 20 + greatest(a, c) * 2.0::DOUBLE)) AS x1, greatest(0, least(90, 10 + least(b, d) * 2.0::DOUBLE)) AS y0, greatest(0, least(90, 10 + greatest(b, d) * 2.0::DOUBLE)) AS y1 FROM r WHERE l_partkey % 9 <> 0)
+SELECT photo, count(*) AS boxes, sum(x0)::BIGINT AS x0, sum(y1)::BIGINT AS y1, count(*) FILTER (x1 - x0 >= 8 AND y1 - y0 >= 8) AS usable FROM m WHERE x1 - x0 >= 2 AND y1 - y0 >= 2 GROUP BY photo
+""")
+def cleaned_boxes(spark, d):
+    """Boxes that a reader gave for a tile at half size; every ninth has three numbers only."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    four = [c.cast("double") for c in (p % 100, s % 60, p % 100 + n, s % 60 + n - 2)]
+    given = F.when(p % 9 == 0, F.array(*four[:3])).otherwise(F.array(*four))
+    seen = F.struct(given.alias("box"), p.cast("string").alias("number"), F.lit(None).cast("string").alias("legibility"), F.lit("none").alias("cut"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("photo"), n, p, s, seen.alias("b")).distinct().groupBy("photo").agg(F.collect_list("b").alias("found"))
+    clean = rows.select("photo", g.clean_boxes(F.col("found"), F.lit(0.5), F.lit(180.0), F.lit(90.0), F.lit(20.0), F.lit(10.0)).alias("b")).filter("size(b) > 0")
+    total = lambda c: F.aggregate("b", F.lit(0.0), lambda acc, x: acc + x["box"][c]).cast("bigint").alias(c)
+    return clean.select("photo", F.size("b").cast("bigint").alias("boxes"), total("x0"), total("y1"), F.size(g.usable_regions(F.col("b"), 8.0)).cast("bigint").alias("usable"))
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 AND c_custkey % 100 <> 11 THEN 'fotografija' WHEN c_custkey % 10 BETWEEN 2 AND 4 AND c_custkey % 100 NOT BETWEEN 12 AND 14 THEN 'fotografije' ELSE 'fotografija+' END AS plural,
+  replace(replace(replace(format('{:,.2f}', (c_custkey * 1234.5)::DOUBLE), ',', '#'), '.', ','), '#', '.') AS local, CASE c_custkey % 3 WHEN 0 THEN 'Finish' WHEN 1 THEN 'Somewhere' ELSE '' END AS term,
+  CASE WHEN c_custkey % 4 = 0 THEN 'Run' ELSE c_custkey || CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' ELSE coalesce((['st', 'nd', 'rd'])[c_custkey % 10], 'th') END || ' Run' END AS title FROM customer
+""")
+def local_texts(spark, d):
+    c = F.col("c_custkey")
+    term = F.when(c % 3 == 0, "Cilj").when(c % 3 == 1, "Somewhere")
+    return table(spark, d, "customer").select(c.alias("id"), t.croatian_plural(c, "fotografija", "fotografije", "fotografija+").alias("plural"), t.local_number("hr", c * F.lit(1234.5), 2).alias("local"), t.data_term("en", term).alias("term"), t.event_title("en", F.lit("Run"), F.when(c % 4 > 0, c)).alias("title"))
+
+
+@query("""
+SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_partkey::VARCHAR END AS number, CASE p_partkey % 5 WHEN 1 THEN 'no JSON object' WHEN 2 THEN 'no number' WHEN 3 THEN 'legibility may not be odd' WHEN 4 THEN 'no JSON object' END AS error FROM part
+""")
+def valid_replies(spark, d):
+    n = F.col("p_partkey")
+    whole = F.concat(F.lit('Here: ```json\n{"number": "'), n, F.lit('", "legibility": "clear"}\n```'))
+    text = F.when(n % 5 == 0, whole).when(n % 5 == 1, "no idea").when(n % 5 == 2, '{"legibility": "clear"}').when(n % 5 == 3, '{"number": "1", "legibility": "odd"}')
+    v = t.valid_reply(text, "number string, legibility string", ["number", "legibility"], {"legibility": ["clear", "partial", "unreadable"]})
+    return table(spark, d, "part").select(n.alias("id"), v["reply"]["number"].alias("number"), v["error"].alias("error"))
 
 
 @query("SELECT source, count(*) AS reads, sum(length(b))::BIGINT AS digits FROM (SELECT source, bib_text AS b FROM (" + HEAD + " SELECT * FROM detections)) GROUP BY source")

@@ -181,7 +181,7 @@ def upcoming_events(spark, d):
   CASE photo_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '/media/' || file_name WHEN 2 THEN 'https://x/' || file_name ELSE file_name END AS preview, CASE photo_id % 3 WHEN 0 THEN NULL ELSE '/t/' || file_name END AS thumb,
   CASE WHEN photo_id % 5 > 0 THEN photo_id % 1000 END AS width, CASE WHEN photo_id % 7 > 0 THEN 600 END AS height, CASE WHEN photo_id % 2 = 0 THEN captured_at END AS shot FROM photos),
 u AS (SELECT *, CASE WHEN preview IS NULL OR preview LIKE '/%' OR preview LIKE 'http%' THEN preview ELSE 'https://store/storage/v1/object/public/race-previews/' || preview END AS src FROM g)
-SELECT photo_id, coalesce(src, '') AS src, coalesce(thumb, src, '') AS thumb, CASE WHEN shot IS NOT NULL THEN strftime(shot, '%H:%M') ELSE lpad((9 + (place - 1) * 20 // 60)::VARCHAR, 2, '0') || ':' || lpad(((place - 1) * 20 % 60)::VARCHAR, 2, '0') END AS clock,
+SELECT photo_id, coalesce(src, '') AS src, coalesce(thumb, src, '') AS thumb, CASE WHEN shot IS NOT NULL THEN strftime(shot, '%H:%M') ELSE printf('%02d:%02d', 9 + (place - 1) * 20 // 60, (place - 1) * 20 % 60) END AS clock,
   CASE WHEN photographer IS NULL THEN course_point ELSE course_point || ' · ' || photographer END AS hint, CASE WHEN width > 0 AND height > 0 THEN width || ' × ' || height || ' px' ELSE '—' END AS dims, coalesce(width, 3) || '/' || coalesce(height, 2) AS ratio FROM u
 """)
 def gallery_labels(spark, d):

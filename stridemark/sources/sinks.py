@@ -32,6 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows from a table of their own in the shared folder, for plans that read them in several branches."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Add rows to a log of JSON lines; readers take the last row of a key."""
     rows.write.mode("append").json(path)

@@ -64,3 +64,65 @@ def test_results(spark, tmp_path):
     assert sorted(r["problem"] for r in problems.collect()) == ["duplicate bib, the later row counts", "no bib", "no name", "unparseable birthdate", "unparseable birthdate"]
     named, _ = results.runners(rows, {"full_name": "Prezime"})
     assert {r["full_name"] for r in named.collect()} == {"Anić", "X", "Ragged"}
+
+
+def exif(when="2024:05:06 07:08:09", thousandths=b"25\x00", order="<"):
+    """A small EXIF block: the first directory with a time and a pointer, and the EXIF directory."""
+    import struct
+
+    stamp = when.encode() + b"\x00"
+    entry = lambda tag, kind, count, value: struct.pack(order + "HHI", tag, kind, count) + (value if isinstance(value, bytes) else struct.pack(order + "I", value))
+    first = struct.pack(order + "H", 2) + entry(306, 2, 20, 200) + entry(0x8769, 4, 1, 100) + b"\x00" * 4
+    second = struct.pack(order + "H", 2) + entry(36867, 2, 20, 240) + entry(37521, 2, len(thousandths), thousandths.ljust(4, b"\x00")) + b"\x00" * 4
+    tiff = (b"II*\x00" if order == "<" else b"MM\x00*") + struct.pack(order + "I", 8) + first
+    tiff = tiff.ljust(100, b"\x00") + second
+    return b"Exif\x00\x00" + tiff.ljust(200, b"\x00") + b"2030:01:01 00:00:00\x00".ljust(40, b"\x00") + stamp
+
+
+def test_times_in_photos(spark):
+    import struct  # noqa: F401
+
+    rows = [
+        ("late", b"\xff" * 400_000 + exif()),  # after more than 256 KB
+        ("bad first", b"2024:13:40 00:00:00\x00 2024:05:06 07:08:09\x00"),
+        ("old", b"1999:05:06 07:08:09\x00 2024:05:06 07:08:09\x00"),
+        ("offset", b"2024:05:06 07:08:09\x00+05:00\x00"),
+        ("none", b"nothing"),
+    ]
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "name string, content binary")
+    got = {r["name"]: str(r["t"]) for r in df.select("name", files.captured_at(df["content"], "Europe/Zagreb").alias("t")).collect()}
+    assert got == {"late": "2024-05-06 05:08:09", "bad first": "2024-05-06 05:08:09", "old": "2024-05-06 05:08:09", "offset": "2024-05-06 02:08:09", "none": "None"}
+    shots = spark.createDataFrame([(1, bytearray(b"\xff\xd8" + exif())), (2, bytearray(exif(order=">", thousandths=b"7\x00"))), (3, bytearray(b"II*")), (4, None)], "id int, content binary")
+    assert {r["id"]: r["t"] for r in shots.select("id", files.shot_time("content").alias("t")).collect()} == {1: "2024:05:06 07:08:09.025", 2: "2024:05:06 07:08:09.007", 3: None, 4: None}
+
+
+def test_published_listing(spark, tmp_path):
+    for p in ("x/a.JPG", "x/_b.webp", "x/.c.jpg", "_packs/d.jpg", ".old/e.jpg", "x/y/f.tif", "x/g.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"1")
+    listed = files.published_photos(spark, f"file://{tmp_path}")
+    assert sorted(r["name"] for r in listed.collect()) == ["x/_b.webp", "x/a.JPG", "x/y/f.tif"]
+    assert {r[0] for r in listed.select(files.relative_key(listed["path"], str(tmp_path))).collect()} == {"x/_b.webp", "x/a.JPG", "x/y/f.tif"}
+
+
+def test_review_files(spark, tmp_path):
+    (tmp_path / "old.json").write_text('{"a.jpg": 1}')
+    assert [r["value"] for r in files.first_map(spark, [str(tmp_path / "new.json"), str(tmp_path / "old.json")], "int").collect()] == [1]
+    (tmp_path / "new.json").write_text('{"a.jpg": 2}')
+    assert [r["value"] for r in files.first_map(spark, [str(tmp_path / "new.json"), str(tmp_path / "old.json")], "int").collect()] == [2]
+    (tmp_path / "review.json").write_text('{"a.jpg": {"numbers": ["1"], "model_numbers": ["2"], "reviewed": true}, "b.jpg": {"numbers": []}}')
+    assert sorted((r["file_name"], r["numbers"], r["reviewed"]) for r in results.reviews(spark, str(tmp_path / "review.json")).collect()) == [("a.jpg", ["1"], True), ("b.jpg", [], None)]
+    (tmp_path / "back.csv").write_text('\ufeffimage_name,bib_numbers\na.jpg,"1, 2"\nb.jpg,\nc.jpg," , ;"\n,\n')
+    assert sorted(r[0] for r in results.without_bibs(spark, str(tmp_path / "back.csv")).collect()) == ["b.jpg", "c.jpg"]
+    (tmp_path / "key.csv").write_text('\ufeffphoto,bibs\nZ\u030celj 0012.JPG,"1, 002,1"\nx.jpg,3\nY12.jpg,"7"\nn5.png,\n')
+    got = {r["photo"]: r["bibs"] for r in files.answer_key(spark, str(tmp_path / "key.csv")).collect()}
+    assert got == {12: ["7"], 5: []}
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('bib,name,club\n1,"Ana\nAnić",x\n2,Eva,"y ""z"""\n1,Iva,\n')
+    rows = results.read(spark, str(tmp_path / "r.csv"))
+    runners, _ = results.runners(rows)
+    assert {(r["bib"], r["full_name"]) for r in runners.collect()} == {("1", "Iva"), ("2", "Eva")}
+    races = spark.createDataFrame([(5, "marathon")], "race_id int, code string")
+    assert {r["race_id"] for r in results.with_race_ids(runners, races).collect()} == {5}

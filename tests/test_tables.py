@@ -85,3 +85,29 @@ def test_plugins_keep_errors_as_data(spark):
     crops = spark.createDataFrame([(bytearray(b"12"),), (bytearray(b"bad"),)], "c binary")
     got = plugins.recognise(crops, "c", plugins.build("broken")).select(F.size("reads").alias("n"), "error").collect()
     assert sorted((r["n"], r["error"]) for r in got if r["error"] is None) == [(1, None)] and [r["error"] for r in got if r["error"]] == ["ValueError: unreadable"]
+
+
+def test_upsert_keeps_one_row_a_key(spark):
+    old = spark.createDataFrame([(1, 5)], "k int, v int")
+    new = spark.createDataFrame([(1, 6, 1), (1, 7, 2), (2, 9, 2), (2, 8, 1)], "k int, v int, line int")
+    assert rows(merge.upsert(old, new, ["k"], order="line")) == [(1, 7), (2, 9)]
+    assert rows(merge.upsert(old, new.drop("line"), ["k"])) == [(1, 7), (2, 9)]
+
+
+def test_places_without_a_task_for_a_key(spark):
+    df = spark.createDataFrame([("hot", i * 3) for i in range(500)] + [("cold", 1), (None, 4), (None, 2)], "k string, o int").repartition(7)
+    got = {(r["k"], r["o"]): (r["place"], r["of"]) for r in windows.placed(df, "k", "o", slices=8).collect()}
+    assert got == {**{("hot", i * 3): (i + 1, 500) for i in range(500)}, ("cold", 1): (1, 1), (None, 2): (1, 2), (None, 4): (2, 2)}
+    assert sorted(r["half"] for r in windows.halves(df.filter("k IS NULL"), "k", "o").collect()) == [1, 2]
+
+
+def test_takedowns(spark):
+    from stridemark.operators import publishing as pub
+
+    photos = spark.createDataFrame([(1, 1, "a", "/media/p", "/media/t"), (2, 1, "b", None, "x"), (3, 2, "a", "/media/q", None)], "photo_id int, event_id int, file_name string, preview_path string, thumb_path string")
+    reads = spark.createDataFrame([(1, "7"), (2, "7"), (3, "7"), (2, "8")], "photo_id int, bib_text string")
+    kept, left, paths = pub.take_down_photo(photos, reads, 1, "a")
+    assert rows(kept, "photo_id") == [(2,), (3,)] and rows(left) == [(2, "7"), (2, "8"), (3, "7")] and rows(paths) == [("media/p",), ("media/t",)]
+    runners = spark.createDataFrame([(1, "7"), (1, "8"), (2, "7")], "event_id int, bib string")
+    left, reads = pub.take_down_runner(runners, photos, reads, spark.createDataFrame([(1, "#7")], "event_id int, bib string"))
+    assert rows(left) == [(1, "8"), (2, "7")] and rows(reads) == [(2, "8"), (3, "7")]
