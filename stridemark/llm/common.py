@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
             spark.conf.set(key, str(most))
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the machine: workers are kept for later tasks of any kind."""
+    pa.default_memory_pool().release_unused()
+    c = ctypes.CDLL(None)
+    if hasattr(c, "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop, written
+from .common import bounded_batches, drop, trim, written
 
 UND = "und"
 NEW = ("lang_pred", "score", "rejected")
@@ -209,6 +209,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                     floors[at] = m.floors[[n for _, _, n in found], best]
                 names[at] = [m.languages[m.owner[b]] for b in best]
             yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": (names == UND) | (scores < floors)})
+        trim()
 
     rows = docs.drop(*NEW).withColumn("__p", predict(F.col("text")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW], *[F.col(f"__p.{c}").alias(c) for c in NEW])

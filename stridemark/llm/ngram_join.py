@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets, drop, shared_dir, written
+from .common import bounded_batches, buckets, drop, shared_dir, trim, written
 from .components import components
 from .runs import Folder, Writer, merged, ranges_for, ranges_of, settled
 from .shingles import Words
@@ -161,6 +161,7 @@ def _candidates(sets: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         held = None
         for b in _and_none(batches):
             if b is None:
+                trim()
                 if held is None:
                     return
                 rid, df, s = held
@@ -365,6 +366,8 @@ def _compared(units: DataFrame, members: DataFrame, parts: int, every: bool, as_
                     held.append(b.slice(a, e - a))
         if held:
             yield result()
+        held = []
+        trim()
 
     return rows.mapInArrow(of, "a bigint, b bigint" if as_pairs else "rid bigint, root bigint, far bigint")
 

@@ -9,8 +9,10 @@ it than the combination needs, so that the plan's size depends on the capacity,
 Pieces then get ranks within their length, from counts by length and slice (a hash of the piece), and a rank finds its
 sequence and place in the plan by binary search.
 
-Defined cases. Null or empty text: the closing id alone, one piece. Null doc_id: kept. Repeated rows: packed each by
-itself. Empty table: no rows. Only doc_id and text are read.
+Defined cases. Null or empty text: the closing id alone, one piece. Very long texts: a batch's ids are in one task's
+memory. Null doc_id: kept. Repeated rows: packed each by itself. Ties: pieces of equal length are interchangeable; which
+of them goes where is by hash. Empty table: no rows. Only doc_id and text are read, so that other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets, written
+from .common import bounded_batches, buckets, trim, written
+from .shingles import split_words
 
 
 def _default_tokenizer() -> str:
@@ -72,45 +76,66 @@ class WordTokens:
         self.piece = regex.compile(PIECE).findall if known else None
         self.model, self.characters = self.tokenizer.model.tokenize, _byte_characters()
 
-    def _new(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "surrogatepass")
-        if not self.piece or "<|" in text or max(text) >= self.SIMPLE:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        ids: list[int] = []
-        for p in self.piece(text.lower()):
+    def _new(self, word: str) -> bytes:
+        if not self.piece or "<|" in word or not (word.isascii() or max(word) < self.SIMPLE):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low, ids = word.lower(), []
+        for p in (low,) if low.isalpha() else self.piece(low):  # letters alone are one piece
             ids += [t.id for t in self.model(p if p.isascii() and p.isprintable() else "".join([self.characters[b] for b in p.encode()]))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where each text's begin, with the end.
+
+        Words are told apart by Arrow, once a batch, and their ids put in place by NumPy.
+        """
+        split = split_words(texts)
+        flat = split.flatten().dictionary_encode()
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        for w in set().union(*split).difference(known) if split else ():
-            known[w] = older[w] if w in older else self._new(w)
-        return [b"".join([known[w] for w in words]) for words in split]
+        known, older, found = self.known, self.older, []
+        for w in flat.dictionary.to_pylist():
+            ids = known.get(w)
+            if ids is None:
+                known[w] = ids = (older[w] if w in older else self._new(w)) if w else b""
+            found.append(ids)
+        every = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(length) - length
+        word = flat.indices.to_numpy(zero_copy_only=False)
+        n = length[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(ends[-1]) + np.repeat(start[word] - ends[:-1], n)
+        offsets = split.offsets.to_numpy()
+        return every[at], ends[offsets - offsets[0]]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, closing_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of each piece."""
-    bounded_batches(docs.sparkSession, rows=500)
+    bounded_batches(docs.sparkSession, rows=2000)
     tokenizer = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path or _default_tokenizer()).read_text("utf-8"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokens(tokenizer.value)
-        end, step = np.array([closing_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            rows = []
-            for n, ids in enumerate(words.ids(list(batch["text"]))):
-                ids += end
-                rows += [(n, a // step, a // 4, len(p) // 4, zlib.crc32(p), p) for a in range(0, len(ids), step) for p in [ids[a : a + step]]]
-            at, piece, start, length, crc, ids = zip(*rows, strict=True) if rows else [()] * 6
-            out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[list(at)].reset_index(drop=True), "piece": np.array(piece, np.int32), "start": np.array(start, np.int64), "length": np.array(length, np.int64), "ids_crc32": np.array(crc, np.int64)})
-            yield out.assign(ids=[np.frombuffer(p, "<u4").astype(np.int32) for p in ids]) if with_ids else out
-
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end = WordTokens(tokenizer.value), np.array([closing_id], "<u4")
+        for b in batches:
+            ids, starts = words.ids(b.column("text"))
+            total = np.diff(starts) + 1  # with the closing id
+            n = -(-total // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(capacity, total[doc] - start)
+            parts = [np.concatenate((ids[a:z], end)) if z < a + m else ids[a:z] for a, m, z in zip((starts[:-1][doc] + start).tolist(), length.tolist(), np.minimum(starts[:-1][doc] + start + length, starts[1:][doc]).tolist(), strict=True)]
+            columns = [b.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64())]
+            if with_ids:
+                columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
+        del words
+        trim()
+
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def _fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -20,9 +20,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import trim
+
 MAGIC = b"SMRUN\x00\x00\x02"
 FRAME = 1 << 16
 FAN = 256
+#: Rows of a merged block, about.
+BLOCK = 400_000
 #: Bytes of text whose hashes one range holds.
 RANGE_BYTES = 16 << 20
 KINDS = ("<u8", "<i8", "<u4")
@@ -99,6 +103,11 @@ def merged(runs: Iterable[Iterator[tuple[tuple[np.ndarray, ...], bool]]]) -> Ite
     while heads:
         open_ends = [(c[0][-1], c[1][-1]) for c, last, _ in heads if not last]
         cut = min(open_ends) if open_ends else None
+        total = sum(len(c[0]) for c, _, _ in heads)
+        if total > BLOCK:  # about so many rows: each head's share of them ends somewhere, half of them by the middle one
+            shares = sorted((c[0][k - 1], c[1][k - 1]) for c, _, _ in heads for k in [max(1, len(c[0]) * BLOCK // total)])
+            middle = shares[len(shares) // 2]
+            cut = middle if cut is None else min(cut, middle)
         parts, still = [], []
         for columns, last, rest in heads:
             k = len(columns[0]) if cut is None else _up_to(columns, cut)
@@ -180,15 +189,16 @@ class Folder:
 class Writer:
     """Sorts a task's rows in chunks by their first two columns and writes each chunk as a run of the folder.
 
+    With ``counted`` equal rows that come together, after sorting, become one with their number as one more column.
     Jobs that write to one folder need prefixes of their own, and each task (of a range) one writer.
     """
 
-    def __init__(self, folder: str, ranges: int, prefix: str = "p", chunk: int = 500_000) -> None:
+    def __init__(self, folder: str, ranges: int, prefix: str = "p", chunk: int = 500_000, counted: bool = False) -> None:
         context = TaskContext.get()
         self.folder, self.ranges, self.chunk = Folder(folder), ranges, chunk
         self.part, self.attempt, self.prefix = context.partitionId(), context.taskAttemptId(), prefix
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.size = self.number = 0
+        self.size, self.number, self.counted = 0, 0, counted
 
     def add(self, *columns: np.ndarray) -> None:
         """Rows that agree in the first two columns must come in one call, in the order they are to have."""
@@ -203,9 +213,16 @@ class Writer:
             columns = tuple(map(np.concatenate, zip(*self.held, strict=True)))
             order = np.lexsort((columns[1], columns[0]))
             columns = tuple(c[order] for c in columns)
+            if self.counted:
+                first = np.ones(len(order), bool)
+                first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+                at = np.flatnonzero(first)
+                columns = (*(c[at] for c in columns), np.diff(np.append(at, len(order))).astype(np.uint32))
             cuts = np.searchsorted(bucket_of(columns[0], self.ranges), np.arange(self.ranges + 1))
             self.folder.write(f"{self.prefix}{self.part:06d}-{self.number:05d}.run", (pack(*[c[a:b] for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), self.attempt)
             self.held, self.size, self.number = [], 0, self.number + 1
+            del columns, order
+            trim()
 
 
 def ranges_of(spark: SparkSession, ranges: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Scanner
-from .common import bounded_batches
+from .common import bounded_batches, trim
 
 #: Fixed values of the contract, then rules of our own: name, pattern, whether letters match in either case.
 BASE = ("assign", "access", "hex")
@@ -73,6 +73,7 @@ def scan(docs: DataFrame, text: str = "text", into: str = "spans", rules=RULES,
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(scanner, t, least, value_least)] if t else [] for t in texts], dtype=object)
+        trim()
 
     return docs.withColumn(into, spans(F.col(text)))
 

@@ -18,12 +18,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> pa.Array:
+    """Of each text the list of its parts between white space, of which the first and last may be empty; null: none.
+
+    An array that is a part of another is copied first: Arrow's lower case takes the wrong bytes of such a one.
+    """
+    if texts.offset:
+        texts = pa.array(texts.to_pylist(), texts.type)
+    texts = texts.cast(pa.large_string()).fill_null("")
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a batch: the 64-bit hash of each, and where each document's words begin."""
 
     def __init__(self, texts: pa.Array, lower: bool = False, seed: int = 0) -> None:
-        texts = texts.cast(pa.large_string()).fill_null("")
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        split = split_words(texts, lower)
         flat = split.flatten().dictionary_encode()
         ids = flat.indices.to_numpy(zero_copy_only=False)
         names = flat.dictionary.to_pylist()

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, buckets, drop, shared_dir, written
+from .common import WORD, bounded_batches, buckets, drop, shared_dir, trim, written
 from .runs import Folder, Writer, merged, pack, ranges_for, ranges_of, settled
 from .shingles import Words
 
@@ -230,6 +230,7 @@ class WindowIndex:
                     parts = [(int(s), int(p), int(m) + k - 1, digest_words(words[a : a + m + k - 1])) for a, m, s, p in zip(at, n, src, src_at, strict=True)]
                     out.append((row, int(gone.sum()), digest_words([w for w, g in zip(words, gone, strict=True) if not g]), [{"source": s, "at": p, "length": m, "digest": d} for s, p, m, d in parts]))
                 yield pd.DataFrame(out, columns=["row", "removed", "rest_sha256", "parts"])
+            trim()
 
         removed = written(joined.mapInPandas(of, "row bigint, removed bigint, rest_sha256 string, parts array<struct<source:bigint,at:int,length:int,digest:string>>"), "removed")
         asked = removed.select(F.explode("parts").alias("p")).select("p.*").distinct()

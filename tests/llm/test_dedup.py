@@ -83,6 +83,7 @@ def test_doc_ids_beyond_the_index_are_refused(spark):
 
 def test_runs(tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "FRAME", 7)
+    monkeypatch.setattr(runs, "BLOCK", 20)
     rnd = np.random.default_rng(1)
     folder, rows = Folder(str(tmp_path)), []
     for part in range(5):
