@@ -12,7 +12,7 @@ The count tables and the exploded n-grams they are joined to are partitioned by
    makes up 1 / (2 * limit). Both words of such a pair are hot.
 2. pairs: each place of a pair, in runs by the first word's hash, so that c(v .) is in the same range; pairs that begin
    with a hot word are spread by the pair's hash instead, their c(v .) being known from 1. Places of hot pairs go by
-   their document, as the pair's exact count is known to all after this pass. Equal places count as one row.
+   their document, as the pair's exact count is known to all after this pass.
 3. what backs off goes in runs by the second word's hash, where it meets the counts of 1 again.
 4. sums: what a range gives to a document goes in runs by document, and is added up by range of documents, with the hot
    pairs. One row a document comes out.
@@ -182,15 +182,15 @@ def _frequent(spark: SparkSession, folder: str, ranges: int, least: float) -> tu
 def _write_pairs(rows: DataFrame, folder: str, ranges: int, hot, pairs: np.ndarray, total: int) -> DataFrame:
     """The number of places of each hot pair in a task, and its first word's place; all places go into runs.
 
-    pairs: (first word or, if that is hot, the pair's key; second word; row; place of a hot first word + 1; how often).
-    back: (first word of a document, row, how often). sums: what documents' hot first words give. hot: (row's key, hot pair).
+    pairs: (first word or, if that is hot, the pair's key; second word; row; place of a hot first word + 1).
+    back: (first word of a document, row). sums: what documents' hot first words give. hot: (row's key, hot pair).
     """
     known = rows.sparkSession.sparkContext.broadcast((*hot, pairs))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_w, hot_count, _, hot_pairs = known.value
-        out, back, places = (Writer(f"{folder}/{x}", ranges, counted=True) for x in ("pairs", "back", "hot"))
-        sums = Writer(f"{folder}/sums", ranges)
+        out, back, places = (Writer(f"{folder}/{x}", ranges) for x in ("pairs", "back", "hot"))
+        sums = _Sums(f"{folder}/sums", ranges)
         counts, first = np.zeros(len(hot_pairs), np.int64), np.zeros(len(hot_pairs), np.int64)
         for b in batches:
             words = Words(b.column("text"))
@@ -199,7 +199,7 @@ def _write_pairs(rows: DataFrame, folder: str, ranges: int, hot, pairs: np.ndarr
             at, starts = _pairs(words)
             is_hot, where = _find(hot_w, h[starts])
             back.add(h[starts][~is_hot], row[starts][~is_hot])
-            _add(sums, row[starts][is_hot], _rounded(np.log(hot_count[where[is_hot]] / total)), np.zeros(is_hot.sum(), np.int64))
+            sums.add(row[starts][is_hot], _rounded(np.log(hot_count[where[is_hot]] / total)), np.zeros(is_hot.sum(), np.int64))
             v, w, row = h[at - 1], h[at], row[at]
             key = _pair_key(v, w)
             is_hot, where = _find(hot_pairs, key)
@@ -217,11 +217,39 @@ def _write_pairs(rows: DataFrame, folder: str, ranges: int, hot, pairs: np.ndarr
     return rows.mapInArrow(of, "pair bigint, n bigint, first bigint")
 
 
-def _add(sums: Writer, row: np.ndarray, part: np.ndarray, backs: np.ndarray) -> None:
-    """What a document gets, under the row's key."""
-    if len(row):
-        rows, part, backs = _sums(row, part, backs)
-        sums.add(mixed(rows.view(np.uint64)), part, backs)
+class _Sums:
+    """What documents get in a task, added up by document, in runs by the row's key.
+
+    So many rows are held, and added up when there are more; only what is left after that is written early.
+    """
+
+    def __init__(self, folder: str, ranges: int, prefix: str = "p", most: int = 1_000_000) -> None:
+        self.out, self.most, self.size = Writer(folder, ranges, prefix), most, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, row: np.ndarray, part: np.ndarray, backs: np.ndarray) -> None:
+        if len(row):
+            self.held.append(_sums(row, part, backs))
+            self.size += len(self.held[-1][0])
+            if self.size > self.most:
+                self._add_up()
+                if self.size > self.most // 2:
+                    self._write()
+
+    def _add_up(self) -> None:
+        self.held = [_sums(*map(np.concatenate, zip(*self.held, strict=True)))]
+        self.size = len(self.held[0][0])
+
+    def _write(self) -> None:
+        row, part, backs = self.held[0]
+        self.out.add(mixed(row.view(np.uint64)), part, backs)
+        self.held, self.size = [], 0
+
+    def flush(self) -> None:
+        if self.held:
+            self._add_up()
+            self._write()
+        self.out.flush()
 
 
 def _score_pairs(spark: SparkSession, folder: str, ranges: int, hot, total: int, least: int) -> None:
@@ -233,16 +261,15 @@ def _score_pairs(spark: SparkSession, folder: str, ranges: int, hot, total: int,
         files = Folder(f"{folder}/pairs")
         for b in batches:
             for bucket in b.column("id").to_pylist():
-                sums, back = Writer(f"{folder}/sums", ranges, "q"), Writer(f"{folder}/back", ranges, "q")
+                sums, back = _Sums(f"{folder}/sums", ranges, "q"), Writer(f"{folder}/back", ranges, "q")
                 held = None
 
-                def scored(h: np.ndarray, w: np.ndarray, row: np.ndarray, place: np.ndarray, times: np.ndarray, sums=sums, back=back) -> None:
+                def scored(h: np.ndarray, w: np.ndarray, row: np.ndarray, place: np.ndarray, sums=sums, back=back) -> None:
                     new_h = np.concatenate(([True], h[1:] != h[:-1]))
                     new = new_h | np.concatenate(([True], w[1:] != w[:-1]))
                     first, first_h = np.flatnonzero(new), np.flatnonzero(new_h)
-                    times = times.astype(np.int64)
-                    pair_count = np.add.reduceat(times, first)[np.cumsum(new) - 1]
-                    context = np.add.reduceat(times, first_h)[np.cumsum(new_h) - 1]
+                    pair_count = np.diff(np.append(first, len(h)))[np.cumsum(new) - 1]
+                    context = np.diff(np.append(first_h, len(h)))[np.cumsum(new_h) - 1]
                     if len(hot_w):
                         context = np.where(place > 0, hot_followed[np.maximum(place.astype(np.int64), 1) - 1], context)
                     kept = pair_count >= least
@@ -251,8 +278,8 @@ def _score_pairs(spark: SparkSession, folder: str, ranges: int, hot, total: int,
                     now = ~kept & is_hot
                     value[now] += np.log(hot_count[where[now]] / total)
                     later = ~kept & ~is_hot
-                    back.add(w[later], row[later], times[later].astype(np.uint32))
-                    _add(sums, row, _rounded(value) * times, np.where(kept, 0, times))
+                    back.add(w[later], row[later])
+                    sums.add(row, _rounded(value), (~kept).astype(np.int64))
 
                 for block in merged([files.frames(n, bucket) for n in names]):
                     block = block if held is None else tuple(map(np.concatenate, zip(held, block, strict=True)))
@@ -277,12 +304,12 @@ def _score_back(spark: SparkSession, folder: str, ranges: int, total: int) -> No
         files = Folder(f"{folder}/back")
         for b in batches:
             for bucket in b.column("id").to_pylist():
-                sums = Writer(f"{folder}/sums", ranges, "r")
+                sums = _Sums(f"{folder}/sums", ranges, "r")
                 blocks = list(_totals(f"{folder}/words", words, bucket))  # different words of a range
                 known, count = (np.concatenate([x[i] for x in blocks]) for i in (0, 1)) if blocks else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                for w, row, times in merged([files.frames(n, bucket) for n in back]):
+                for w, row in merged([files.frames(n, bucket) for n in back]):
                     _, where = _find(known, w)
-                    _add(sums, row, _rounded(np.log(count[where] / total)) * times, np.zeros(len(row), np.int64))
+                    sums.add(row, _rounded(np.log(count[where] / total)), np.zeros(len(row), np.int64))
                 sums.flush()
             yield b
 
@@ -298,7 +325,7 @@ def _add_up(spark: SparkSession, folder: str, ranges: int, values: np.ndarray) -
         of_sums, of_hot = Folder(f"{folder}/sums"), Folder(f"{folder}/hot")
         for bucket in (k for b in batches for k in b.column("id").to_pylist()):
             found = [_sums(*block) for block in merged([of_sums.frames(n, bucket) for n in sums])]
-            found += [_sums(key, known.value[pair] * times, np.zeros(len(key), np.int64)) for key, pair, times in merged([of_hot.frames(n, bucket) for n in hot])]
+            found += [_sums(key, known.value[pair], np.zeros(len(key), np.int64)) for key, pair in merged([of_hot.frames(n, bucket) for n in hot])]
             if found:  # at most a row a document of the range and block
                 key, part, backs = _sums(*map(np.concatenate, zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), pa.array(backs)], ["key", "part", "backs"])

@@ -406,3 +406,35 @@ def test_pipeline(spark, tmp_path):
     assert abs(sum(n * size[i] for i, n in taken.items()) - sum(size.values())) < 0.1 * sum(size.values())
     packed = Counter(r["doc_id"] for r in now.filter("piece = 0").collect())
     assert packed == taken
+
+
+def test_stages_of_odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns named like those that stages make."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    extra = ", size string, rejected string, spans string, payload string, taken string, score string, held_out string"
+    more = ("s", "r", "p", "y", "t", "c", "h")
+    english, long = "the house is old and the garden behind it is green", "the house is old and " * 8000 + "api_key=abcdefgh12345678"
+    rows = [(i, t, g, "a", len(t), *more) for i, (t, g) in enumerate([(f"the house number {k} is old", "en") if k % 2 else (f"la casa número {k} es vieja", "es") for k in range(40)])]
+    odd = [(100, english, "en", "b", 5, *more), (100, english, "en", "b", 5, *more), (101, english, None, None, None, *([None] * 7)), (None, english, None, None, None, *more), (102, None, "en", "a", None, *more), (103, "", "en", "a", 0, *more), (104, "12 !", None, "b", 4, *more), (105, long, "en", "b", 1, *more)]
+    docs = spark.createDataFrame(rows + odd, DOCS + extra)
+    count = lambda df: Counter(r["doc_id"] for r in df.collect())
+    kept = stages["language_id"](spark, docs, "")
+    assert kept.dtypes == docs.dtypes
+    got = count(kept)
+    assert got[100] == 2 and got[101] == got[None] == got[105] == 1 and not {102, 103, 104} & set(got) and kept.filter("doc_id = 100").first()["rejected"] == "r"
+    groups = stages["ngram_jaccard"](spark, docs, "")
+    got = count(groups)
+    assert groups.dtypes == docs.dtypes and got[100] == 1 and got[101] == 0 and got[None] == got[102] == got[103] == got[104] == got[105] == 1
+    clean = stages["secret_scan"](spark, docs, "")
+    texts = {r["doc_id"]: r for r in clean.collect()}
+    assert clean.dtypes == docs.dtypes and clean.count() == docs.count() and texts[105]["text"].endswith("[secret]") and texts[105]["n_chars"] == len(texts[105]["text"]) and texts[102]["text"] is None and texts[102]["n_chars"] is None and texts[100]["spans"] == "p"
+    mix = stages["mix_sources"](spark, docs, "")
+    assert mix.dtypes == docs.dtypes and not {102, 103} & set(count(mix)) and mix.filter("doc_id = 105").first()["size"] == "s"
+    packed = stages["best_fit_packing"](spark, docs, "")
+    pieces = packed.collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == count(docs) and all(r["length"] <= 2048 for r in pieces)
+    assert {r["length"] for r in pieces if r["doc_id"] in (102, 103)} == {1}
+    for name, stage in stages.items():
+        assert stage(spark, docs.filter(F.lit(False)), "").count() == 0, name
