@@ -10,7 +10,7 @@ from pathlib import Path
 
 ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(ROOT))
-QUERIES = ["gallery_full", "gallery_top_runners", "event_stats", "export_payload", "fuzzy_lev1_pairs", "review_gate", "burst_support", "evidence_merge", "eval_by_group", "threshold_sweep", "session_quota", "upsert_merge", "exact_dupes_first_kept"]
+QUERIES = ["gallery_full", "gallery_top_runners", "event_stats", "export_payload", "fuzzy_lev1_pairs", "review_gate", "burst_support", "evidence_merge", "eval_by_group", "threshold_sweep", "session_quota", "upsert_merge", "exact_dupes_first_kept", "find_runner_answers", "burst_resolution"]
 
 
 def main() -> None:

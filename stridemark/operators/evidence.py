@@ -89,47 +89,69 @@ def fold_tiles(rows: DataFrame, photo: str) -> DataFrame:
 def suggestions(hits: DataFrame, second: DataFrame, start: DataFrame | None = None, recheck: DataFrame | None = None, tiles: DataFrame | None = None, prefill_at: float = 0.5) -> DataFrame:
     """numbers, needs_human and persons of each photo, from all that was read of it.
 
-    hits: photo, pos, text, conf, box. second: photo, numbers, clarity, error. recheck: photo, key (of the box),
-    numbers, clarity, local (reads). tiles: photo, numbers, clarity. start: number; without one three or four digits do.
-    Photos without hits appear if the second reader or the tiles saw something; ``numbers`` lists accepted hits by
-    falling confidence, then what only the second reader saw, then what only tiles saw, sorted.
+    hits: photo, pos, text, conf, box. second: photo, numbers, clarity, error; one row a photo. recheck: photo, key (of
+    the box), numbers, clarity, local (reads). tiles: photo, numbers, clarity. start: number; without one three or four
+    digits do. Photos without hits appear if the second reader or the tiles saw something; ``numbers`` lists accepted
+    hits by falling confidence, then what only the second reader saw, then what only tiles saw, sorted.
+
+    All that is known of a photo, which is little, is gathered once and then judged in arrays.
     """
-    photo = "photo"
-    on_list = (lambda df, c: df.join(start.select(F.col("number").alias(c), F.lit(True).alias("real")), c, "left").withColumn("real", F.coalesce("real", F.lit(False)))) if start is not None else (lambda df, c: df.withColumn("real", F.length(c).between(3, 4)))
-    told = second.withColumn("ok", F.col("error").isNull()).select(photo, "ok", "numbers", "clarity")
-    seen = told.filter("ok").select(photo, F.posexplode("numbers").alias("at", "number"), "clarity").withColumn("clear", F.coalesce(F.try_element_at("clarity", "number") == "clear", F.lit(False)))
-    seen = on_list(seen, "number").filter("real").groupBy(photo, "number").agg(F.min("at").alias("at"), F.max("clear").alias("clear"))
-    rows = on_list(best_hits(hits, photo).filter("conf >= 0.1"), "number").withColumn("key", box_key(F.col("box")))
-    rows = rows.join(told.select(photo, "ok"), photo, "left").join(seen.select(photo, "number", F.lit(True).alias("told")), [photo, "number"], "left")
-    ok, told_it, real, conf = F.coalesce("ok", F.lit(False)), F.coalesce("told", F.lit(False)), F.col("real"), F.col("conf")
-    take = real & F.when(ok, told_it | (conf >= max(prefill_at, 0.9))).otherwise(conf >= prefill_at)
-    doubt = real & ~take & (conf >= F.when(ok, 0.6).otherwise(0.3))
-    verdict = F.when(ok & real & told_it, "agree").when(take, "confident").otherwise("model_only")
-    rows = rows.withColumn("take", take).withColumn("doubt", doubt).withColumn("verdict", verdict).withColumn("swap", F.lit(None).cast("string"))
+    photo, no = "photo", F.lit(False)
+    on_list = (lambda df, c: df.join(start.select(F.col("number").alias(c)).distinct().withColumn("real", F.lit(True)), c, "left").withColumn("real", F.coalesce("real", no))) if start is not None else (lambda df, c: df.withColumn("real", F.coalesce(F.length(c).between(3, 4), no)))
+    is_clear = lambda n: F.coalesce(F.try_element_at("clarity", n) == "clear", no)
+    read = on_list(hits.withColumn("number", bare_number(F.col("text"))).filter("number <> ''"), "number")
+    told = second.withColumn("ok", F.col("error").isNull())
+    seen = on_list(told.filter("ok").select(photo, F.posexplode(F.array_distinct("numbers")).alias("at", "number"), "clarity"), "number").filter("real")
+    parts = [
+        read.select(photo, F.struct((-F.col("conf")).alias("c"), F.col("pos").cast("bigint").alias("at"), "number", "conf", box_key(F.col("box")).alias("key"), "real").alias("h")),
+        told.select(photo, "ok"),
+        seen.select(photo, F.struct(F.col("at").cast("bigint").alias("at"), "number", is_clear(F.col("number")).alias("clear")).alias("s")),
+    ]
     if recheck is not None:
-        look = recheck.select(photo, "key", F.explode_outer("numbers").alias("n"), "clarity", "local")
-        look = on_list(look, "n").groupBy(photo, "key").agg(F.array_distinct(F.collect_list(F.when(F.col("real"), F.struct(F.col("n"), F.coalesce(F.try_element_at("clarity", "n") == "clear", F.lit(False)).alias("clear"))))).alias("looks"), F.first("local").alias("local"))
-        rows = rows.join(look, [photo, "key"], "left")
-        clear = F.transform(F.filter("looks", lambda x: x["clear"]), lambda x: x["n"])
-        part = F.transform(F.filter("looks", lambda x: ~x["clear"]), lambda x: x["n"])
-        near, sure = F.try_element_at(F.col("local"), F.lit(1))["text"], F.coalesce(F.try_element_at(F.col("local"), F.lit(1))["conf"], F.lit(0.0))
-        asked = F.col("doubt") & F.col("looks").isNotNull()
-        agrees = asked & (F.array_contains(clear, F.col("number")) | (F.array_contains(part, F.col("number")) & F.coalesce(near == F.col("number"), F.lit(False)) & (sure >= 0.8)))
-        other = asked & ~agrees & (F.size(clear) == 1) & F.coalesce(near == F.try_element_at(clear, F.lit(1)), F.lit(False)) & (sure >= 0.5)
-        rows = rows.withColumn("agrees", F.coalesce(agrees, F.lit(False))).withColumn("other", F.coalesce(other, F.lit(False))).withColumn("swap", F.when(F.col("other"), F.try_element_at(clear, F.lit(1))))
-        rows = rows.withColumn("take", F.col("take") | F.col("agrees")).withColumn("doubt", F.col("doubt") & ~F.col("agrees") & ~F.col("other")).withColumn("verdict", F.when(F.col("agrees"), "agree").when(F.col("other"), "replaced").otherwise(F.col("verdict")))
-    own = rows.select(photo, F.lit(0).alias("part"), (-conf).alias("c"), F.col("pos").cast("bigint").alias("at"), "number", F.coalesce("swap", F.when(F.col("take"), F.col("number"))).alias("gives"), F.col("doubt").alias("needs_human"), (~F.col("take")).alias("unsure"), "verdict")
-    only = seen.select(photo, "number", F.lit(1).alias("part"), F.col("at").cast("bigint").alias("at"), "clear")
+        look = on_list(recheck.select(photo, "key", F.explode_outer("numbers").alias("n"), "clarity", "local"), "n")
+        first = F.try_element_at(F.col("local"), F.lit(1))
+        parts.append(look.select(photo, F.struct("key", F.when(F.col("real"), F.col("n")).alias("n"), is_clear(F.col("n")).alias("clear"), first["text"].alias("near"), F.coalesce(first["conf"], F.lit(0.0)).alias("sure")).alias("k")))
     if tiles is not None:
-        wide = tiles.select(photo, F.explode("numbers").alias("number"), "clarity").filter(F.try_element_at("clarity", "number") == "clear").select(photo, "number").distinct()
-        wide = on_list(wide, "number").filter("real").select(photo, "number")
-        only = only.join(wide.withColumn("wide", F.lit(True)), [photo, "number"], "left").withColumn("clear", F.col("clear") | F.coalesce("wide", F.lit(False))).drop("wide").unionByName(wide.join(seen, [photo, "number"], "left_anti").select(photo, "number", F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("at"), F.lit(True).alias("clear")))
+        wide = tiles.select(photo, F.explode("numbers").alias("number"), "clarity")
+        parts.append(on_list(wide.filter(is_clear(F.col("number"))), "number").filter("real").select(photo, F.col("number").alias("w")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    gathered = rows.groupBy(photo).agg(F.array_sort(F.collect_list("h")).alias("h"), F.coalesce(F.bool_or("ok"), no).alias("ok"), F.array_sort(F.collect_list("s")).alias("s"), *([F.collect_list("k").alias("k")] if recheck is not None else []), *([F.array_sort(F.collect_set("w")).alias("w")] if tiles is not None else []))
+    # Of each number the surest hit, the first of equal ones; from a confidence on it is a person.
+    order = F.transform("h", lambda x: x["number"])
+    gathered = gathered.withColumn("h", F.filter("h", lambda x, i: F.array_position(order, x["number"]) == i + 1))
+    ok = F.col("ok")
+    with_told = F.transform(F.filter("h", lambda x: x["conf"] >= 0.1), lambda x: x.withField("told", ok & x["real"] & F.exists("s", lambda y: y["number"] == x["number"])))
+    with_take = F.transform(with_told, lambda x: x.withField("take", x["real"] & F.when(ok, x["told"] | (x["conf"] >= max(prefill_at, 0.9))).otherwise(x["conf"] >= prefill_at)))
+    with_doubt = F.transform(with_take, lambda x: x.withField("doubt", x["real"] & ~x["take"] & (x["conf"] >= F.when(ok, 0.6).otherwise(0.3))))
+    if recheck is not None:
+        looks = lambda x, clear: F.array_distinct(F.transform(F.filter("k", lambda y: (y["key"] == x["key"]) & y["n"].isNotNull() & (y["clear"] == clear)), lambda y: y["n"]))
+        with_doubt = F.transform(with_doubt, lambda x: x.withField("clear", looks(x, True)).withField("part", looks(x, False)).withField("look", F.try_element_at(F.filter("k", lambda y: y["key"] == x["key"]), F.lit(1))))
+        near = lambda x, n: F.coalesce(x["look"]["near"] == n, no)
+        agrees = lambda x: x["doubt"] & x["look"].isNotNull() & (F.array_contains(x["clear"], x["number"]) | (F.array_contains(x["part"], x["number"]) & near(x, x["number"]) & (x["look"]["sure"] >= 0.8)))
+        other = lambda x: x["doubt"] & x["look"].isNotNull() & ~x["agrees"] & (F.size(x["clear"]) == 1) & near(x, F.try_element_at(x["clear"], F.lit(1))) & (x["look"]["sure"] >= 0.5)
+        with_doubt = F.transform(with_doubt, lambda x: x.withField("agrees", F.coalesce(agrees(x), no)))
+        with_doubt = F.transform(with_doubt, lambda x: x.withField("swap", F.when(F.coalesce(other(x), no), F.try_element_at(x["clear"], F.lit(1)))))
+    else:
+        with_doubt = F.transform(with_doubt, lambda x: x.withField("agrees", no).withField("swap", F.lit(None).cast("string")))
+    gathered = gathered.withColumn("h_", with_doubt)
+
+    def person(x: Column) -> Column:
+        take = x["take"] | x["agrees"]
+        verdict = F.when(x["agrees"], "agree").when(x["swap"].isNotNull(), "replaced").when(x["told"], "agree").when(x["take"], "confident").otherwise("model_only")
+        return F.struct(F.lit(0).alias("part"), x["c"].alias("c"), x["at"].alias("at"), x["number"].alias("number"), F.coalesce(x["swap"], F.when(take, x["number"])).alias("gives"), (x["doubt"] & ~x["agrees"] & x["swap"].isNull()).alias("needs_human"), (~take).alias("unsure"), verdict.alias("verdict"))
+
     # Anything the hits have, at whatever confidence, or were replaced by, is no longer only the second reader's.
-    have = best_hits(hits, photo).select(photo, "number").unionByName(own.filter("verdict = 'replaced'").select(photo, F.col("gives").alias("number"))).distinct()
-    only = only.join(have, [photo, "number"], "left_anti").select(photo, "part", F.lit(0.0).alias("c"), "at", "number", F.when(F.col("clear"), F.col("number")).alias("gives"), F.lit(False).alias("needs_human"), (~F.col("clear")).alias("unsure"), F.lit("whole_only").alias("verdict"))
-    person = F.struct("part", "c", "at", "number", "gives", "needs_human", "unsure", "verdict")
-    grouped = own.unionByName(only).groupBy(photo).agg(F.array_sort(F.collect_list(person)).alias("p"))
-    return grouped.select(photo, F.array_distinct(F.filter(F.transform("p", lambda x: x["gives"]), lambda x: x.isNotNull())).alias("numbers"), F.size(F.filter("p", lambda x: x["needs_human"])).alias("needs_human"), F.transform("p", lambda x: F.struct(x["number"].alias("number"), x["verdict"].alias("verdict"), x["unsure"].alias("unsure"), x["needs_human"].alias("needs_human"))).alias("persons"))
+    have = F.concat(order, F.filter(F.transform("h_", lambda x: x["swap"]), lambda n: n.isNotNull()))
+    extra = F.transform("s", lambda y: F.struct(F.lit(1).alias("part"), y["at"].alias("at"), y["number"].alias("number"), ((y["clear"] | F.array_contains("w", y["number"])) if tiles is not None else y["clear"]).alias("clear")))
+    if tiles is not None:
+        more = F.filter("w", lambda n: ~F.exists("s", lambda y: y["number"] == n))
+        extra = F.concat(extra, F.transform(more, lambda n: F.struct(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("at"), n.alias("number"), F.lit(True).alias("clear"))))
+    gathered = gathered.withColumn("only", F.filter(extra, lambda y: ~F.array_contains(have, y["number"])))
+    only = F.transform("only", lambda y: F.struct(y["part"].alias("part"), F.lit(0.0).alias("c"), y["at"].alias("at"), y["number"].alias("number"), F.when(y["clear"], y["number"]).alias("gives"), no.alias("needs_human"), (~y["clear"]).alias("unsure"), F.lit("whole_only").alias("verdict")))
+    judged = gathered.select(photo, F.array_sort(F.concat(F.transform("h_", person), only)).alias("p")).filter("size(p) > 0")
+    return judged.select(photo, F.array_distinct(F.filter(F.transform("p", lambda x: x["gives"]), lambda x: x.isNotNull())).alias("numbers"), F.size(F.filter("p", lambda x: x["needs_human"])).alias("needs_human"), F.transform("p", lambda x: F.struct(x["number"].alias("number"), x["verdict"].alias("verdict"), x["unsure"].alias("unsure"), x["needs_human"].alias("needs_human"))).alias("persons"))
 
 
 def doubts(suggested: DataFrame, photo: str = "photo") -> DataFrame:

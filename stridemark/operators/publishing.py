@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from stridemark.functions.times import clock_label
 
-BUCKET = "race-previews"
-
 
 def public_events(events: DataFrame) -> DataFrame:
     """Events that anybody may read. Runners, photos and reads have no public view: they would give all galleries."""
@@ -47,8 +45,8 @@ def upcoming(stats: DataFrame, now: Column) -> DataFrame:
 
 
 def preview_url(path: Column, store: str | None) -> Column:
-    """Where a preview is: paths that are addresses or begin with a slash stay, others are in the store, if there is one."""
-    inside = F.lit(None).cast("string") if store is None else F.concat(F.lit(f"{store.rstrip('/')}/storage/v1/object/public/{BUCKET}/"), path)
+    """Where a preview is: paths that are addresses or begin with a slash stay, others are below the store's address."""
+    inside = F.lit(None).cast("string") if store is None else F.concat(F.lit(f"{store.rstrip('/')}/"), path)
     return F.when(F.nullif(path, F.lit("")).isNull(), F.lit(None)).when(path.rlike("^(https?:|/)"), path).otherwise(inside)
 
 

@@ -47,16 +47,76 @@ def verdicts(spark, d):
     return reads.join(second, "photo", "left").select("photo", ev.judge(F.col("reads"), F.col("second")).alias("v")).select("photo", "v.kind", "v.needs_human")
 
 
+#: persons as (part, c, pl, number, gives, needs, unsure, verdict) to one row a photo.
+PERSONS = """
+SELECT photo, coalesce(string_agg(gives, ',' ORDER BY part, c, pl, number) FILTER (gives IS NOT NULL AND nth = 1), '') AS numbers, count(*) FILTER (needs)::BIGINT AS needs_human,
+  string_agg(concat_ws(':', number, verdict, CASE WHEN unsure THEN 'unsure' END, CASE WHEN needs THEN 'human' END), '|' ORDER BY part, c, pl, number) AS persons
+FROM (SELECT *, row_number() OVER (PARTITION BY photo, gives ORDER BY part, c, pl, number) AS nth FROM persons) GROUP BY photo
+"""
+
+
+def _persons(rows):
+    told = F.transform("persons", lambda x: F.concat_ws(":", x["number"], x["verdict"], F.when(x["unsure"], "unsure"), F.when(x["needs_human"], "human")))
+    return rows.select("photo", F.array_join("numbers", ",").alias("numbers"), F.col("needs_human").cast("bigint").alias("needs_human"), F.array_join(told, "|").alias("persons"))
+
+
 @query(SECOND + """
 , h AS (SELECT h.*, length(p::VARCHAR) BETWEEN 3 AND 4 AS r, a.photo IS NOT NULL AND NOT bad AS ok, t.p IS NOT NULL AS told FROM hits h LEFT JOIN asked a USING (photo) LEFT JOIN told t USING (photo, p) WHERE p > 0),
 v AS (SELECT *, r AND CASE WHEN ok THEN told OR conf >= 0.9 ELSE conf >= 0.5 END AS take FROM h WHERE conf >= 0.1),
-w AS (SELECT photo, p, CASE WHEN take THEN 1 ELSE 0 END AS given, (r AND NOT take AND conf >= CASE WHEN ok THEN 0.6 ELSE 0.3 END)::INT AS doubt FROM v),
-o AS (SELECT t.photo, t.p, (t.p % 3 <> 0)::INT AS given, 0 AS doubt FROM told t JOIN asked a USING (photo) WHERE NOT bad AND length(t.p::VARCHAR) BETWEEN 3 AND 4 AND NOT EXISTS (SELECT 1 FROM hits x WHERE x.photo = t.photo AND x.p = t.p))
-SELECT photo, sum(given)::BIGINT AS numbers, sum(doubt)::BIGINT AS needs_human, count(*) AS persons FROM (SELECT * FROM w UNION ALL SELECT * FROM o) GROUP BY photo
-""")
+persons AS (
+  SELECT photo, 0 AS part, -conf AS c, pos::VARCHAR AS pl, p::VARCHAR AS number, CASE WHEN take THEN p::VARCHAR END AS gives, r AND NOT take AND conf >= CASE WHEN ok THEN 0.6 ELSE 0.3 END AS needs, NOT take AS unsure,
+    CASE WHEN ok AND r AND told THEN 'agree' WHEN take THEN 'confident' ELSE 'model_only' END AS verdict FROM v
+  UNION ALL
+  SELECT t.photo, 1, 0, t.p::VARCHAR, t.p::VARCHAR, CASE WHEN t.p % 3 <> 0 THEN t.p::VARCHAR END, false, t.p % 3 = 0, 'whole_only' FROM told t JOIN asked a USING (photo)
+  WHERE NOT bad AND length(t.p::VARCHAR) BETWEEN 3 AND 4 AND NOT EXISTS (SELECT 1 FROM hits x WHERE x.photo = t.photo AND x.p = t.p)
+)
+""" + PERSONS)
 def evidence_merge(spark, d):
-    rows = ev.suggestions(_hits(spark, d), _second(spark, d))
-    return rows.select("photo", F.size("numbers").cast("bigint").alias("numbers"), F.col("needs_human").cast("bigint").alias("needs_human"), F.size("persons").cast("bigint").alias("persons"))
+    return _persons(ev.suggestions(_hits(spark, d), _second(spark, d)))
+
+
+def _rechecked(spark, d):
+    """Hits in boxes of their own, a second look at those of odd lines, and what tiles showed."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("photo"), F.col("l_partkey").alias("p")).agg(F.max("l_discount").alias("disc"), F.min("l_linenumber").alias("pos"))
+    x = (F.col("pos") * 1_000_000 + F.col("p")).cast("double")
+    box = F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + 9).alias("x1"), F.lit(10.0).alias("y1"))
+    hits = rows.select("photo", "pos", F.col("p").cast("string").alias("text"), (F.col("disc") * 10).alias("conf"), box.alias("box"))
+    p = F.col("p")
+    n = F.when(p % 4 == 0, p + 1).otherwise(p).cast("string")
+    local = F.array(F.struct(F.when(p % 5 == 0, p.cast("string")).otherwise(n).alias("text"), F.when(p % 7 == 0, 0.4).otherwise(0.85).alias("conf")))
+    again = rows.filter("pos % 2 = 1").select("photo", F.concat_ws(",", x.cast("bigint"), F.lit(0), (x + 9).cast("bigint"), F.lit(10)).alias("key"), F.array(n).alias("numbers"), F.create_map(n, F.when(p % 3 == 0, "partial").otherwise("clear")).alias("clarity"), local.alias("local"))
+    more = (p + 2).cast("string")
+    tiles = rows.filter("pos = 3").groupBy("photo").agg(F.array_sort(F.collect_set(more)).alias("numbers")).withColumn("clarity", F.map_from_arrays("numbers", F.transform("numbers", lambda t: F.when(t.cast("bigint") % 5 == 0, "partial").otherwise("clear"))))
+    return hits, again, tiles
+
+
+@query(SECOND + """
+, start AS (SELECT c_custkey AS p FROM customer),
+h AS (SELECT h.*, s.p IS NOT NULL AS r, a.photo IS NOT NULL AND NOT bad AS ok, t.p IS NOT NULL AS told FROM hits h LEFT JOIN start s ON s.p = h.p LEFT JOIN asked a USING (photo) LEFT JOIN told t ON t.photo = h.photo AND t.p = h.p WHERE h.p > 0 AND conf >= 0.1),
+v AS (SELECT *, r AND CASE WHEN ok THEN coalesce(told AND r, false) OR conf >= 0.9 ELSE conf >= 0.5 END AS take FROM h),
+k AS (SELECT *, r AND NOT take AND conf >= CASE WHEN ok THEN 0.6 ELSE 0.3 END AS doubt, CASE WHEN p % 4 = 0 THEN p + 1 ELSE p END AS n FROM v),
+l AS (SELECT k.*, pos % 2 = 1 AS looked, s.p IS NOT NULL AND k.p % 3 <> 0 AS clear, s.p IS NOT NULL AND k.p % 3 = 0 AS part, CASE WHEN k.p % 5 = 0 THEN k.p ELSE n END AS near, CASE WHEN k.p % 7 = 0 THEN 0.4 ELSE 0.85 END AS sure FROM k LEFT JOIN start s ON s.p = k.n),
+m AS (SELECT *, doubt AND looked AND ((clear AND n = p) OR (part AND n = p AND near = p AND sure >= 0.8)) AS agrees FROM l),
+q AS (SELECT *, doubt AND looked AND NOT agrees AND clear AND near = n AND sure >= 0.5 AS other FROM m),
+own AS (
+  SELECT photo, 0 AS part, -conf AS c, pos::VARCHAR AS pl, p::VARCHAR AS number, CASE WHEN other THEN n::VARCHAR WHEN take OR agrees THEN p::VARCHAR END AS gives, doubt AND NOT agrees AND NOT other AS needs, NOT (take OR agrees) AS unsure,
+    CASE WHEN agrees THEN 'agree' WHEN other THEN 'replaced' WHEN ok AND r AND told THEN 'agree' WHEN take THEN 'confident' ELSE 'model_only' END AS verdict FROM q
+), seen AS (SELECT t.photo, t.p, t.p % 3 <> 0 AS clear FROM told t JOIN asked a USING (photo) JOIN start s ON s.p = t.p WHERE NOT bad),
+wide AS (SELECT DISTINCT photo, h.p + 2 AS p FROM hits h JOIN start s ON s.p = h.p + 2 WHERE pos = 3 AND (h.p + 2) % 5 <> 0),
+extra AS (
+  SELECT s.photo, s.p, 1 AS part, s.clear OR w.p IS NOT NULL AS clear FROM seen s LEFT JOIN wide w ON w.photo = s.photo AND w.p = s.p
+  UNION ALL SELECT w.photo, w.p, 2, true FROM wide w WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.photo = w.photo AND s.p = w.p)
+), persons AS (
+  SELECT * FROM own UNION ALL
+  SELECT e.photo, e.part, 0, e.p::VARCHAR, e.p::VARCHAR, CASE WHEN clear THEN e.p::VARCHAR END, false, NOT clear, 'whole_only' FROM extra e
+  WHERE NOT EXISTS (SELECT 1 FROM hits x WHERE x.photo = e.photo AND x.p = e.p AND x.p > 0) AND NOT EXISTS (SELECT 1 FROM own o WHERE o.photo = e.photo AND o.verdict = 'replaced' AND o.gives = e.p::VARCHAR)
+)
+""" + PERSONS)
+def evidence_recheck(spark, d):
+    """With a start list, second looks at boxes in doubt, and tiles."""
+    hits, again, tiles = _rechecked(spark, d)
+    start = runners(spark, d).select(F.col("bib").alias("number"))
+    return _persons(ev.suggestions(hits, _second(spark, d), start, again, tiles))
 
 
 @query(SECOND + """
@@ -197,6 +257,21 @@ def bib_decisions(spark, d):
     return _decided(spark, d).groupBy("d.status", "d.how", "d.why").agg(F.count("*").alias("n"))
 
 
+@query(LOOKS + "SELECT photo, count(*) >= 4 OR bool_or(NOT (contains(number, '?') = false AND legibility = 'clear' AND cut = 'none')) AS tiles FROM placed GROUP BY photo")
+def tiles_wanted(spark, d):
+    reads = _reads(spark, d).groupBy("photo").agg(F.collect_list(F.struct("source", "number", "legibility", "cut", "is_bib")).alias("reads"))
+    return reads.select("photo", b.wants_tiles(F.col("reads")).alias("tiles"))
+
+
+@query(DECIDED + """
+, shown AS (SELECT *, CASE status WHEN 'accept' THEN [number] WHEN 'judge' THEN votes WHEN 'review' THEN [pattern] END AS texts FROM decided)
+SELECT photo, x0, y0, CASE status WHEN 'accept' THEN 'agree' WHEN 'drop' THEN NULL ELSE 'disagree' END AS verdict, coalesce(array_to_string(list_filter(texts, lambda t: NOT contains(t, '?')), ','), '') AS texts, status <> 'accept' AND status <> 'drop' AS needs_human FROM shown
+""")
+def review_entries(spark, d):
+    rows = _decided(spark, d).withColumn("e", b.review_entry(F.col("d")))
+    return rows.select("photo", "bib.x0", "bib.y0", F.col("e.verdict").alias("verdict"), F.coalesce(F.array_join(F.transform("e.ocr", lambda r: r["text"]), ","), F.lit("")).alias("texts"), F.coalesce("e.needs_human", F.lit(False)).alias("needs_human"))
+
+
 @query(DECIDED + """
 , frames AS (SELECT o_orderkey AS photo, o_orderpriority AS folder, floor(o_orderkey / 5)::BIGINT AS position FROM orders),
 start AS (SELECT c_custkey::VARCHAR AS number FROM customer),

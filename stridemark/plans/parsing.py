@@ -146,9 +146,10 @@ def iou_pairs(spark, d):
     return pairs.select("photo", "a", "b", F.round(g.iou(F.col("p"), F.col("q")), 6).alias("iou")).filter("iou > 0")
 
 
-@query(f"""
+#: Suppression box by box, in the order of confidence, then of what {first} says, then of the boxes.
+SUPPRESSED = f"""
 WITH RECURSIVE b AS (
-  SELECT photo, x, y, x + w::DOUBLE AS x1, y + h::DOUBLE AS y1, row_number() OVER (PARTITION BY photo ORDER BY conf DESC, x, y, x + w, y + h)::INT AS i
+  SELECT photo, x, y, x + w::DOUBLE AS x1, y + h::DOUBLE AS y1, row_number() OVER (PARTITION BY photo ORDER BY conf DESC, {{first}}x, y, x + w, y + h)::INT AS i
   FROM (SELECT q.*, l_discount * 10 AS conf FROM (SELECT l_discount, {BOXES.removeprefix("SELECT ").removesuffix(" FROM lineitem")} FROM lineitem) q)
 ), i AS (SELECT a.photo, a.i, c.i AS j, greatest(0, least(a.x1, c.x1) - greatest(a.x, c.x)) * greatest(0, least(a.y1, c.y1) - greatest(a.y, c.y)) AS s, (a.x1 - a.x) * (a.y1 - a.y) + (c.x1 - c.x) * (c.y1 - c.y) AS t FROM b a JOIN b c ON a.photo = c.photo AND c.i < a.i),
 o AS (SELECT b.photo, b.i, coalesce(list(i.j) FILTER (s / (t - s) >= 0.5), []::INT[]) AS js FROM b LEFT JOIN i ON i.photo = b.photo AND i.i = b.i GROUP BY ALL),
@@ -158,12 +159,23 @@ k AS (
   SELECT k.photo, o.i, CASE WHEN len(list_intersect(k.kept, o.js)) > 0 THEN k.kept ELSE list_append(k.kept, o.i) END FROM k JOIN o ON o.photo = k.photo AND o.i = k.i + 1
 )
 SELECT photo, i AS boxes, len(kept)::INT AS kept FROM k QUALIFY i = max(i) OVER (PARTITION BY photo)
-""")
+"""
+
+
+@query(SUPPRESSED.replace("{first}", ""))
 def iou_nms(spark, d):
     kept = _boxes(spark, d).groupBy("photo").agg(F.array_sort(F.collect_list(F.struct("conf", "box"))).alias("boxes"))
     return kept.select("photo", F.size("boxes").alias("boxes"), F.size(g.suppress(F.col("boxes"))).alias("kept"))
 
 
+@query(SUPPRESSED.replace("{first}", "n % 2 = 0, "))
+def union_of_detectors(spark, d):
+    """As if odd and even lines were two detectors' boxes."""
+    part = lambda odd: F.array_sort(F.collect_list(F.when(F.col("n") % 2 == odd, F.struct("conf", "box"))))
+    rows = _boxes(spark, d).groupBy("photo").agg(part(1).alias("a"), part(0).alias("b"))
+    return rows.select("photo", (F.size("a") + F.size("b")).alias("boxes"), F.size(g.merged_detections([F.col("a"), F.col("b")])).alias("kept"))
+
+
 @query("""
 WITH RECURSIVE p AS (SELECT p_partkey, p_size * 100 + 500 AS w, p_size * 70 + 300 AS h FROM part), s AS (SELECT DISTINCT w, h FROM p),
 r AS (
@@ -243,6 +255,17 @@ def valid_replies(spark, d):
     return table(spark, d, "part").select(n.alias("id"), v["reply"]["number"].alias("number"), v["error"].alias("error"))
 
 
+@query("""
+SELECT o_orderkey AS id, (o_orderkey // 100) * 100 AS least, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M') AS utc, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders WHERE month(o_orderdate) BETWEEN 5 AND 8
+UNION ALL SELECT o_orderkey, (o_orderkey // 100) * 100, strftime(o_orderdate - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M'), o_orderdate < TIMESTAMP '1998-01-01' FROM orders WHERE month(o_orderdate) IN (1, 2, 12)
+""")
+def counters_and_times(spark, d):
+    """Wall clocks of a zone in summer and winter as UTC; months in which the clocks change are left out."""
+    at = F.col("o_orderdate").cast("timestamp")
+    rows = table(spark, d, "orders").filter(F.month("o_orderdate").isin(1, 2, 5, 6, 7, 8, 12))
+    return rows.select(F.col("o_orderkey").alias("id"), t.at_least(F.col("o_orderkey")).alias("least"), F.date_format(times.utc_of_wall(at, "Europe/Zagreb"), "yyyy-MM-dd HH:mm").alias("utc"), times.before(at, F.to_timestamp(F.lit("1998-01-01"))).alias("early"))
+
+
 @query("SELECT source, count(*) AS reads, sum(length(b))::BIGINT AS digits FROM (SELECT source, bib_text AS b FROM (" + HEAD + " SELECT * FROM detections)) GROUP BY source")
 def reads_by_source(spark, d):
     return detections(spark, d).groupBy("source").agg(F.count("*").alias("reads"), F.sum(F.length("bib_text")).alias("digits"))

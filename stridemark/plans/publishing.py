@@ -180,7 +180,7 @@ def upcoming_events(spark, d):
 , g AS (SELECT photo_id, row_number() OVER (PARTITION BY course_point, photographer ORDER BY photo_id) AS place, course_point, nullif(photographer, '5-LOW') AS photographer,
   CASE photo_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '/media/' || file_name WHEN 2 THEN 'https://x/' || file_name ELSE file_name END AS preview, CASE photo_id % 3 WHEN 0 THEN NULL ELSE '/t/' || file_name END AS thumb,
   CASE WHEN photo_id % 5 > 0 THEN photo_id % 1000 END AS width, CASE WHEN photo_id % 7 > 0 THEN 600 END AS height, CASE WHEN photo_id % 2 = 0 THEN captured_at END AS shot FROM photos),
-u AS (SELECT *, CASE WHEN preview IS NULL OR preview LIKE '/%' OR preview LIKE 'http%' THEN preview ELSE 'https://store/storage/v1/object/public/race-previews/' || preview END AS src FROM g)
+u AS (SELECT *, CASE WHEN preview IS NULL OR preview LIKE '/%' OR preview LIKE 'http%' THEN preview ELSE 'https://store/previews/' || preview END AS src FROM g)
 SELECT photo_id, coalesce(src, '') AS src, coalesce(thumb, src, '') AS thumb, CASE WHEN shot IS NOT NULL THEN strftime(shot, '%H:%M') ELSE printf('%02d:%02d', 9 + (place - 1) * 20 // 60, (place - 1) * 20 % 60) END AS clock,
   CASE WHEN photographer IS NULL THEN course_point ELSE course_point || ' · ' || photographer END AS hint, CASE WHEN width > 0 AND height > 0 THEN width || ' × ' || height || ' px' ELSE '—' END AS dims, coalesce(width, 3) || '/' || coalesce(height, 2) AS ratio FROM u
 """)
@@ -191,7 +191,7 @@ def gallery_labels(spark, d):
     rows = numbered(photos(spark, d).withColumn("at", F.concat_ws(" ", "course_point", "photographer")), "at", ["photo_id"], F.lit(0)).withColumnRenamed("number", "place")
     preview = F.when(n % 4 == 1, F.concat(F.lit("/media/"), name)).when(n % 4 == 2, F.concat(F.lit("https://x/"), name)).when(n % 4 == 3, name)
     rows = rows.select("photo_id", "place", "course_point", F.nullif("photographer", F.lit("5-LOW")).alias("photographer"), preview.alias("preview_path"), F.when(n % 3 > 0, F.concat(F.lit("/t/"), name)).alias("thumb_path"), F.when(n % 5 > 0, n % 1000).alias("width"), F.when(n % 7 > 0, 600).alias("height"), F.when(n % 2 == 0, F.col("captured_at")).alias("captured_at"))
-    return pub.gallery_labels(rows, "UTC", "https://store").select("photo_id", "src", "thumb", "clock", "hint", "dims", "ratio")
+    return pub.gallery_labels(rows, "UTC", "https://store/previews/").select("photo_id", "src", "thumb", "clock", "hint", "dims", "ratio")
 
 
 @query(HEAD + "SELECT (SELECT count(*) FROM runners WHERE club <> 'BUILDING') AS runners, (SELECT count(*) FROM detections WHERE bib_text NOT IN (SELECT bib FROM runners WHERE club = 'BUILDING') AND bib_text <> '1600') AS reads")
