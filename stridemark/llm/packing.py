@@ -63,7 +63,7 @@ class WordTokens:
 
     SIMPLE = "\u0250"
 
-    def __init__(self, tokenizer: str, most: int = 300_000) -> None:
+    def __init__(self, tokenizer: str, most: int = 200_000) -> None:
         import json
 
         import regex
@@ -112,7 +112,7 @@ class WordTokens:
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, closing_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of each piece."""
-    bounded_batches(docs.sparkSession, rows=2000)
+    bounded_batches(docs.sparkSession, rows=1000)
     tokenizer = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path or _default_tokenizer()).read_text("utf-8"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
