@@ -83,9 +83,9 @@ def best_reads(found: DataFrame) -> DataFrame:
 def gallery(runners: DataFrame, photos: DataFrame, detections: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """One row a runner and photo, with how it matches and its place in the gallery.
 
-    What counts for a runner is dealt out by runner once, which serves both windows.
+    What counts for a runner is dealt out by bib once, which serves both windows, whether there is one event or many.
     """
-    found = candidates(runners, photos, detections, only=only).repartition("event_id", "bib")
+    found = candidates(runners, photos, detections, only=only).repartition("bib")
     order = Window.partitionBy("event_id", "bib").orderBy(F.asc_nulls_last("course_km"), F.asc_nulls_last("captured_at"), "file_name", "photo_id")
     return best_reads(found).select("*", F.when(F.col("exact"), "exact").otherwise("fuzzy").alias("match_kind"), F.round("score", 4).alias("match_score"), F.row_number().over(order).alias("place"))
 
