@@ -2,8 +2,8 @@
 
 A run is one file: a block for each bucket (a range of hashes), then an index of byte offsets and a trailer. A block is
 a row of frames of at most FRAME rows, each compressed by itself, so that a reader holds one frame of each run. Within
-a frame hashes are sorted and kept as differences; every column's bytes are kept by significance, so that bytes that
-don't vary cost nothing. Reading a bucket of a run is one range read, as a shuffle's fetch is.
+a frame hashes are sorted and kept as differences, those of further columns once each; every column's bytes are kept by
+significance, so that bytes that don't vary cost nothing. Reading a bucket of a run is one range read, as a shuffle's fetch is.
 
 ``merged`` is a k-way merge by blocks: it needs one frame a run, however large the bucket or however frequent a hash.
 ``settled`` merges runs in groups of FAN until a folder has FAN at most, so that neither the number of files a task
@@ -53,17 +53,22 @@ def _column(data: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
 
 
 def _frame(columns: list[np.ndarray]) -> bytes:
-    plain = struct.pack("<IB", len(columns[0]), len(columns))
-    for x in columns:
-        plain += x.dtype.str.encode().ljust(4)
-    for x in columns:
-        plain += _planes(np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else np.ascontiguousarray(x))
+    plain, data = struct.pack("<IB", len(columns[0]), len(columns)), b""
+    for i, x in enumerate(columns):
+        if x.dtype == np.uint64 and i:  # hashes that repeat: the different ones, and which it is
+            known, which = np.unique(x, return_inverse=True)
+            plain += b"dict"
+            data += struct.pack("<I", len(known)) + _planes(np.diff(known, prepend=np.uint64(0))) + _planes(which.astype(np.uint16))
+        else:
+            plain += x.dtype.str.encode().ljust(4)
+            data += _planes(np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else np.ascontiguousarray(x))
+    plain += data
     body = zstandard.ZstdCompressor(level=1).compress(plain)
     return struct.pack("<I", len(body)) + body
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """A block of columns of equal length. Unsigned 64-bit columns, of which the first is sorted, become differences."""
+    """A block of columns of equal length. Unsigned 64-bit ones are hashes: the first is sorted, others may repeat."""
     return b"".join(_frame([c[a : a + FRAME] for c in columns]) for a in range(0, len(columns[0]), FRAME))
 
 
@@ -77,7 +82,13 @@ def frames(block: bytes) -> Iterator[tuple[tuple[np.ndarray, ...], bool]]:
         n, count = struct.unpack_from("<IB", data)
         place, out = 5 + 4 * count, []
         for i in range(count):
-            x, place = _column(data, place, n, data[5 + 4 * i : 9 + 4 * i].decode().strip())
+            kind = data[5 + 4 * i : 9 + 4 * i].decode().strip()
+            if kind == "dict":
+                known, place = _column(data, place + 4, struct.unpack_from("<I", data, place)[0], "<u8")
+                which, place = _column(data, place, n, "<u2")
+                out.append(np.cumsum(known, dtype=np.uint64)[which])
+                continue
+            x, place = _column(data, place, n, kind)
             out.append(np.cumsum(x, dtype=np.uint64) if x.dtype == np.uint64 else x)
         yield tuple(out), at >= len(block)
 

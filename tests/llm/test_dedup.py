@@ -92,6 +92,8 @@ def test_runs(tmp_path, monkeypatch):
         order = np.lexsort((row, h))
         h, row, place = h[order], row[order] - 700, np.arange(300, dtype=np.uint32)
         rows += zip(h.tolist(), row.tolist(), place.tolist())
+        more = pack(h, row, h[::-1].copy(), np.where(h % np.uint64(3) > 0, h, np.uint64(0)))  # hashes that repeat, in any order
+        assert (unpack(more)[2] == h[::-1]).all() and unpack(more)[3].tolist() == [x if x % 3 else 0 for x in h.tolist()]
         back = unpack(pack(h, row, place))
         assert all((a == b).all() for a, b in zip(back, (h, row, place)))
         cuts = np.searchsorted(bucket_of(h, 4), np.arange(5))
