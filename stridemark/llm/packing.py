@@ -63,15 +63,15 @@ class WordTokens:
 
     SIMPLE = "\u0250"
 
-    def __init__(self, tokenizer: str, most: int = 200_000) -> None:
+    def __init__(self, tokenizer: str, most: int = 100_000) -> None:
         import json
 
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known, self.older = Tokenizer.from_str(tokenizer), most, {}, {}
-        plan = json.loads(tokenizer)
-        normal, split = plan.get("normalizer") or {}, (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        state = lambda part: {} if part is None else json.loads(part.__getstate__())
+        normal, split = state(self.tokenizer.normalizer), state(self.tokenizer.pre_tokenizer).get("pretokenizers") or [{}]
         known = [x["type"] for x in normal.get("normalizers", [])] == NORMALIZERS and split[0].get("pattern") == {"Regex": PIECE} and [x["type"] for x in split] == ["Split", "ByteLevel"]
         self.piece = regex.compile(PIECE).findall if known else None
         self.model, self.characters = self.tokenizer.model.tokenize, _byte_characters()
