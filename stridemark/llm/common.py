@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,12 +58,20 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
 
 def trim() -> None:
     """Give memory that a Python worker has freed back to the machine: workers are kept for later tasks of any kind."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     c = ctypes.CDLL(None)
     if hasattr(c, "malloc_trim"):
         c.malloc_trim(0)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; after the last, what making them took is given back."""
+    yield from batches
+    del batches
+    trim()
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

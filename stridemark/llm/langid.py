@@ -209,6 +209,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                     floors[at] = m.floors[[n for _, _, n in found], best]
                 names[at] = [m.languages[m.owner[b]] for b in best]
             yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": (names == UND) | (scores < floors)})
+            found = x = cosine = None
+        vectors = None
         trim()
 
     rows = docs.drop(*NEW).withColumn("__p", predict(F.col("text")))

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets, drop, shared_dir, trim, written
+from .common import bounded_batches, buckets, drop, released, shared_dir, written
 from .components import components
 from .runs import Folder, Writer, merged, ranges_for, ranges_of, settled
 from .shingles import Words
@@ -120,7 +120,7 @@ def _index(texts: DataFrame, folder: str, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rid), b.column("digest"), pa.array(known), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]], ["rid", "digest", "known", "n", "c1", "c2"])
         out.flush()
 
-    return texts.mapInArrow(of, "rid bigint, digest binary, known boolean, n bigint, c1 bigint, c2 bigint")
+    return texts.mapInArrow(lambda batches: released(of(batches)), "rid bigint, digest binary, known boolean, n bigint, c1 bigint, c2 bigint")
 
 
 def _shared(spark: SparkSession, folder: str, ranges: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _shared(spark: SparkSession, folder: str, ranges: int) -> DataFrame:
             if len(held_h) > 1:
                 yield batch(held_h, held_row, np.full(len(held_h), len(held_h)))
 
-    return ranges_of(spark, ranges).mapInArrow(of, "rid bigint, df int, s bigint")
+    return ranges_of(spark, ranges).mapInArrow(lambda batches: released(of(batches)), "rid bigint, df int, s bigint")
 
 
 def _candidates(sets: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
@@ -161,7 +161,6 @@ def _candidates(sets: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
         held = None
         for b in _and_none(batches):
             if b is None:
-                trim()
                 if held is None:
                     return
                 rid, df, s = held
@@ -183,7 +182,7 @@ def _candidates(sets: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
                 heads = [s[at[i] + 1 : at[i] + 1 + need[i]] for i in pick]
                 yield pa.RecordBatch.from_arrays([pa.array(rid[at[pick]]), pa.array(n[pick]), _lists(arrays), _lists(heads)], ["rid", "n", "shared", "prefix"])
 
-    return rows.mapInArrow(of, "rid bigint, n bigint, shared array<bigint>, prefix array<bigint>")
+    return rows.mapInArrow(lambda batches: released(of(batches)), "rid bigint, n bigint, shared array<bigint>, prefix array<bigint>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -366,10 +365,8 @@ def _compared(units: DataFrame, members: DataFrame, parts: int, every: bool, as_
                     held.append(b.slice(a, e - a))
         if held:
             yield result()
-        held = []
-        trim()
 
-    return rows.mapInArrow(of, "a bigint, b bigint" if as_pairs else "rid bigint, root bigint, far bigint")
+    return rows.mapInArrow(lambda batches: released(of(batches)), "a bigint, b bigint" if as_pairs else "rid bigint, root bigint, far bigint")
 
 
 def _split(lists: pa.ListArray) -> list[np.ndarray]:

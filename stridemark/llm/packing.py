@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets, trim, written
+from .common import bounded_batches, buckets, released, written
 from .shingles import split_words
 
 
@@ -132,10 +132,8 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2
             if with_ids:
                 columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names)
-        del words
-        trim()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(cut(batches)), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def _fullest(counts: dict[int, int], room: int) -> dict[int, int]:
