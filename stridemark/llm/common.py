@@ -65,9 +65,14 @@ def trim() -> None:
         c.malloc_trim(0)
 
 
-def released(batches: Iterator) -> Iterator:
-    """The batches; after the last, what making them took is given back."""
-    yield from batches
+def released(batches: Iterator, rows: int = 1 << 15) -> Iterator:
+    """The Arrow batches in parts of so many rows; after the last, what making them took is given back.
+
+    Spark's side keeps the memory that the largest batches took for later ones.
+    """
+    for b in batches:
+        for a in range(0, max(1, b.num_rows), rows):
+            yield b.slice(a, rows)
     del batches
     trim()
 

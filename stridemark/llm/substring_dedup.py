@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, buckets, drop, shared_dir, trim, written
+from .common import WORD, bounded_batches, buckets, drop, released, shared_dir, trim, written
 from .runs import Folder, Writer, merged, pack, ranges_for, ranges_of, settled
 from .shingles import Words
 
@@ -184,7 +184,7 @@ class WindowIndex:
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(place[hit].astype(np.int32)), pa.array(source[hit]), pa.array(source_place[hit].astype(np.int32))], ["row", "place", "source", "source_place"])
 
-        return ranges_of(self.spark, self.ranges).mapInArrow(of, "row bigint, place int, source bigint, source_place int")
+        return ranges_of(self.spark, self.ranges).mapInArrow(lambda batches: released(of(batches)), "row bigint, place int, source bigint, source_place int")
 
     def _segments(self, matches: DataFrame) -> DataFrame:
         """Arrays of place, n, source and source_place for each row with matches."""
