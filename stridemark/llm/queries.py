@@ -15,9 +15,12 @@ from .media import decode, encode
 from .mixing import mix
 from .ngram_join import jaccard_join
 from .packing import pack
+from .quality import RULES, estimate, judged
+from .ranking import TERM, build, search
 from .secrets import BASE, scan
 from .substring_dedup import dedup
 from .warc import read_archives, write_archives
+from .whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +81,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rows = judged(docs, [r for r, _, _ in estimate(docs)], always=counts)
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return rows.select("doc.doc_id", *counts, base.alias("base_failed"), F.col("failed").isNull().alias("kept"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 OP4_SQL = rf"""
 WITH sized AS (
@@ -197,10 +216,50 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '{TERM}')) AS term FROM documents),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{TERM}')) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+m AS (SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM d, c),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+OP12_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, t, regexp_extract_all(t, '{WORDS_SQL}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS_SQL}')) AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+r AS (
+  SELECT doc_id, sum(least(5, coalesce(next - i, 5)))::BIGINT AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM twice) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[ 	]*[-*•●▪]'))) AS n_bullets,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-]*$'))) AS n_ellipses
+  FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT ({" OR ".join(f"({rule.rejects})" for rule in RULES)}) AS kept
+FROM f
+""".replace("\\u2022", "\u2022").replace("\\u25cf", "\u25cf").replace("\\u25aa", "\u25aa").replace("\\u2026", "\u2026")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_secret_scan, op4_mix_sources, op5_ngram_jaccard, op6_nearest_neighbours, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_media_columns, op11_ranked_search, op12_quality_rules, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op3_secret_scan": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_lm_scoring": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc_archive": OP2_SQL, "op3_secret_scan": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_lm_scoring": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_quality_rules": OP12_SQL}
