@@ -48,7 +48,7 @@ BASE = (
 RULES = BASE + (
     Rule("symbols", ("n_words", "n_symbols"), "100 * n_symbols > 10 * n_words"),
     Rule("word_length", ("n_words", "word_chars"), "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
-    Rule("same_lines", ("n_lines", "n_dup_lines"), "100 * n_dup_lines > 30 * n_lines"),
+    Rule("same_lines", ("n_lines", "n_dup_lines"), "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule("letters", ("word_chars", "n_letters"), "100 * n_letters < 25 * word_chars"),
     Rule("bullets", ("n_lines", "n_bullets"), "100 * n_bullets > 90 * n_lines"),
     Rule("trailing_off", ("n_lines", "n_ellipses"), "100 * n_ellipses > 30 * n_lines"),
@@ -64,6 +64,11 @@ def _windows(f) -> Column:
     return F.transform(F.slice("words", 1, F.size("words") - (WINDOW - 1)), f)
 
 
+def _equal(x: Column, k: Column) -> Column:
+    """Whether the sorted window at k is the same as x."""
+    return F.coalesce(F.get("places", k)["g"] == x["g"], F.lit(False))
+
+
 def _count_lines(pattern: str) -> Column:
     return F.size(F.filter("lines", lambda x: x.rlike(pattern))).cast("bigint")
 
@@ -86,7 +91,7 @@ FEATURES = {
     "n_ellipses": (("lines",), lambda: _count_lines("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$")),
     "hashes": (("words",), lambda: F.when(F.size("words") > WINDOW, _windows(lambda w, i: F.xxhash64(w, *_following(i))))),
     "places": (("words", "hashes"), lambda: F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(_windows(lambda w, i: F.struct(F.concat_ws(" ", w, *_following(i)).alias("g"), i.alias("i")))))),
-    "spots": (("places",), lambda: F.array_sort(F.transform(F.filter("places", lambda x, k: F.coalesce((x["g"] == F.get("places", k - 1)["g"]) | (x["g"] == F.get("places", k + 1)["g"]), x["g"] == F.get("places", k - 1)["g"], x["g"] == F.get("places", k + 1)["g"])), lambda x: x["i"]))),
+    "spots": (("places",), lambda: F.array_sort(F.transform(F.filter("places", lambda x, k: _equal(x, k - 1) | _equal(x, k + 1)), lambda x: x["i"]))),
     "n_repeat_words": (("spots",), lambda: _long(F.coalesce(F.aggregate(F.transform("spots", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("spots", k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x), F.lit(0)))),
 }
 

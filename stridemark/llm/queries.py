@@ -248,13 +248,14 @@ r AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
     len(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
     len(list_filter(ls, lambda x: regexp_matches(x, '^[ 	]*[-*•●▪]'))) AS n_bullets,
-    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-]*$'))) AS n_ellipses
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-
+]*$'))) AS n_ellipses
   FROM d LEFT JOIN r USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT ({" OR ".join(f"({rule.rejects})" for rule in RULES)}) AS kept
 FROM f
-""".replace("\\u2022", "\u2022").replace("\\u25cf", "\u25cf").replace("\\u25aa", "\u25aa").replace("\\u2026", "\u2026")
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
