@@ -12,14 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridemark.functions.text import one_deletions, similarity, within_one_edit
+from stridemark.functions.text import one_deletions, within_one_edit
 from stridemark.functions.times import clock, pace
-
-CONFIRMED = ("review", "manual")
-
-
-def is_confirmed(source: str = "source") -> Column:
-    return F.col(source).isin(*CONFIRMED)
+from stridemark.operators.lookup import Reads, concerned, counts_nearly, is_confirmed, likeness
 
 
 def gated(reads: DataFrame) -> DataFrame:
@@ -52,22 +47,28 @@ def counted(detections: DataFrame) -> DataFrame:
 def bib_texts(runners: DataFrame, detections: DataFrame, least: float = 0.30) -> DataFrame:
     """event_id, bib, bib_text, exact and like: the texts that count for a bib. Distinct texts, whatever the number of reads."""
     bibs = runners.select("event_id", "bib").distinct()
-    read = detections.filter(~is_confirmed() & (F.col("source") != "rejected") & (F.col("confidence") >= least))
-    pairs = near_texts(bibs.filter(F.length("bib") >= 3), read, "bib", "bib_text").withColumn("like", F.greatest(similarity(F.col("bib_text"), F.col("bib")), F.lit(0.2)))
+    read = detections.filter(counts_nearly(least))
+    pairs = near_texts(bibs.filter(F.length("bib") >= 3), read, "bib", "bib_text").withColumn("like", likeness(F.col("bib"), F.col("bib_text")))
     someone = bibs.select("event_id", F.col("bib").alias("bib_text"))
     fuzzy = bibs.join(pairs, "bib").join(someone, ["event_id", "bib_text"], "left_anti")
     exact = bibs.select("event_id", "bib", F.col("bib").alias("bib_text"), F.lit(True).alias("exact"), F.lit(1.0).alias("like"))
     return exact.unionByName(fuzzy.select("event_id", "bib", "bib_text", F.lit(False).alias("exact"), "like"))
 
 
-def candidates(runners: DataFrame, photos: DataFrame, detections: DataFrame, least: float = 0.30, only: DataFrame | None = None) -> DataFrame:
+def candidates(runners: DataFrame, photos: DataFrame, detections: DataFrame | Reads, least: float = 0.30, only: DataFrame | None = None) -> DataFrame:
     """Every read that counts for a runner: the photo's columns, bib, read_as, exact, score and bibs_in_photo.
 
     The reads are joined once to their photos and once to the texts that count. only: (event_id, bib) of the runners
-    that are asked for.
+    that are asked for; the plan is then one over the photos that hold one of their texts, as long as those are few.
     """
-    texts = bib_texts(runners, detections, least)
-    texts = texts if only is None else texts.join(only.select("event_id", "bib").distinct(), ["event_id", "bib"], "left_semi")
+    some = None if only is None else concerned(runners, photos, detections, only, least)
+    if some is not None:
+        texts, photos, detections = some
+        texts = F.broadcast(texts)
+    else:
+        detections = Reads.of(detections).by_photo
+        texts = bib_texts(runners, detections, least)
+        texts = texts if only is None else texts.join(only.select("event_id", "bib").distinct(), ["event_id", "bib"], "left_semi")
     reads = counted(detections).filter((F.col("source") != "rejected") & (is_confirmed() | ~F.col("gate"))).join(photos, "photo_id")
     found = reads.join(texts, ["event_id", "bib_text"]).filter(F.col("exact") | (~is_confirmed() & (F.col("confidence") >= least)))
     score = (F.coalesce("confidence", F.lit(0.5)) * F.col("like")).cast("double")
@@ -80,7 +81,7 @@ def best_reads(found: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 
-def gallery(runners: DataFrame, photos: DataFrame, detections: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def gallery(runners: DataFrame, photos: DataFrame, detections: DataFrame | Reads, only: DataFrame | None = None) -> DataFrame:
     """One row a runner and photo, with how it matches and its place in the gallery.
 
     What counts for a runner is dealt out by bib once, which serves both windows, whether there is one event or many.
@@ -93,7 +94,7 @@ def gallery(runners: DataFrame, photos: DataFrame, detections: DataFrame, only:
 PHOTO_FIELDS = ("id", "file_name", "preview_path", "thumb_path", "width", "height", "captured_at", "photographer", "course_point", "course_km", "match_kind", "match_score", "read_as", "bibs_in_photo")
 
 
-def export(runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, use_chip_time: bool = False, only: DataFrame | None = None) -> DataFrame:
+def export(runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame | Reads, use_chip_time: bool = False, only: DataFrame | None = None) -> DataFrame:
     """event_id, bib and payload: the whole answer for each runner as JSON, nulls kept, photos in order.
 
     only: (event_id, bib) of the runners that are asked for.
@@ -129,7 +130,7 @@ def find_runner(asked: DataFrame, events: DataFrame, runners: DataFrame) -> Data
     return rows.select("slug", "bib", "dob", "caller_role", reason.alias("reason"))
 
 
-def answers(asked: DataFrame, events: DataFrame, runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, use_chip_time: bool = False) -> DataFrame:
+def answers(asked: DataFrame, events: DataFrame, runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame | Reads, use_chip_time: bool = False) -> DataFrame:
     """The whole answer to each question (slug, bib, dob, caller_role): reason, and payload as JSON.
 
     The payload of an answered question has ok, runner and photos, and else ok and the reason. Galleries are made of
@@ -143,7 +144,7 @@ def answers(asked: DataFrame, events: DataFrame, runners: DataFrame, races: Data
     return out.select("slug", "bib", "dob", "caller_role", "reason", F.when(F.col("reason") == "ok", F.col("payload")).otherwise(refused).alias("payload"))
 
 
-def export_page(events: DataFrame, runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame, slug: str, after: str = "", n: int = 100) -> DataFrame:
+def export_page(events: DataFrame, runners: DataFrame, races: DataFrame, photos: DataFrame, detections: DataFrame | Reads, slug: str, after: str = "", n: int = 100) -> DataFrame:
     """bib and payload of the next n runners of a published event by bib, which sorts as text."""
     shown = runners.join(events.filter(F.col("published") & (F.col("slug") == slug)).select("event_id"), "event_id", "left_semi")
     some = page(shown.select("event_id", "bib"), after, n)

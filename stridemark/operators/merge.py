@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stridemark.sources import store
+
 
 def latest(log: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key of an append log."""
@@ -117,20 +122,41 @@ def set_aside(rows: DataFrame, empty: Column) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~flag), rows.filter(flag)
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions of a table, oldest first."""
+    return [int(n) for n in store.names(spark, f"{folder}/_versions") if n.isdigit()]
+
+
 def write_version(df: DataFrame, folder: str, version: int) -> str:
-    """Write a version of a table; readers go by the pointer, which is written last."""
-    path = f"{folder}/v{version:06d}"
+    """Write a version of a table. Its pointer is written last, and by one writer only: another one fails."""
+    path = f"{folder}/data-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark: SparkSession = df.sparkSession
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{folder}/current")
+    if not store.put_if_absent(df.sparkSession, f"{folder}/_versions/{version:012d}", path.rsplit("/", 1)[1]):
+        store.delete(df.sparkSession, path)
+        raise FileExistsError(f"version {version} was written by another writer")
     return path
 
 
 def read_version(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """The current or an earlier version."""
-    if version is None:
-        version = spark.read.parquet(f"{folder}/current").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{folder}/v{version:06d}")
+    version = versions(spark, folder)[-1] if version is None else version
+    return spark.read.parquet(f"{folder}/{store.read_text(spark, f'{folder}/_versions/{version:012d}')}")
+
+
+def change_version(spark: SparkSession, folder: str, change: Callable[[DataFrame | None], DataFrame], attempts: int = 10) -> int:
+    """Write what ``change`` makes of the current version (None: there is none) as the next one; its number.
+
+    Of writers that begin with the same version one succeeds, and the others make their change again, of what that one
+    has written, so that no change is lost.
+    """
+    for _ in range(attempts):
+        known = versions(spark, folder)
+        try:
+            write_version(change(read_version(spark, folder, known[-1]) if known else None), folder, number := (known or [0])[-1] + 1)
+            return number
+        except FileExistsError:
+            continue
+    raise RuntimeError(f"{folder}: others have written a version before this one {attempts} times")
 
 
 def write_one_file_each(rows: DataFrame, folder: str, key: str, payload: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stridemark.functions.text import clean_number, normalise_digits, one_hidden, pattern_matches, similarity
 from stridemark.functions.times import clock, pace
 from stridemark.operators import matching as m
+from stridemark.operators.lookup import read_reads, write_reads
+from stridemark.sources.sinks import scratch
 
 from .adapters import HEAD, detections, events, photos, races, runners, table
 from .registry import query
@@ -68,7 +70,18 @@ def gallery_exact(spark, d):
 
 @query(f"SELECT * FROM ({GALLERY}) WHERE bib = '150'")
 def find_runner_one(spark, d):
-    return m.gallery(runners(spark, d), photos(spark, d), detections(spark, d)).filter("bib = '150'").select(*COLUMNS)
+    return m.gallery(runners(spark, d), photos(spark, d), detections(spark, d), only=_one(spark)).select(*COLUMNS)
+
+
+def _one(spark):
+    return spark.sql("SELECT 1 AS event_id, '150' AS bib")
+
+
+@query(f"SELECT * FROM ({GALLERY}) WHERE bib = '150'")
+def find_runner_in_order(spark, d):
+    """The same question to reads that are kept in the orders that questions go by."""
+    write_reads(detections(spark, d), folder := scratch(spark, "reads"))
+    return m.gallery(runners(spark, d), photos(spark, d), read_reads(spark, folder), only=_one(spark)).select(*COLUMNS)
 
 
 @query(FOUND + """

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from stridemark.functions.geometry import wrapped_rotation
 from stridemark.functions.text import bare_number, composed, trailing_number
+from stridemark.sources.logs import read_log
 
 ANNOTATION = """_id INT, _name STRING, _width INT, _height INT, box ARRAY<STRUCT<_label: STRING, _source: STRING, _occluded: INT, _xtl: DOUBLE, _ytl: DOUBLE,
 _xbr: DOUBLE, _ybr: DOUBLE, _rotation: DOUBLE, _z_order: INT, attribute: ARRAY<STRUCT<_name: STRING, _VALUE: STRING>>>>"""
@@ -82,14 +83,13 @@ def _must_list(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{name}: Spark reads files with such names as empty; stage it under another name")
 
 
-def append_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines log with ``seq``, their place in it. Broken lines, as a torn last one, are left out.
+def append_log(spark: SparkSession, path: str, schema: str, after: dict[str, int] | None = None) -> DataFrame:
+    """Rows of a JSON-lines log with ``seq``, their place in it, which sorts as they were appended.
 
-    seq is right for logs of one file, which is what they are; bigger ones should carry their own.
+    Broken lines are left out; a torn last one is read once it is whole. after: only what is behind a position.
     """
     _must_list(spark, path)
-    rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id()).filter("_corrupt_record IS NULL").drop("_corrupt_record")
+    return read_log(spark, path, schema, after)
 
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:

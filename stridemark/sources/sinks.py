@@ -15,11 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridemark.operators.merge import write_one_file_each
-
-
-def _store(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+from stridemark.sources.logs import append
+from stridemark.sources.store import at as _store
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -39,11 +36,6 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows to a log of JSON lines; readers take the last row of a key."""
-    rows.write.mode("append").json(path)
-
-
 def save_entries(log: str, entries: DataFrame, key: str, at: str) -> DataFrame:
     """Save entries (key, at, ...) into a log that several people write to; the entries as they now stand.
 
@@ -51,6 +43,7 @@ def save_entries(log: str, entries: DataFrame, key: str, at: str) -> DataFrame:
     """
     append(entries, log)
     now = entries.sparkSession.read.schema(entries.schema).json(log)
+    now = now.select(*entries.columns)
     return now.groupBy(key).agg(F.max_by(F.struct(*now.columns), at).alias("r")).select("r.*")
 
 

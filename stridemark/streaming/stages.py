@@ -131,7 +131,7 @@ class Batches:
         schema = "chunk string, custom_id string, photo string, key string, step string, request string"
         if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(f"{self.root}/requests")
+        return self.spark.read.schema(schema).json(f"{self.root}/requests").drop("batch")
 
     def submit(self, jobs: DataFrame) -> DataFrame:
         """The newly registered requests (photo, key, step, request), in chunks of so many rows and bytes at most."""

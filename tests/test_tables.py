@@ -47,7 +47,7 @@ def test_versions_and_files(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     merge.write_version(spark.range(3), folder, 1)
     merge.write_version(spark.range(5), folder, 2)
-    assert merge.read_version(spark, folder).count() == 5 and merge.read_version(spark, folder, 1).count() == 3
+    assert merge.read_version(spark, folder).count() == 5 and merge.read_version(spark, folder, 1).count() == 3 and merge.versions(spark, folder) == [1, 2]
     out = merge.write_one_file_each(spark.createDataFrame([("7", "{}"), ("12", '{"a":1}')], "bib string, payload string"), f"file://{tmp_path}/json", "bib", "payload")
     assert rows(out) == [("12", 7), ("7", 2)] and (tmp_path / "json/12.json").read_text() == '{"a":1}'
 
