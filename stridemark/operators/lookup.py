@@ -102,6 +102,7 @@ def concerned(runners: DataFrame, photos: DataFrame, detections: DataFrame | Rea
     """Texts, and the photos and all their reads that hold one of them, for (event_id, bib) asked; None if too many."""
     reads = Reads.of(detections)
     asked = few(only.select("event_id", "bib").distinct())
+    asked = None if asked is None else few(runners.select("event_id", "bib").join(F.broadcast(asked), ["event_id", "bib"], "left_semi").distinct())
     texts = None if asked is None else asked_texts(runners, reads, asked, least)
     held = None if texts is None else few(among(reads.by_text, "bib_text", texts).select("photo_id").distinct())
     if held is None:
