@@ -6,13 +6,11 @@ status (accept, judge, review, drop), number, how, candidates, pattern and why.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridemark.functions.text import known_digits
+from stridemark.functions.geometry import area, same_bib
+from stridemark.functions.text import known_digits, one_hidden
 from stridemark.operators.evidence import nothing
 
 READ = "struct<source:string,number:string,legibility:string,cut:string,is_bib:boolean>"
@@ -72,50 +70,42 @@ def decide(looks: Column, zoom: Column, judge: Column) -> Column:
     )
 
 
-def _same(a: list[float], b: list[float]) -> bool:
-    x, y = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    size = lambda p: (p[2] - p[0]) * (p[3] - p[1])
-    shared = max(0.0, x) * max(0.0, y)
-    joint = size(a) + size(b) - shared
-    if joint > 0 and shared / joint >= 0.25:
-        return True
-    small, large = sorted((size(a), size(b)))
-    within = lambda p, q: q[0] <= (p[0] + p[2]) / 2 <= q[2] and q[1] <= (p[1] + p[3]) / 2 <= q[3]
-    return small / max(large, 1e-6) >= 0.2 and (within(a, b) or within(b, a))
+def _let(value: Column, f) -> Column:
+    """f of the value, which is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def grouped(looks: Column, of: str) -> Column:
+    """Looks in order, as arrays of those at one bib: each joins the first group with a look at the same bib.
+
+    That depends on the order, and is no closure. of: the type of a look.
+    """
+
+    def join(groups: Column, look: Column) -> Column:
+        first = F.array_position(F.transform(groups, lambda g: F.exists(g, lambda o: same_bib(look, o))), True)
+        return _let(first, lambda n: F.when(n == 0, F.array_append(groups, F.array(look))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == n, F.array_append(g, look)).otherwise(g))))
+
+    return F.aggregate(looks, F.array().cast(f"array<array<{of}>>"), join)
 
 
 def clusters(boxes: DataFrame) -> DataFrame:
     """photo, box and reads of each bib, from rows (photo, pos, x0, y0, x1, y1, source, number, legibility, cut, is_bib).
 
-    A box joins the first cluster that has a box of the same bib, in the order of pos; that depends on the order, and
-    is no closure, so that each photo's few boxes are gone through in Python. The box of the best look stands for the
-    cluster, or the hull of all if that look is cut.
+    Looks are gone through in the order of pos, a photo's few in one expression. The box of the best look stands for
+    the cluster, or the hull of all if that look is cut.
     """
-    reads = ("source", "number", "legibility", "cut", "is_bib")
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for photo, looks in zip(b["photo"], b["looks"], strict=True):
-                groups: list[list] = []
-                for at in looks:
-                    here = [at[c] for c in ("x0", "y0", "x1", "y1")]
-                    group = next((g for g in groups if any(_same(here, o[0]) for o in g)), None)
-                    if group is None:
-                        groups.append(group := [])
-                    group.append((here, at))
-                found = []
-                for g in groups:
-                    rank = lambda o: (o[1]["legibility"] == "clear", o[1]["cut"] == "none", o[1]["source"] != "survey", (o[0][2] - o[0][0]) * (o[0][3] - o[0][1]))
-                    box, look = max(g, key=rank)
-                    if look["cut"] != "none":
-                        box = [f(o[0][i] for o in g) for i, f in enumerate((min, min, max, max))]
-                    found.append(([round(v, 1) for v in box], [{c: o[1][c] for c in reads} for o in g]))
-                out += [(photo, *box, members) for box, members in sorted(found, key=lambda x: x[0][:2])]
-            yield pd.DataFrame(out, columns=["photo", "x0", "y0", "x1", "y1", "reads"])
-
-    look = F.struct("pos", "x0", "y0", "x1", "y1", *reads)
-    return boxes.groupBy("photo").agg(F.array_sort(F.collect_list(look)).alias("looks")).mapInPandas(of, f"photo {boxes.schema['photo'].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double, reads array<{READ}>")
+    reads, corners = ("source", "number", "legibility", "cut", "is_bib"), ("x0", "y0", "x1", "y1")
+    look = F.struct("pos", *[F.col(c).cast("double").alias(c) for c in corners], *reads)
+    photos = boxes.groupBy("photo").agg(F.array_sort(F.collect_list(look)).alias("looks"))
+    of = photos.schema["looks"].dataType.elementType.simpleString()
+    rank = lambda o: F.struct(o["legibility"] == "clear", o["cut"] == "none", o["source"] != "survey", area(o))
+    best = lambda g: F.aggregate(g, g[0], lambda b, o: F.when(rank(o) > rank(b), o).otherwise(b))
+    hull = lambda g: [f(F.transform(g, lambda o: o[c])) for f, c in zip((F.array_min, F.array_min, F.array_max, F.array_max), corners, strict=True)]
+    corner = lambda g, b: F.struct(*[F.bround(F.when(b["cut"] != "none", h).otherwise(b[c]), 1).alias(c) for c, h in zip(corners, hull(g), strict=True)])
+    found = F.transform(grouped(F.col("looks"), of), lambda g: F.struct(_let(best(g), lambda b: corner(g, b)).alias("box"), F.transform(g, lambda o: F.struct(*[o[c].alias(c) for c in reads])).alias("reads")))
+    placed = F.array_sort(F.transform(found, lambda c, i: F.struct(c["box"]["x0"].alias("x"), c["box"]["y0"].alias("y"), i.alias("i"), c.alias("c"))))
+    rows = photos.select("photo", F.explode(F.transform(placed, lambda x: x["c"])).alias("c"))
+    return rows.select("photo", *[F.col(f"c.box.{c}").alias(c) for c in corners], F.col("c.reads").cast(f"array<{READ}>").alias("reads"))
 
 
 def wants_tiles(bibs: Column, crowded: int = 4) -> Column:
@@ -123,48 +113,83 @@ def wants_tiles(bibs: Column, crowded: int = 4) -> Column:
     return (F.size(bibs) >= crowded) | (F.size(bibs) == 0) | F.exists(bibs, lambda r: ~clear(r))
 
 
+def near_numbers(rows: DataFrame, number: Column, reach: int = 6, part: int = 512) -> DataFrame:
+    """Rows (folder, position, ...) with ``near``: the numbers of other positions of the folder within reach.
+
+    One window by stretches of a folder, so that a hot folder is many tasks; the few rows near a border are read by
+    the stretch on its other side as well.
+    """
+    at = lambda k: F.floor((F.col("position") + k) / part)
+    dealt = rows.withColumn("__n", number).withColumn("__part", F.explode(F.array_distinct(F.array(at(0), at(-reach), at(reach)))))
+    w = Window.partitionBy("folder", "__part").orderBy("position").rangeBetween(-reach, reach)
+    others = F.filter(F.collect_set(F.when(F.col("__n").isNotNull(), F.struct(F.col("position").alias("p"), F.col("__n").alias("n")))).over(w), lambda x: x["p"] != F.col("__at"))
+    seen = dealt.withColumn("__at", F.col("position")).withColumn("near", F.array_sort(F.array_distinct(F.transform(others, lambda x: x["n"]))))
+    return seen.filter(F.col("__part") == at(0)).drop("__n", "__at", "__part")
+
+
+def _candidates() -> Column:
+    return F.coalesce(F.col("d.candidates"), nothing())
+
+
+def _pattern() -> Column:
+    return F.coalesce(F.col("d.pattern"), F.lit(""))
+
+
+def start_list_facts(bibs: DataFrame, start: DataFrame) -> DataFrame:
+    """ask, known, alike and fitting of each number and pattern that decisions hold.
+
+    known: the number is on the start list. alike: the first four of it that differ in one digit. fitting: those that a
+    pattern fits. One equality join: numbers of the list stand under themselves, with each digit hidden, and with the
+    digits hidden that some pattern hides.
+    """
+    from stridemark.operators.matching import masked, masks_of
+
+    said = bibs.select(F.explode(F.array_compact(F.concat(_candidates(), F.array("d.number", "d.pattern")))).alias("ask")).filter("ask <> ''").distinct()
+    hidden = F.contains("ask", F.lit("?"))
+    keys = F.when(hidden, F.array(F.struct(F.lit("fit").alias("as"), F.col("ask").alias("k")))).otherwise(F.concat(F.array(F.struct(F.lit("is").alias("as"), F.col("ask").alias("k"))), F.transform(one_hidden(F.col("ask")), lambda h: F.struct(F.lit("like").alias("as"), h.alias("k")))))
+    asked = said.select("ask", F.explode(keys).alias("key")).select("ask", "key.as", "key.k")
+    listed = start.select(F.col("number").alias("listed")).filter("listed <> ''")
+    forms = masked(listed, "listed", masks_of(bibs.select(_pattern().alias("p")), "p"), F.concat(F.array("listed"), one_hidden(F.col("listed"))))
+    met = asked.join(forms, "k", "left").withColumn("other", F.when(F.col("listed") != F.col("ask"), F.col("listed")))
+    of = lambda kind, c: F.array_sort(F.collect_set(F.when(F.col("as") == kind, F.col(c))))
+    return met.groupBy("ask").agg(F.coalesce(F.max((F.col("as") == "is") & F.col("listed").isNotNull()), F.lit(False)).alias("known"), F.slice(of("like", "other"), 1, 4).alias("alike"), of("fit", "listed").alias("fitting"))
+
+
 def resolve(bibs: DataFrame, frames: DataFrame, start: DataFrame | None = None, reach: int = 6) -> DataFrame:
     """Decisions after what neighbouring frames and the start list settle; one pass over a frozen state.
 
-    bibs: photo, bib (a number of the bib in the photo), d (decision). frames: folder, position, photo; all photos,
-    with or without bibs. start: number. Neighbours' accepted numbers reach a frame as rows, one for each step.
+    bibs: photo, bib (a name of the bib in the photo; some may share one), d (decision). frames: folder, position, photo;
+    all photos, with or without bibs. start: number. Neighbours' accepted numbers come by one window; what the start list says of
+    all numbers and patterns is looked up once.
     """
-    placed = bibs.join(frames, "photo")
-    accepted = placed.filter("d.status = 'accept'").select("folder", "position", F.col("d.number").alias("number")).distinct()
-    steps = F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k]))
-    near = accepted.withColumn("k", steps).groupBy("folder", (F.col("position") + F.col("k")).alias("position")).agg(F.collect_set("number").alias("near"))
-    rows = placed.join(near, ["folder", "position"], "left").withColumn("near", F.coalesce("near", nothing()))
     d = lambda c: F.col(f"d.{c}")
-    cands, pattern = F.coalesce(d("candidates"), nothing()), F.coalesce(d("pattern"), F.lit(""))
+    rows = near_numbers(bibs.join(frames.select("folder", "position", "photo"), "photo"), F.when(d("status") == "accept", d("number")), reach)
+    cands, pattern = _candidates(), _pattern()
     fits = lambda p, n: (F.length(p) == F.length(n)) & F.forall(F.zip_with(F.split(p, ""), F.split(n, ""), lambda a, b: (a == "?") | (a == b)), lambda x: x)
-    hit = F.filter(cands, lambda n: F.array_contains("near", n))
-    one_hidden = (F.length(pattern) >= 3) & (F.length(pattern) - known_digits(pattern) == 1)
-    filled = F.filter("near", lambda n: fits(pattern, n))
+    one_gap = (F.length(pattern) >= 3) & (F.length(pattern) - known_digits(pattern) == 1)
+    rows = rows.withColumn("hit", F.filter(cands, lambda n: F.array_contains("near", n))).withColumn("filled", F.when(one_gap, F.filter("near", lambda n: fits(pattern, n))).otherwise(nothing()))
     open_ = d("status").isin("review", "judge")
     new = lambda **k: F.struct(*[(k[c] if c in k else d(c)).alias(c) for c in ("status", "number", "how", "candidates", "pattern", "why")])
     accept, review = F.lit("accept"), F.lit("review")
-    settled = F.when(open_ & (F.size(hit) == 1), new(status=accept, number=hit[0], how=F.lit("burst: seen clearly in nearby frames"))).when(open_ & one_hidden & (F.size(filled) == 1), new(status=accept, number=filled[0], how=F.concat(F.lit("burst: "), pattern, F.lit(" completed from nearby frames"))))
+    settled = F.when(open_ & (F.size("hit") == 1), new(status=accept, number=F.col("hit")[0], how=F.lit("burst: seen clearly in nearby frames"))).when(open_ & (F.size("filled") == 1), new(status=accept, number=F.col("filled")[0], how=F.concat(F.lit("burst: "), pattern, F.lit(" completed from nearby frames"))))
     if start is not None:
-        known = start.select("number").distinct()
-        valid = rows.select("photo", "bib", F.explode(cands).alias("number")).join(known, "number", "left_semi").groupBy("photo", "bib").agg(F.collect_set("number").alias("valid"))
-        hidden = rows.select("photo", "bib", pattern.alias("pattern")).filter(F.contains("pattern", F.lit("?")))
-        from stridemark.operators.matching import complete_patterns, one_digit_apart
-
-        done = hidden.join(complete_patterns(hidden, known, "pattern", "number"), "pattern").groupBy("photo", "bib").agg(F.array_sort(F.collect_set("number")).alias("fitting"))
-        rows = rows.join(valid, ["photo", "bib"], "left").join(done, ["photo", "bib"], "left")
-        ok, fit = F.filter(cands, lambda n: F.array_contains(F.coalesce("valid", nothing()), n)), F.coalesce("fitting", nothing())
+        asked = F.array_distinct(F.filter(F.array_compact(F.concat(cands, "filled", F.array(d("number"), pattern))), lambda n: n != ""))
+        said = rows.select("photo", "bib", "d", "hit", "filled", F.greatest(F.size(asked), F.lit(1)).alias("m"), F.explode_outer(asked).alias("ask")).join(start_list_facts(bibs, start), "ask", "left")
+        fact = F.when(F.col("ask").isNotNull(), F.struct("ask", F.struct("known", "alike", "fitting").alias("f")))
+        # Equal rows, as two bibs of one box and decision, are one group, which has as many rows as they have asked.
+        rows = said.repartition("photo").groupBy("photo", "bib", "d", "hit", "filled", "m").agg(F.map_from_entries(F.collect_set(fact)).alias("facts"), F.count("*").alias("n"))
+        rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.expr("int(n div m)")))).drop("m", "n", "__copy")
+        of = lambda n, c: F.try_element_at("facts", n)[c]
+        ok = F.filter(cands, lambda n: F.coalesce(of(n, "known"), F.lit(False)))
+        fit = F.when(F.contains(pattern, F.lit("?")), F.coalesce(of(pattern, "fitting"), nothing())).otherwise(nothing())
         settled = settled.when(open_ & (F.size(ok) == 1) & (F.size(cands) > 1), new(status=accept, number=ok[0], how=F.lit("start list: only valid candidate")))
         more = F.when(F.size(fit).between(1, 5), F.array_distinct(F.concat(cands, fit))).otherwise(d("candidates"))
         settled = settled.when(open_, new(status=review, candidates=more, why=F.when(d("status") == "judge", F.coalesce(d("why"), F.lit("readings disagree"))).otherwise(d("why"))))
     settled = settled.when(d("status") == "judge", new(status=review, why=F.coalesce(d("why"), F.lit("readings disagree")))).otherwise(F.col("d"))
     rows = rows.withColumn("d", settled)
     if start is not None:
-        taken = rows.filter("d.status = 'accept'").select(F.col("d.number").alias("number")).distinct()
-        off = taken.join(known, "number", "left_anti")
-        like = off.join(one_digit_apart(off, known.select(F.col("number").alias("other")), "number", "other"), "number", "left").groupBy("number").agg(F.slice(F.array_sort(F.collect_set("other")), 1, 4).alias("alike"))
-        rows = rows.join(like.withColumnRenamed("number", "off"), d("number") == F.col("off"), "left")
-        gone = (d("status") == "accept") & F.col("off").isNotNull()
-        rows = rows.withColumn("d", F.when(gone, new(status=review, candidates=F.concat(F.array(d("number")), "alike"), why=F.lit("not on the start list"))).otherwise(F.col("d")))
+        off = (d("status") == "accept") & ~F.coalesce(of(d("number"), "known"), F.lit(False))
+        rows = rows.withColumn("d", F.when(off, new(status=review, candidates=F.concat(F.array(d("number")), F.coalesce(of(d("number"), "alike"), nothing())), why=F.lit("not on the start list"))).otherwise(F.col("d")))
     return rows.select("photo", "bib", "d")
 
 

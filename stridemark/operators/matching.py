@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stridemark.functions.text import one_deletions, within_one_edit
 from stridemark.functions.times import clock, pace
-from stridemark.operators.lookup import Reads, concerned, counts_nearly, is_confirmed, likeness
+from stridemark.operators.lookup import LISTED, Reads, concerned, counts_nearly, is_confirmed, likeness
 
 
 def gated(reads: DataFrame) -> DataFrame:
@@ -186,14 +186,32 @@ def one_digit_apart(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFr
     return x.join(y, "k").filter(F.col(a) != F.col(b)).select(a, b)
 
 
+def masks_of(patterns: DataFrame, pattern: str) -> DataFrame:
+    """mask: the places that patterns hide, as x and ?, each once."""
+    mask = F.concat_ws("", F.transform(F.split(pattern, ""), lambda c: F.when(c == "?", "?").otherwise("x")))
+    return patterns.filter(F.contains(pattern, F.lit("?"))).select(mask.alias("mask")).distinct()
+
+
+def masked(numbers: DataFrame, number: str, masks: DataFrame, also: Column | None = None) -> DataFrame:
+    """The number, and k: it with the digits hidden that a mask of its length hides, and what ``also`` lists, each once.
+
+    There are as many masks as ways to hide digits, however many patterns; up to ``LISTED`` of them are part of the
+    expression, so that no join deals the numbers out by their length. More of them go to the numbers by such a join.
+    """
+    hide = lambda m: F.concat_ws("", F.zip_with(F.split(m, ""), F.split(number, ""), lambda c, x: F.when(c == "?", "?").otherwise(x)))
+    more = F.array().cast("array<string>") if also is None else also
+    known = [r["mask"] for r in masks.limit(LISTED + 1).collect()]
+    if len(known) <= LISTED:
+        fitting = F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda m: F.length(m) == F.length(number))
+        return numbers.select(number, F.explode(F.array_distinct(F.concat(more, F.transform(fitting, hide)))).alias("k"))
+    by_mask = numbers.join(masks, F.length("mask") == F.length(number)).select(number, hide(F.col("mask")).alias("k"))
+    return by_mask.unionByName(numbers.select(number, F.explode(more).alias("k"))).distinct()
+
+
 def complete_patterns(patterns: DataFrame, known: DataFrame, pattern: str, number: str) -> DataFrame:
     """Pairs of a pattern with hidden digits and a number that it fits, joined on length and what is not hidden.
 
     The numbers' digits at the pattern's places that are not hidden make the key, once for each mask that occurs.
     """
     p = patterns.select(pattern).distinct()
-    mask = F.concat_ws("", F.transform(F.split(pattern, ""), lambda c: F.when(c == "?", "?").otherwise("x")))
-    p = p.withColumn("mask", mask)
-    n = known.select(number).distinct().join(p.select("mask").distinct(), F.length("mask") == F.length(number))
-    masked = F.concat_ws("", F.zip_with(F.split("mask", ""), F.split(number, ""), lambda m, d: F.when(m == "?", "?").otherwise(d)))
-    return p.join(n.withColumn("k", masked), (F.col(pattern) == F.col("k")) & (p.mask == n.mask)).select(pattern, number)
+    return p.join(masked(known.select(number).distinct(), number, masks_of(p, pattern)), F.col(pattern) == F.col("k")).select(pattern, number)

@@ -19,11 +19,12 @@ from stridemark.functions.geometry import box, box_key, clean_boxes, quarters
 from stridemark.operators import bursts
 from stridemark.operators.evidence import nothing
 from stridemark.operators.merge import latest_good
-from stridemark.sources.sinks import append
+from stridemark.sources.logs import append, follow_log
 
 SEEN = "struct<bibs: array<struct<box: array<double>, number: string, legibility: string, cut: string>>>"
 LOOK = "struct<is_bib: boolean, number: string, legibility: string, cut: string>"
 LOG = "photo string, key string, reply string, error string, seq bigint"
+REQUESTS = "chunk string, custom_id string, photo string, key string, step string, request string, attempt int, at timestamp"
 Reader = Callable[[DataFrame], DataFrame]
 
 
@@ -121,31 +122,82 @@ class Batches:
     submit(chunk) hands the requests of a chunk to a service, once. collect(replies) takes what has come (custom_id,
     reply, error) and gives the reader's rows of chunks that are not done; a reply to a request that nobody waits for
     any more is left out.
+
+    ``settled`` joins the requests, as they are registered, with a stream of replies: a request that has no reply in
+    time comes out without one, and ``ask_again`` registers it once more under another name, ``attempts`` times in all.
+    A reply that comes after that belongs to nobody. now: microseconds of the time that replays of old streams go by.
     """
 
-    def __init__(self, spark: SparkSession, root: str, most: int = 2000, most_bytes: int = 150_000_000) -> None:
-        self.spark, self.root, self.most, self.most_bytes = spark, root, most, most_bytes
+    def __init__(self, spark: SparkSession, root: str, most: int = 2000, most_bytes: int = 150_000_000, attempts: int = 2, now: Callable[[], int] | None = None) -> None:
+        self.spark, self.root, self.most, self.most_bytes, self.attempts = spark, root, most, most_bytes, attempts
+        self.now = now or (lambda: spark.sql("SELECT unix_micros(current_timestamp())").first()[0])
 
     def requests(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/requests")
-        schema = "chunk string, custom_id string, photo string, key string, step string, request string"
         if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(f"{self.root}/requests").drop("batch")
+            return self.spark.createDataFrame([], REQUESTS)
+        return self.spark.read.schema(REQUESTS).json(f"{self.root}/requests").drop("batch")
 
-    def submit(self, jobs: DataFrame) -> DataFrame:
-        """The newly registered requests (photo, key, step, request), in chunks of so many rows and bytes at most."""
+    def _register(self, rows: DataFrame) -> DataFrame:
+        """Add requests (photo, key, step, request, attempt) in chunks of so many rows and bytes at most; those added."""
         from stridemark.operators.windows import byte_chunks, chunks
 
-        fresh = jobs.join(self.requests().select("step", "key"), ["step", "key"], "left_anti").withColumn("size", F.octet_length("request")).withColumn("order", F.xxhash64("key"))
+        fresh = rows.withColumn("size", F.octet_length("request")).withColumn("order", F.xxhash64("key"))
         cut = byte_chunks(chunks(fresh, "step", "order", self.most).withColumnRenamed("chunk", "rows"), "step", ["rows", "order", "key"], "size", self.most_bytes)
-        run = self.spark.sql("SELECT unix_micros(current_timestamp())").first()[0]
-        rows = cut.select(F.concat_ws("-", "step", F.lit(run), "rows", "chunk").alias("chunk"), F.concat(F.lit("r"), F.sha1("key")).alias("custom_id"), "photo", "key", "step", "request")
+        run = self.now()
+        name = F.concat(F.lit("r"), F.sha1("key"), F.when(F.col("attempt") > 1, F.concat(F.lit("-"), "attempt")).otherwise(""))
+        named = cut.select(F.concat_ws("-", "step", F.lit(run), "rows", "chunk").alias("chunk"), name.alias("custom_id"), "photo", "key", "step", "request", "attempt", F.timestamp_micros(F.lit(run)).alias("at"))
         before = self.requests().select("chunk").distinct()
-        append(rows, f"{self.root}/requests")
+        append(named, f"{self.root}/requests")
         return self.requests().join(before, "chunk", "left_anti")
 
+    def submit(self, jobs: DataFrame) -> DataFrame:
+        """The newly registered requests (photo, key, step, request); what was ever registered isn't again."""
+        fresh = jobs.join(self.requests().select("step", "key"), ["step", "key"], "left_anti")
+        return self._register(fresh.withColumn("attempt", F.lit(1)))
+
     def collect(self, replies: DataFrame, done: DataFrame) -> DataFrame:
         """photo, key, reply and error of replies to registered requests that the log (key) has no good row for."""
         known = self.requests().select("custom_id", "photo", "key").distinct().join(done.select("key"), "key", "left_anti")
         return replies.join(known, "custom_id").select("photo", "key", "reply", "error")
+
+    def settled(self, replies: DataFrame, patience: str = "24 hours", late: str = "10 minutes", clock: DataFrame | None = None) -> DataFrame:
+        """Requests with their reply, or without one when it hasn't come in time, each once; a stream.
+
+        replies: a stream (custom_id, reply, error, at). A reply is in time up to ``patience`` after the request; event
+        time is both streams', so that ``clock``, a stream (at), lets it go on where neither has anything new.
+        """
+        asked = follow_log(self.spark, f"{self.root}/requests", REQUESTS).drop("seq")
+        if clock is not None:
+            # Its rows have names of their own, of their time: Spark would take rows without a name, or with one that can't
+            # match, away before it looks at their time.
+            named = lambda prefix: clock.select("at", F.concat(F.lit(prefix), F.unix_micros("at")).alias("custom_id"))
+            asked = asked.unionByName(named("tick"), allowMissingColumns=True)
+            replies = replies.unionByName(named("tock"), allowMissingColumns=True)
+        asked = asked.withWatermark("at", late)
+        came = replies.select(F.col("custom_id").alias("to"), "reply", "error", F.col("at").alias("came_at")).withWatermark("came_at", late)
+        in_time = F.expr(f"custom_id = to AND came_at >= at AND came_at <= at + INTERVAL {patience}")
+        both = asked.join(came, in_time, "left_outer").filter("custom_id NOT LIKE 'tick%' OR at < TIMESTAMP '1900-01-01'")  # of the time too, for the same reason
+        return both.select("custom_id", "photo", "key", "step", "request", "attempt", "reply", "error", F.col("to").isNull().alias("timed_out"))
+
+    def ask_again(self, settled: DataFrame) -> DataFrame:
+        """The requests that are registered once more, of a batch of those that timed out; a batch done again adds none."""
+        lost = settled.filter("timed_out").filter(F.col("attempt") < self.attempts).withColumn("attempt", F.col("attempt") + 1)
+        fresh = lost.join(self.requests().select("step", "key", "attempt"), ["step", "key", "attempt"], "left_anti")
+        return self._register(fresh.select("photo", "key", "step", "request", "attempt"))
+
+    def run(self, replies: DataFrame, checkpoint: str, sink: Callable[[DataFrame], None], **times):
+        """Go through what is new: sink gets rows (photo, key, reply, error) of replies, the rest is asked again or given up.
+
+        A request that is given up reaches the sink with the error ``no reply``.
+        """
+
+        def step(batch: DataFrame, number: int) -> None:
+            rows = batch.persist()
+            given_up = F.col("timed_out") & (F.col("attempt") >= self.attempts)
+            sink(rows.filter(~F.col("timed_out") | given_up).select("photo", "key", "reply", F.when(given_up, "no reply").otherwise(F.col("error")).alias("error")))
+            if not rows.filter("timed_out").isEmpty():
+                self.ask_again(rows)
+            rows.unpersist()
+
+        return self.settled(replies, **times).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -69,20 +69,39 @@ def test_detectors(spark):
     assert plugins.Whole(lambda p: (4, 3)).detect(b"") == [(0.0, 0.0, 4.0, 3.0, 1.0)]
 
 
-def test_quota_over_chunks(spark, tmp_path):
-    """A session's requests come in several Arrow chunks that aren't in order."""
+def test_a_request_without_a_reply_is_asked_again_once(spark, tmp_path):
     import datetime
 
-    from stridemark.streaming import quota
-
-    t0 = datetime.datetime(2025, 1, 1)
-    rows = [("s", f"v{i}", t0 + datetime.timedelta(seconds=i)) for i in range(40)]
-    spark.createDataFrame(rows[::-1], "session string, value string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    seen = []
-    try:
-        stream = spark.readStream.schema("session string, value string, ts timestamp").parquet(str(tmp_path / "in"))
-        quota.run_incrementally(quota.session_quota(stream, most=10), str(tmp_path / "ck"), lambda df, _: seen.extend(df.collect())).awaitTermination(120)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(r["value"] for r in seen if r["allowed"]) == sorted(f"v{i}" for i in range(10)) and len(seen) == 40
+    from stridemark.sources import logs
+
+    t0, replies, ticks, out = datetime.datetime(2025, 1, 1, tzinfo=datetime.UTC), str(tmp_path / "replies"), str(tmp_path / "clock"), []
+    hand = [0]
+    batches = Batches(spark, str(tmp_path / "b"), now=lambda: int(after(hand[0]).timestamp()) * 1_000_000)
+    after = lambda minutes: t0 + datetime.timedelta(minutes=minutes)
+    came, tick = "custom_id string, reply string, error string, at timestamp", "at timestamp"
+    logs.append(spark.createDataFrame([], came), replies)
+    names = {r["key"]: r["custom_id"] for r in batches.submit(spark.createDataFrame([("p1", "k1", "zoom", "{}"), ("p2", "k2", "zoom", "{}")], "photo string, key string, step string, request string")).collect()}
+    first = lambda name: spark.createDataFrame([name], came)
+
+    def run(minutes):
+        for step in (0, 1):  # event time moves between batches
+            hand[0] = minutes + step
+            logs.append(spark.createDataFrame([(after(minutes + step),)], tick), ticks)
+            clock = logs.follow_log(spark, ticks, tick).drop("seq")
+            stream = logs.follow_log(spark, replies, came).drop("seq")
+            batches.run(stream, str(tmp_path / "at"), lambda rows: out.extend(map(tuple, rows.collect())), patience="60 minutes", late="1 minute", clock=clock).awaitTermination(120)
+
+    logs.append(first((names["k1"], "yes", None, after(5))), replies)
+    run(10)
+    assert out == [("p1", "k1", "yes", None)] and batches.requests().count() == 2
+    run(100)  # k2's time is over
+    asked = batches.requests().filter("attempt = 2").collect()
+    assert [r["key"] for r in asked] == ["k2"] and asked[0]["custom_id"] == names["k2"] + "-2" and len(out) == 1
+    logs.append(first((names["k2"], "too late", None, after(101))), replies)
+    run(102)
+    assert len(out) == 1 and batches.requests().count() == 3
+    run(400)  # the second attempt has no reply either: given up, and never asked a third time
+    run(800)
+    assert out[1:] == [("p2", "k2", None, "no reply")] and batches.requests().count() == 3
+    again = spark.createDataFrame([("p2", "k2", "zoom", "{}")], "photo string, key string, step string, request string")
+    assert batches.submit(again).count() == 0
