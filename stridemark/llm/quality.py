@@ -133,7 +133,8 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2048,
 
 
 def judged(docs: DataFrame, rules: Iterable[Rule], always: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """``doc``, the input's row as a struct, ``failed``, the first of the rules that rejects it or null, and features.
+    """``doc``, the input's row as a struct, ``failed``, the first of the rules that rejects it or null, and the numbers
+    among the features.
 
     Those in ``always`` are computed of every document; others are null where no rule needed them.
     """
@@ -143,7 +144,9 @@ def judged(docs: DataFrame, rules: Iterable[Rule], always: tuple[str, ...] = (),
         alive = F.col("failed").isNull()
         rows = _with(rows, r.needs, alive)
         rows = rows.withColumn("failed", F.when(alive, F.when(F.expr(r.rejects), F.lit(r.name))).otherwise(F.col("failed")))
-    return rows
+    numbers = [c for c, kind in rows.dtypes if kind == "bigint" and c != "doc"]
+    # A filter on ``failed`` must not be pushed through the steps: each names the one before twice, so that it would double.
+    return rows.select("doc", F.explode(F.array(F.struct("failed", *numbers))).alias("x")).select("doc", "x.*")
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: int = 2048) -> DataFrame:
