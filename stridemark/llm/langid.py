@@ -134,7 +134,9 @@ def fit(labelled: DataFrame, dims: int = 4096, centroids: int = 4, per_language:
             found = [vectors.counts(t) for t in texts]
             yield pd.Series([None if v is None else zlib.compress(v.astype(np.uint32).tobytes(), 1) for v in found], dtype=object)
 
-    got = chosen.select("lang", "__u", "doc_id", counted("text").alias("v")).filter("v IS NOT NULL").orderBy("lang", "__u", "doc_id").collect()
+    # A filter or an order by Spark would count every text two and four times; these are about ``sample`` rows.
+    got = chosen.select("lang", "__u", "doc_id", counted("text").alias("v")).collect()
+    got = sorted((r for r in got if r["v"] is not None), key=lambda r: (r["lang"], r["__u"], r["doc_id"] is not None, r["doc_id"] or 0))
     if not got:
         return empty
     x = np.log1p(np.stack([np.frombuffer(zlib.decompress(r["v"]), np.uint32) for r in got]).astype(np.float32))
