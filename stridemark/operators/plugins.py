@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stridemark.functions.geometry import merged_detections, moved, quarters, torso
+
 
 class Recogniser(Protocol):
     def read_batch(self, crops: list[bytes]) -> list[list[tuple[str, float]]]:
@@ -20,6 +22,7 @@ class Detector(Protocol):
         """x0, y0, x1, y1 and confidence of each box."""
 
 
+Cropper = Callable[[bytes, tuple[float, float, float, float]], bytes]
 _RECOGNISERS: dict[str, Callable[[], Recogniser]] = {}
 
 
@@ -56,8 +59,8 @@ def recognise(crops: DataFrame, content: str, factory: Callable[[], Recogniser],
     return crops.withColumn("__r", read(F.col(content))).withColumn(into, F.col("__r.reads")).withColumn("error", F.col("__r.error")).drop("__r")
 
 
-def detect(photos: DataFrame, content: str, factory: Callable[[], Detector], into: str = "boxes") -> DataFrame:
-    """The rows with boxes (array of conf and box) and error; a photo that fails gives an error, never fails the task."""
+def boxes_of(content: Column, factory: Callable[[], Detector]) -> Column:
+    """boxes (array of conf and box) and error of pictures; one that fails gives an error, and never fails the task."""
 
     @F.pandas_udf("boxes array<struct<conf:double,box:struct<x0:double,y0:double,x1:double,y1:double>>>, error string")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -73,61 +76,71 @@ def detect(photos: DataFrame, content: str, factory: Callable[[], Detector], int
                     errors.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({"boxes": pd.Series(boxes, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    kept = [F.col(f"`{c}`") for c in photos.columns if c not in (into, "error")]
-    return photos.withColumn("__d", find(F.col(content))).select(*kept, F.col("__d.boxes").alias(into), F.col("__d.error").alias("error"))
+    return find(content)
 
 
-class Whole:
-    """A detector that takes the whole photo for the bib; ``size`` gives a photo's width and height."""
+def cut_out(content: Column, tile: Column, factory: Callable[[], Cropper]) -> Column:
+    """The part of a picture that a box has, as a picture; null where that fails."""
 
-    def __init__(self, size: Callable[[bytes], tuple[float, float]]) -> None:
-        self.size = size
+    @F.pandas_udf("binary")
+    def cut(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        crop = factory()
+        for photos, tiles in batches:
+            out = []
+            for photo, at in zip(photos, tiles[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None), strict=True):
+                try:
+                    out.append(crop(photo, at))
+                except Exception:  # the whole photo's detector says what is wrong with it
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
 
-    def detect(self, photo: bytes) -> list[tuple[float, float, float, float, float]]:
-        return [(0.0, 0.0, *map(float, self.size(photo)), 1.0)]
+    return cut(content, tile)
 
 
-class Union:
-    """What several detectors find, overlapping boxes once, the surest first.
+def _put(boxes: Column, tile: Column) -> Column:
+    """Boxes found in a tile, where they are in the picture."""
+    return F.transform(boxes, lambda b: b.withField("box", moved(b["box"], tile["x0"], tile["y0"])))
 
-    With a cropper, ``crop(photo, box)`` to bytes, every detector also looks at four overlapping quarters.
-    """
 
-    def __init__(self, parts: list[Detector], size: Callable[[bytes], tuple[float, float]] | None = None, crop: Callable[[bytes, tuple], bytes] | None = None, share: float = 0.58, least: float = 0.5) -> None:
-        self.parts, self.size, self.crop, self.share, self.least = parts, size, crop, share, least
+def detect(photos: DataFrame, content: str, factory: Callable[[], Detector], into: str = "boxes") -> DataFrame:
+    """The rows with boxes (array of conf and box) and error; a photo that fails gives an error, never fails the task."""
+    return detect_all(photos, content, [factory], into=into, least=None)
 
-    def detect(self, photo: bytes) -> list[tuple[float, float, float, float, float]]:
-        found = [b for p in self.parts for b in p.detect(photo)]
-        if self.crop is not None:
-            w, h = self.size(photo)
-            tw, th = int(w * self.share), int(h * self.share)
-            for x, y in {(x, y) for x in (0, w - tw) for y in (0, h - th)}:
-                tile = self.crop(photo, (x, y, x + tw, y + th))
-                found += [(a + x, b + y, c + x, d + y, conf) for p in self.parts for a, b, c, d, conf in p.detect(tile)]
-        kept: list[tuple] = []
-        for b in sorted(found, key=lambda b: -b[4]):
-            if all(_overlap(b, k) < self.least for k in kept):
-                kept.append(b)
-        return kept
 
+def detect_all(photos: DataFrame, content: str, factories: list[Callable[[], Detector]], crop: Callable[[], Cropper] | None = None, into: str = "boxes", least: float | None = 0.5) -> DataFrame:
+    """As ``detect``, of several detectors; of boxes that overlap by ``least`` the surest.
 
-def _overlap(a: tuple, b: tuple) -> float:
-    shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    joint = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
-    return shared / joint if joint > 0 else 0.0
+    With a cropper every detector also looks at the photo's quarters (columns width and height), each a column of the
+    row, so that nothing is shuffled; their boxes are moved to where the quarter is.
+    """
+    tiles = quarters(F.col("width"), F.col("height")) if crop else None
+    views = [(F.col(content), None)] + [(cut_out(F.col(content), tiles[i], crop), tiles[i]) for i in range(4 if crop else 0)]
+    kept = [F.col(f"`{c}`") for c in photos.columns if c not in (into, "error")]
+    rows, found, errors = photos, [], []
+    for v, (picture, tile) in enumerate(views):
+        rows = rows.withColumn(f"__view{v}", picture)
+        for k, factory in enumerate(factories):
+            rows = rows.withColumn(f"__found{v}_{k}", boxes_of(F.col(f"__view{v}"), factory))
+            at = F.col(f"__found{v}_{k}.boxes")
+            found.append(at if tile is None else _put(at, tile))
+            errors.append(F.col(f"__found{v}_{k}.error"))
+    boxes = F.concat(*found) if least is None else merged_detections(found, least)
+    return rows.select(*kept, boxes.alias(into), F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(*errors))), "; "), F.lit("")).alias("error"))
 
 
-class Torso:
-    """Where the persons that another detector finds have their bibs."""
+def of_persons(boxes: Column) -> Column:
+    """Where the persons that a detector has found have their bibs."""
+    return F.transform(boxes, lambda b: b.withField("box", torso(b["box"])))
 
-    #: From 15 % in from either side, from 30 to 65 % of the height.
-    SIDE, TOP, BOTTOM = 0.15, 0.30, 0.65
 
-    def __init__(self, persons: Detector) -> None:
-        self.persons = persons
+class Whole:
+    """A detector that takes the whole photo for the bib; ``size`` gives a photo's width and height."""
+
+    def __init__(self, size: Callable[[bytes], tuple[float, float]]) -> None:
+        self.size = size
 
     def detect(self, photo: bytes) -> list[tuple[float, float, float, float, float]]:
-        return [(x0 + self.SIDE * (x1 - x0), y0 + self.TOP * (y1 - y0), x1 - self.SIDE * (x1 - x0), y0 + self.BOTTOM * (y1 - y0), conf) for x0, y0, x1, y1, conf in self.persons.detect(photo)]
+        return [(0.0, 0.0, *map(float, self.size(photo)), 1.0)]
 
 
 class Fixed:

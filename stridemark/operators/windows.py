@@ -72,14 +72,29 @@ def numbered_after(old: DataFrame, new: DataFrame, key: str, order: list) -> Dat
     return old.unionByName(numbered(known, key, order, F.col("__top")).drop("__key", "__top"))
 
 
+def places_of_all(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``place`` from 1 in an order of all, by columns of any types that sort.
+
+    Spark's ranges of the order are numbered each by itself, from the number of rows in the ranges before; a table in
+    between keeps every row in its range. The driver has one number a range; no task has all rows.
+    """
+    from stridemark.sources.sinks import staged
+
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    before, at = {}, 0
+    for k in sorted(counts):
+        before[k], at = at, at + counts[k]
+    starts = F.create_map(*[F.lit(v) for k in sorted(before) for v in (k, before[k])]) if before else F.lit(None).cast("map<int,int>")
+    w = Window.partitionBy("__range").orderBy(*order)
+    return ranged.withColumn("place", starts[F.col("__range")] + F.row_number().over(w)).drop("__range")
+
+
 def natural_places(rows: DataFrame, name: Column, key: str) -> DataFrame:
-    """The rows with ``place`` in the natural order of all, then by key. The window without a partition has a row a name."""
-    named = rows.withColumn("__k", natural_key(name))
-    sizes = named.groupBy("__k").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col("__k").alias("__j"), F.coalesce(before, F.lit(0)).alias("__before"))
-    ranked = named.withColumn("__i", F.row_number().over(Window.partitionBy("__k").orderBy(key)))
-    return ranked.join(starts, F.col("__k").eqNullSafe(F.col("__j"))).withColumn("place", F.col("__before") + F.col("__i")).drop("__k", "__j", "__i", "__before")
+    """The rows with ``place`` in the natural order of all, then by key."""
+    return places_of_all(rows.withColumn("__k", natural_key(name)), ["__k", key]).drop("__k")
 
 
 def shot_order(photos: DataFrame, folder: str, shot: str, name_key: Column) -> DataFrame:

@@ -154,13 +154,15 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
 def captured_at(content: Column, zone: str) -> Column:
     """The earliest time in a photo's EXIF block from 2000 on, as UTC; an offset written with it counts, else the zone.
 
-    The block, which the format keeps within 64 KB, begins where its header is, wherever that is; without a header the
-    whole content is looked through. Stamps that are no time, such as month 13, are left out before the earliest is
+    The block begins where its header is, wherever that is, and is as long as a JPEG's segment says; in other formats
+    all that follows is looked through, and without a header the whole content. Stamps that are no time, such as month 13, are left out before the earliest is
     taken.
     """
     whole = F.decode(content, "ISO-8859-1")
     head = F.locate("Exif\x00\x00", whole)
-    raw = F.when(head > 0, F.substring(whole, head, F.lit(1 << 16))).otherwise(whole)
+    code = lambda back: F.ascii(F.substring(whole, head - back, F.lit(1)))
+    segment = (code(4) == 0xFF) & (code(3) == 0xE1)  # its length counts its own two bytes, just before the header
+    raw = F.when(head == 0, whole).when((head > 4) & segment, F.substring(whole, head, code(2) * 256 + code(1) - 2)).otherwise(F.substring(whole, head, F.length(whole)))
     stamps = F.transform(F.regexp_extract_all(raw, F.lit(r"([0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})"), F.lit(1)), lambda x: F.try_to_timestamp(x, F.lit("yyyy:MM:dd HH:mm:ss")))
     offset = F.nullif(F.regexp_extract(raw, r"\x00([+-][0-9]{2}:[0-9]{2})\x00", 1), F.lit(""))
     return F.to_utc_timestamp(F.array_min(F.filter(stamps, lambda x: F.year(x) >= 2000)), F.coalesce(offset, F.lit(zone)))

@@ -88,9 +88,12 @@ def test_times_in_photos(spark):
         ("old", b"1999:05:06 07:08:09\x00 2024:05:06 07:08:09\x00"),
         ("offset", b"2024:05:06 07:08:09\x00+05:00\x00"),
         ("none", b"nothing"),
+        ("long block", b"RIFF....EXIF" + b"Exif\x00\x00" + b"x" * 200_000 + b"2024:05:06 07:08:09\x00"),
+        ("beyond the segment", b"\xff\xd8\xff\xe1" + struct.pack(">H", 48) + b"Exif\x00\x00" + b"2024:05:06 07:08:09\x00".ljust(40, b"\x00") + b"2001:01:01 00:00:00\x00"),
     ]
     df = spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "name string, content binary")
     got = {r["name"]: str(r["t"]) for r in df.select("name", files.captured_at(df["content"], "Europe/Zagreb").alias("t")).collect()}
+    assert got.pop("long block") == got.pop("beyond the segment") == "2024-05-06 05:08:09"
     assert got == {"late": "2024-05-06 05:08:09", "bad first": "2024-05-06 05:08:09", "old": "2024-05-06 05:08:09", "offset": "2024-05-06 02:08:09", "none": "None"}
     shots = spark.createDataFrame([(1, bytearray(b"\xff\xd8" + exif())), (2, bytearray(exif(order=">", thousandths=b"7\x00"))), (3, bytearray(b"II*")), (4, None)], "id int, content binary")
     assert {r["id"]: r["t"] for r in shots.select("id", files.shot_time("content").alias("t")).collect()} == {1: "2024:05:06 07:08:09.025", 2: "2024:05:06 07:08:09.007", 3: None, 4: None}

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import json
 
 from stridemark.operators import plugins
@@ -59,13 +60,22 @@ def test_batches_are_registered_once(spark, tmp_path):
 def test_detectors(spark):
     a, b = plugins.Fixed({b"1": [(0, 0, 10, 10, 0.9)], b"2": []}), plugins.Fixed({b"1": [(0, 0, 10, 11, 0.8), (50, 0, 60, 10, 0.3)], b"2": [(1, 1, 2, 2, 0.5)]})
     photos = spark.createDataFrame([(1, bytearray(b"1")), (2, bytearray(b"2")), (3, bytearray(b"broken"))], "id int, content binary")
-    got = {r["id"]: (r["boxes"], r["error"]) for r in plugins.detect(photos, "content", lambda: plugins.Union([a, b])).collect()}
+    photos = photos.withColumn("width", F.lit(100)).withColumn("height", F.lit(100))
+    got = {r["id"]: (r["boxes"], r["error"]) for r in plugins.detect_all(photos, "content", [lambda: a, lambda: b]).collect()}
     assert [x["conf"] for x in got[1][0]] == [0.9, 0.3] and got[1][1] is None
     assert len(got[2][0]) == 1 and got[3][0] == [] and got[3][1].startswith("KeyError")
-    tiles = plugins.Union([plugins.Fixed({b"1": [], b"t": [(0, 0, 5, 5, 0.7)]})], size=lambda p: (100, 100), crop=lambda p, box: b"t")
-    assert sorted(x[:2] for x in tiles.detect(b"1")) == [(0, 0), (0, 43), (43, 0), (43, 43)]
-    torso = plugins.Torso(plugins.Fixed({b"1": [(0.0, 0.0, 100.0, 200.0, 0.6)]}))
-    assert torso.detect(b"1") == [(15.0, 60.0, 85.0, 130.0, 0.6)]
+    alone = {r["id"]: len(r["boxes"]) for r in plugins.detect(photos, "content", lambda: b).collect()}
+    assert alone == {1: 2, 2: 1, 3: 0}
+
+    def cut(photo, tile):
+        return b"t" if photo == b"1" else photo
+
+    tiled = plugins.detect_all(photos, "content", [lambda: plugins.Fixed({b"1": [], b"2": [], b"t": [(0, 0, 5, 5, 0.7)]})], crop=lambda: cut)
+    assert "Exchange" not in tiled._jdf.queryExecution().executedPlan().toString()
+    boxes = {r["id"]: sorted((x["box"]["x0"], x["box"]["y0"]) for x in r["boxes"]) for r in tiled.collect()}
+    assert boxes == {1: [(0, 0), (0, 43), (43, 0), (43, 43)], 2: [], 3: []}
+    person = plugins.detect(photos.limit(1), "content", lambda: plugins.Fixed({b"1": [(0.0, 0.0, 100.0, 200.0, 0.6)]}))
+    assert [(x["conf"], *x["box"]) for x in person.select(plugins.of_persons(F.col("boxes")).alias("b")).first()["b"]] == [(0.6, 15.0, 60.0, 85.0, 130.0)]
     assert plugins.Whole(lambda p: (4, 3)).detect(b"") == [(0.0, 0.0, 4.0, 3.0, 1.0)]
 
 

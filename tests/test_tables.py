@@ -111,3 +111,15 @@ def test_takedowns(spark):
     runners = spark.createDataFrame([(1, "7"), (1, "8"), (2, "7")], "event_id int, bib string")
     left, reads = pub.take_down_runner(runners, photos, reads, spark.createDataFrame([(1, "#7")], "event_id int, bib string"))
     assert rows(left) == [(1, "8"), (2, "7")] and rows(reads) == [(2, "8"), (3, "7")]
+
+
+def test_places_of_all(spark):
+    from stridemark.functions.text import natural_key
+
+    names = [f"IMG_{i % 70}-{i}.jpg" for i in range(500)] + [None, None, "", "img_7", "IMG_07"]
+    frame = spark.createDataFrame(list(enumerate(names)), "k int, name string").repartition(5)
+    got = windows.natural_places(frame, F.col("name"), "k")
+    want = [r["k"] for r in frame.withColumn("n", natural_key(F.col("name"))).orderBy("n", "k").collect()]
+    assert [r["k"] for r in got.orderBy("place").collect()] == want and sorted(r["place"] for r in got.collect()) == list(range(1, 506))
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert windows.natural_places(frame.limit(0), F.col("name"), "k").count() == 0
