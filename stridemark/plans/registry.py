@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("matching", "parsing", "evidence", "reports", "tables", "publishing", "changes", "rows")
+MODULES = ("matching", "parsing", "evidence", "reports", "tables", "publishing", "changes", "rows", "inputs")
 
 
 def query(sql: str | None = None):
