@@ -85,8 +85,11 @@ def take_down_photo(photos: DataFrame, detections: DataFrame, event_id, file_nam
 def take_down_runner(runners: DataFrame, photos: DataFrame, detections: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runners and reads without those asked for (event_id, bib) and without all reads of their bibs in their events.
 
-    Reads go whether or not the bib has a runner.
+    Reads go whether or not the bib has a runner. Photos are met by the reads of a bib that is asked for: by event alone
+    each of its photos would meet each of its bibs.
     """
     keys = asked.select("event_id", F.regexp_replace("bib", "[^0-9]", "").alias("bib")).distinct()
-    theirs = photos.select("photo_id", "event_id").join(keys, "event_id").select("photo_id", F.col("bib").alias("bib_text"))
+    named = keys.withColumnRenamed("bib", "bib_text")
+    read = detections.select("photo_id", "bib_text").join(named.select("bib_text").distinct(), "bib_text", "left_semi")
+    theirs = read.join(photos.select("photo_id", "event_id"), "photo_id").join(named, ["event_id", "bib_text"], "left_semi").select("photo_id", "bib_text")
     return runners.join(keys, ["event_id", "bib"], "left_anti"), detections.join(theirs, ["photo_id", "bib_text"], "left_anti")

@@ -194,12 +194,18 @@ def gallery_labels(spark, d):
     return pub.gallery_labels(rows, "UTC", "https://store/previews/").select("photo_id", "src", "thumb", "clock", "hint", "dims", "ratio")
 
 
+def _taken_down(spark, d):
+    """Runners without a club's, and reads without those of their bibs and of 1600, whose runner, if any, stays."""
+    r, p, x = runners(spark, d), photos(spark, d), detections(spark, d)
+    club = r.filter("club = 'BUILDING'").select("event_id", "bib")
+    more = club.unionByName(spark.createDataFrame([(1, "No. 1600")], "event_id int, bib string"))
+    return pub.take_down_runner(r, p, x, club)[0], pub.take_down_runner(r, p, x, more)[1]
+
+
 @query(HEAD + "SELECT (SELECT count(*) FROM runners WHERE club <> 'BUILDING') AS runners, (SELECT count(*) FROM detections WHERE bib_text NOT IN (SELECT bib FROM runners WHERE club = 'BUILDING') AND bib_text <> '1600') AS reads")
 def takedown_runners(spark, d):
-    """Without the runners of a club and all reads of their bibs, and of a bib that nobody has."""
-    r, p, x = runners(spark, d), photos(spark, d), detections(spark, d)
-    asked = r.filter("club = 'BUILDING'").select("event_id", "bib").unionByName(spark.createDataFrame([(1, "No. 1600")], "event_id int, bib string"))
-    left, reads = pub.take_down_runner(r, p, x, asked)
+    """Without the runners of a club and all reads of their bibs, and without the reads of one bib more."""
+    left, reads = _taken_down(spark, d)
     return left.agg(F.count("*").alias("runners")).crossJoin(reads.agg(F.count("*").alias("reads")))  # one row each
 
 

@@ -1,9 +1,13 @@
 import datetime
 
+import duckdb
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from stridemark.operators import incremental, merge, plugins, windows
+from stridemark.operators import publishing as pub
+from stridemark.plans import registry
 
 
 def rows(df, *columns):
@@ -102,8 +106,6 @@ def test_places_without_a_task_for_a_key(spark):
 
 
 def test_takedowns(spark):
-    from stridemark.operators import publishing as pub
-
     photos = spark.createDataFrame([(1, 1, "a", "/media/p", "/media/t"), (2, 1, "b", None, "x"), (3, 2, "a", "/media/q", None)], "photo_id int, event_id int, file_name string, preview_path string, thumb_path string")
     reads = spark.createDataFrame([(1, "7"), (2, "7"), (3, "7"), (2, "8")], "photo_id int, bib_text string")
     kept, left, paths = pub.take_down_photo(photos, reads, 1, "a")
@@ -123,3 +125,30 @@ def test_places_of_all(spark):
     assert [r["k"] for r in got.orderBy("place").collect()] == want and sorted(r["place"] for r in got.collect()) == list(range(1, 506))
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert windows.natural_places(frame.limit(0), F.col("name"), "k").count() == 0
+
+
+def test_takedowns_meet_photos_by_reads(spark):
+    asked = spark.createDataFrame([(1, "No. 7")], "event_id int, bib string")
+    runners = spark.createDataFrame([(1, "7"), (1, "8"), (2, "7")], "event_id int, bib string")
+    photos = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (3, 2)], "photo_id int, event_id int")
+    reads = spark.createDataFrame([(1, "7"), (1, "8"), (2, "7"), (3, "7"), (9, "7"), (None, "7"), (1, None)], "photo_id int, bib_text string")
+    left, kept = pub.take_down_runner(runners, photos, reads, asked)
+    assert {tuple(r) for r in left.collect()} == {(1, "8"), (2, "7")}
+    assert sorted(kept.collect(), key=str) == sorted([(1, "8"), (3, "7"), (9, "7"), (None, "7"), (1, None)], key=str)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("bib_text" in j or "photo_id" in j for j in joins)  # an event's photos don't meet its bibs
+
+
+@pytest.mark.parametrize("name", ["takedown_rows", "takedown_runners"])
+def test_takedowns_of_a_bib_that_someone_has(spark, tmp_path, name):
+    db = duckdb.connect()
+    for t in ("nation", "orders", "lineitem"):
+        db.sql(f"COPY (FROM '{SMALL}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    db.sql(f"COPY (FROM '{SMALL}/customer.parquet' UNION ALL SELECT 1600, 'x', 1, 2.0, 'MACHINERY') TO '{tmp_path}/customer.parquet'")
+    for t in ("nation", "orders", "lineitem", "customer"):
+        db.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    got = registry.queries()[name](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    want = db.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
