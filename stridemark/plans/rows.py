@@ -10,7 +10,8 @@ from stridemark.operators import merge as mg
 from stridemark.operators import publishing as pub
 from stridemark.sources.files import inline
 
-from .adapters import HEAD, detections, events, photos, runners, table
+from .adapters import HEAD, detections, events, photos, table
+from .publishing import _taken_down
 from .registry import query
 
 GONE = "('p1.jpg', 'p2.jpg', 'p3.jpg', 'p1000.jpg', 'none.jpg')"
@@ -23,8 +24,7 @@ UNION ALL SELECT 'read', bib_text, photo_id, count(*) FROM detections WHERE bib_
 """)
 def takedown_rows(spark, d):
     """The runners and reads that stay after takedowns."""
-    asked = runners(spark, d).filter("club = 'BUILDING'").select("event_id", "bib").unionByName(spark.createDataFrame([(1, "No. 1600")], "event_id int, bib string"))
-    left, reads = pub.take_down_runner(runners(spark, d), photos(spark, d), detections(spark, d), asked)
+    left, reads = _taken_down(spark, d)
     kept = reads.groupBy(F.col("bib_text").alias("bib"), "photo_id").agg(F.count("*").alias("n"))
     return left.select(F.lit("runner").alias("kind"), "bib", F.lit(None).cast("bigint").alias("photo_id"), F.lit(1).cast("bigint").alias("n")).unionByName(kept.select(F.lit("read").alias("kind"), "bib", "photo_id", "n"))
 
