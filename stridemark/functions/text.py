@@ -29,9 +29,10 @@ COURSE_POINTS = [
 ]
 
 
-def only_digits(text: Column, most: int = 6) -> Column:
-    """ASCII digits, cut to a number of them; null gives an empty text."""
-    return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", ""), 1, most)
+def only_digits(text: Column, most: int | None = 6) -> Column:
+    """ASCII digits, cut to a number of them unless that is None; null gives an empty text."""
+    digits = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", "")
+    return digits if most is None else F.substring(digits, 1, most)
 
 
 def bare_number(text: Column) -> Column:
@@ -91,9 +92,9 @@ def one_hidden(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.lit("?"), F.substring(text, i + 1, F.length(text))))
 
 
-def split_bibs(text: Column) -> Column:
-    """Digits of each part of a list of bibs."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,;|\s]+"), lambda x: only_digits(x))
+def split_bibs(text: Column, most: int | None = 6) -> Column:
+    """Digits of each part of a list of bibs, cut to a number of them unless that is None."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,;|\s]+"), lambda x: only_digits(x, most))
     return F.filter(parts, lambda x: x != "")
 
 

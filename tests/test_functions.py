@@ -71,3 +71,12 @@ def test_boxes(spark, one):
     assert one(g.relative_box(g.box(10, 10, 30, 20), F.lit(100), F.lit(100))) == "0.200000 0.150000 0.200000 0.100000"
     boxes = F.array(*[F.struct(F.lit(c).alias("conf"), g.box(x, 0, x + 10, 10).alias("box")) for c, x in ((0.5, 0), (0.9, 1), (0.4, 30))])
     assert [k["conf"] for k in one(g.suppress(boxes))] == [0.9, 0.4]
+
+
+def test_numbers_of_lists_are_whole(spark, tmp_path):
+    from stridemark.plans import registry
+
+    rows = [(9, 1234567, 1234568, 7), (9, 12, 3, 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.queries()["split_bib_lists"](spark, str(tmp_path)).collect()
+    assert {r["bibs"] for r in got} == {"1234567/1234568/7", "12/3/1"}
