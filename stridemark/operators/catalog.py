@@ -1,7 +1,8 @@
 """The SQL surface: views with the published policy, and functions that answer a question, give a page, or a pace.
 
-The functions read a table of payloads (slug, bib, dob, payload), sorted by slug and bib, in which a question or a page
-is a few row groups; a filter on both reaches the scan, and a page is taken as the first rows in order. They run with
+The functions read a table of payloads (slug, bib, dob, payload), whose files are sorted by slug and bib, so that a
+question or a page is a small part of each; a filter on both reaches the scan, and a page is taken as the first rows in
+order. They run with
 the rights of who registers them: the private table has a view of its own, and nothing else shows it.
 """
 
@@ -14,14 +15,15 @@ from stridemark.operators.publishing import public_events, public_races
 
 PRIVATE = "stridemark_private_galleries"
 #: Reasons of refusals, roles that see only events that are searched, and sizes of pages.
-FUNCTIONS = f"""
+PLAIN_FUNCTIONS = """
 CREATE OR REPLACE TEMPORARY FUNCTION runner_clock(seconds BIGINT) RETURNS STRING
 RETURN format_string('%d:%02d:%02d', seconds div 3600, seconds div 60 % 60, seconds % 60);
 
 CREATE OR REPLACE TEMPORARY FUNCTION runner_pace(seconds BIGINT, km DOUBLE) RETURNS STRING
 RETURN CASE WHEN seconds IS NOT NULL AND km IS NOT NULL AND km <> 0
-  THEN format_string('%d:%02d', CAST(round(seconds / km) AS BIGINT) div 60 % 60, CAST(round(seconds / km) AS BIGINT) % 60) END;
-
+  THEN format_string('%d:%02d', CAST(round(seconds / km) AS BIGINT) div 60 % 60, CAST(round(seconds / km) AS BIGINT) % 60) END
+"""
+FUNCTIONS = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION runner_refusal(reason STRING) RETURNS STRING
 RETURN to_json(named_struct('ok', false, 'reason', reason));
 
@@ -42,19 +44,31 @@ RETURN SELECT bib, payload FROM (
 
 
 def write_galleries_table(payloads: DataFrame, events: DataFrame, runners: DataFrame, folder: str, block_bytes: int = 16 << 20) -> None:
-    """Keep the payloads (event_id, bib, payload) of published events as the functions read them."""
+    """Keep the payloads (event_id, bib, payload) of published events as the functions read them.
+
+    Payloads are long, so they are sorted where they are made and dealt out no more: each file has the bibs in order, by
+    which a page reads a few of its pages, and filters of its bibs, by which a question reads one row group of all.
+    """
     born = runners.select("event_id", "bib", "dob")
     rows = payloads.join(public_events(events).select("event_id", "slug"), "event_id").join(born, ["event_id", "bib"], "left")
-    rows.select("slug", "bib", "dob", "payload").repartitionByRange("slug", "bib").sortWithinPartitions("slug", "bib").write.mode("overwrite").option("parquet.block.size", block_bytes).parquet(folder)
+    options = {"compression": "zstd", "parquet.block.size": block_bytes, "parquet.bloom.filter.enabled#bib": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    rows.select("slug", "bib", "dob", "payload").sortWithinPartitions("slug", "bib").write.mode("overwrite").options(**options).parquet(folder)
+
+
+def register_views(spark: SparkSession, events: DataFrame, races: DataFrame) -> None:
+    """Define the views public_events and public_races, and the functions of clock and pace, which need no galleries."""
+    public_events(events).createOrReplaceTempView("public_events")
+    public_races(races, events).createOrReplaceTempView("public_races")
+    for statement in PLAIN_FUNCTIONS.split(";\n"):
+        spark.sql(statement)
 
 
 def register(spark: SparkSession, events: DataFrame, races: DataFrame, galleries: DataFrame) -> None:
-    """Define the views public_events and public_races, and the functions, in the session.
+    """Define the views and functions of ``register_views``, and the functions that read galleries, in the session.
 
     galleries: the table that ``write_galleries_table`` keeps. Runners, photos and reads have no view.
     """
-    public_events(events).createOrReplaceTempView("public_events")
-    public_races(races, events).createOrReplaceTempView("public_races")
+    register_views(spark, events, races)
     galleries.select("slug", "bib", F.col("dob").cast("date").alias("dob"), "payload").createOrReplaceTempView(PRIVATE)
     for statement in FUNCTIONS.split(";\n"):
         spark.sql(statement)

@@ -1,12 +1,15 @@
 import json
 import random
 
+import pyarrow.parquet as pq
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
-from stridemark.operators import catalog
+from stridemark.operators import catalog, lookup
 from stridemark.operators import matching as m
 from stridemark.operators import refresh as rf
+from stridemark.plans import registry
 from stridemark.sources import logs
 
 from test_lookup import made
@@ -105,3 +108,41 @@ def test_functions_and_views(spark, tmp_path):
     assert spark.sql(f"SELECT find_runner('open', '{after}', DATE '1990-01-02') LIKE '%true%', find_runner('open', '{after}', DATE '1990-01-03')").first()[1] == '{"ok":false,"reason":"dob_mismatch"}'
     assert spark.sql("SELECT slug FROM public_events ORDER BY slug").collect() == [("open",), ("shut",)]
     assert spark.sql("SELECT runner_pace(12257, 42.195D), runner_pace(1, 0D), runner_clock(12257)").first() == ("4:50", None, "3:24:17")
+
+
+def test_galleries_are_sorted_where_they_are_made(spark, tmp_path):
+    t = tables(spark, 3)
+    events = spark.sql("SELECT * FROM VALUES (1, 'open', true), (2, 'shut', true) AS t(event_id, slug, published)")
+    whole = export(t)
+    catalog.write_galleries_table(spark.createDataFrame(whole.collect(), whole.schema).repartition(3, "bib"), events, t.runners, str(tmp_path / "p"))
+    files = sorted((tmp_path / "p").glob("*.parquet"))
+    parts = [[(r["slug"], r["bib"]) for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(parts) == 3 and all(len(p) > 1 and p == sorted(p) for p in parts)
+    assert sorted(sum(parts, [])) == sorted(({1: "open", 2: "shut"}[e], b) for e, b, _ in payloads(whole) if e < 3)
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(3).compression for f in files} == {"ZSTD"}
+
+
+def test_views_make_no_galleries(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("galleries-*"))
+    assert registry.queries()["sql_public_views"](spark, SMALL).count() == 3
+    assert set(shared.glob("galleries-*")) == before
+
+
+@pytest.mark.parametrize("few", [0, 3, 100_000])
+def test_payloads_that_stay_are_not_shuffled(spark, monkeypatch, few):
+    monkeypatch.setattr(rf, "few", lambda rows: lookup.few(rows, few))
+    old = spark.createDataFrame([(1, str(i), f"p{i}", False) for i in range(9)] + [(1, None, "x", False), (None, "3", "y", False)], "event_id int, bib string, payload string, remade boolean")
+    bibs = spark.createDataFrame([(1, str(i)) for i in range(8)], "event_id int, bib string")
+    got = rf.kept(old, bibs)
+    assert {r["payload"] for r in got.collect()} == {"p8", "x", "y"}
+    assert few == 0 or "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_one_events_bib_are_near_in_others(spark):
+    runners = spark.createDataFrame([(1, "123"), (2, "124"), (1, "777"), (2, "777"), (1, "778")], "event_id int, bib string")
+    reads = spark.createDataFrame([(1, t, 0.9, "ocr") for t in ("124", "777", "125")], "photo_id int, bib_text string, confidence double, source string")
+    got = {(r["event_id"], r["bib"], r["bib_text"]) for r in m.bib_texts(runners, reads).filter("NOT exact").collect()}
+    assert got == {(1, "123", "124"), (1, "123", "125"), (2, "124", "125")}
