@@ -45,9 +45,14 @@ def counted(detections: DataFrame) -> DataFrame:
 
 
 def bib_texts(runners: DataFrame, detections: DataFrame, least: float = 0.30) -> DataFrame:
-    """event_id, bib, bib_text, exact and like: the texts that count for a bib. Distinct texts, whatever the number of reads."""
+    """event_id, bib, bib_text, exact and like: the texts that count for a bib. Distinct texts, whatever the number of reads.
+
+    A text that is somebody's bib in every event is near to nobody's: it is left out before pairs are made.
+    """
     bibs = runners.select("event_id", "bib").distinct()
-    read = detections.filter(counts_nearly(least))
+    known = bibs.filter("event_id IS NOT NULL")
+    all_over = known.groupBy(F.col("bib").alias("bib_text")).agg(F.count("*").alias("k")).crossJoin(known.agg(F.count_distinct("event_id").alias("n"))).filter("k = n")  # one row of n
+    read = detections.filter(counts_nearly(least)).select("bib_text").distinct().join(all_over, "bib_text", "left_anti")
     pairs = near_texts(bibs.filter(F.length("bib") >= 3), read, "bib", "bib_text").withColumn("like", likeness(F.col("bib"), F.col("bib_text")))
     someone = bibs.select("event_id", F.col("bib").alias("bib_text"))
     fuzzy = bibs.join(pairs, "bib").join(someone, ["event_id", "bib_text"], "left_anti")
