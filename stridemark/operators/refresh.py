@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stridemark.functions.text import one_deletions, within_one_edit
 from stridemark.operators import matching
-from stridemark.operators.lookup import counts_nearly
+from stridemark.operators.lookup import counts_nearly, few
 from stridemark.operators.merge import read_version, replace_by_key, versions, write_one_file_each, write_version
 
 KEY = ["event_id", "bib"]
@@ -74,11 +74,26 @@ def concerned(before: Tables, after: Tables, photos: DataFrame | None = None, le
     return by_photo.union(details).union(of_race).union(beside).distinct()
 
 
+def kept(payloads: DataFrame, bibs: DataFrame) -> DataFrame:
+    """The payloads of other bibs. These long rows are shuffled only if neither the bibs nor the others' keys are few."""
+    some = few(bibs)
+    if some is not None:
+        return payloads.join(F.broadcast(some), KEY, "left_anti")
+    rest = few(payloads.select(*KEY).join(bibs, KEY, "left_anti"))
+    if rest is None:
+        return payloads.join(bibs, KEY, "left_anti")
+    mine = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY]
+    return payloads.join(F.broadcast(rest.select(*[F.col(k).alias(f"__{k}") for k in KEY])), mine, "left_semi")
+
+
 def refresh(payloads: DataFrame, after: Tables, bibs: DataFrame, use_chip_time: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all payloads, those remade, event_id and bib of those gone) of the table (event_id, bib, payload)."""
+    """(all payloads, those remade, event_id and bib of those gone) of the table (event_id, bib, payload).
+
+    Columns besides these are null in payloads that are remade.
+    """
     remade = matching.export(after.runners, after.races, after.photos, after.detections, use_chip_time, only=bibs)
     gone = payloads.select(*KEY).join(bibs, KEY, "left_semi").join(after.runners.select(*KEY), KEY, "left_anti")
-    return payloads.join(bibs, KEY, "left_anti").unionByName(remade), remade, gone
+    return kept(payloads, bibs).unionByName(remade, allowMissingColumns=True), remade, gone
 
 
 def write_changed(remade: DataFrame, gone: DataFrame, folder: str) -> DataFrame:

@@ -87,9 +87,8 @@ def galleries_after_a_change(spark, d):
     before, after = _before(spark, d), rf.Tables(runners(spark, d), races(spark, d), photos(spark, d), detections(spark, d))
     old = staged(m.export(before.runners, before.races, before.photos, before.detections), "payloads")
     bibs = staged(rf.concerned(before, after, photos(spark, d).filter("photo_id % 2 = 1").select("photo_id")), "bibs")
-    now, _, _ = rf.refresh(old, after, bibs)
-    told = _told(now, "event_id", "bib").join(bibs.withColumn("remade", F.lit(True)), ["event_id", "bib"], "left")
-    return told.drop("event_id").withColumn("remade", F.coalesce("remade", F.lit(False)))
+    now, _, _ = rf.refresh(old.withColumn("remade", F.lit(False)), after, bibs)
+    return _told(now, "bib", F.coalesce("remade", F.lit(True)).alias("remade"))
 
 
 @query(HEAD + CONCERNED.replace("near AS", "near_texts AS").replace("JOIN near n", "JOIN near_texts n") + "SELECT bib FROM concerned")

@@ -32,7 +32,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def staged(rows: DataFrame, name: str) -> DataFrame:
     """The rows from a table of their own in the shared folder, for plans that read them in several branches."""
     path = scratch(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
