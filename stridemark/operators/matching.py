@@ -216,7 +216,8 @@ def masked(numbers: DataFrame, number: str, masks: DataFrame, also: Column | Non
 def complete_patterns(patterns: DataFrame, known: DataFrame, pattern: str, number: str) -> DataFrame:
     """Pairs of a pattern with hidden digits and a number that it fits, joined on length and what is not hidden.
 
-    The numbers' digits at the pattern's places that are not hidden make the key, once for each mask that occurs.
+    The numbers' digits at the pattern's places that are not hidden make the key, once for each mask that occurs. A pattern that hides
+    nothing fits itself.
     """
     p = patterns.select(pattern).distinct()
-    return p.join(masked(known.select(number).distinct(), number, masks_of(p, pattern)), F.col(pattern) == F.col("k")).select(pattern, number)
+    return p.join(masked(known.select(number).distinct(), number, masks_of(p, pattern), F.array(number)), F.col(pattern) == F.col("k")).select(pattern, number)
