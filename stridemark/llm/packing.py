@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets, released, written
+from .common import bounded_batches, buckets, released, trim, written
 from .shingles import split_words
 
 
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = WordTokens(tokenizer.value), np.array([closing_id], "<u4")
+        trim()  # reading the vocabulary takes more than keeping it
         for b in batches:
             ids, starts = words.ids(b.column("text"))
             total = np.diff(starts) + 1  # with the closing id
