@@ -2,8 +2,8 @@
 
 The functions read a table of payloads (slug, bib, dob, payload), whose files are sorted by slug and bib, so that a
 question or a page is a small part of each; a filter on both reaches the scan, and a page is taken as the first rows in
-order. They run with
-the rights of who registers them: the private table has a view of its own, and nothing else shows it.
+order. They run with the rights of who registers them: the private table has a view of its own, and nothing else shows
+it.
 """
 
 from __future__ import annotations
