@@ -43,15 +43,17 @@ RETURN SELECT bib, payload FROM (
 """
 
 
-def write_galleries_table(payloads: DataFrame, events: DataFrame, runners: DataFrame, folder: str, block_bytes: int = 16 << 20) -> None:
+def write_galleries_table(payloads: DataFrame, events: DataFrame, runners: DataFrame, folder: str, block_bytes: int = 16 << 20, block_rows: int = 64) -> None:
     """Keep the payloads (event_id, bib, payload) of published events as the functions read them.
 
     Payloads are long, so they are sorted where they are made and dealt out no more: each file has the bibs in order, by
     which a page reads a few of its pages, and filters of its bibs, by which a question reads one row group of all.
+    Readers keep up to 4,096 rows of a row group at once, which for payloads is hundreds of MB, and the size of a row group is
+    counted as it is compressed: so row groups have few rows, and filters as small as those, since a writer keeps all of a file's.
     """
     born = runners.select("event_id", "bib", "dob")
     rows = payloads.join(public_events(events).select("event_id", "slug"), "event_id").join(born, ["event_id", "bib"], "left")
-    options = {"compression": "zstd", "parquet.block.size": block_bytes, "parquet.bloom.filter.enabled#bib": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    options = {"compression": "zstd", "parquet.block.size": block_bytes, "parquet.block.row.count.limit": block_rows, "parquet.page.size.row.check.min": 8, "parquet.bloom.filter.enabled#bib": "true", "parquet.bloom.filter.expected.ndv#bib": block_rows}
     rows.select("slug", "bib", "dob", "payload").sortWithinPartitions("slug", "bib").write.mode("overwrite").options(**options).parquet(folder)
 
 

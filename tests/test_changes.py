@@ -122,6 +122,19 @@ def test_galleries_are_sorted_where_they_are_made(spark, tmp_path):
     assert {pq.ParquetFile(f).metadata.row_group(0).column(3).compression for f in files} == {"ZSTD"}
 
 
+def test_galleries_are_read_in_few_rows(spark, tmp_path):
+    """A reader keeps a batch of a row group at once, and a writer the filters of a whole file."""
+    payloads = spark.range(500).select(F.lit(1).alias("event_id"), F.col("id").cast("string").alias("bib"), F.repeat(F.col("id").cast("string"), F.lit(2000)).alias("payload")).coalesce(1)
+    events = spark.sql("SELECT * FROM VALUES (1, 'open', true) AS t(event_id, slug, published)")
+    runners = payloads.select("event_id", "bib", F.lit(None).cast("date").alias("dob"))
+    catalog.write_galleries_table(payloads, events, runners, str(tmp_path / "p"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "p").glob("*.parquet")]
+    groups = [f.row_group(n).num_rows for f in files for n in range(f.num_row_groups)]
+    assert sum(groups) == 500 and max(groups) <= 64
+    assert sum(f.stat().st_size for f in (tmp_path / "p").glob("*.parquet")) < 200_000
+    assert spark.read.parquet(str(tmp_path / "p")).filter("bib = '321' AND payload = repeat('321', 2000)").count() == 1
+
+
 def test_views_make_no_galleries(spark):
     from pathlib import Path
 
